@@ -161,7 +161,7 @@ def rules(docs: DataFrame, ratio: np.ndarray, options: QualityOptions, name: str
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, options: QualityOptions = QualityOptions(), name: str = "quality_rules", drop_text: bool = False) -> DataFrame:
     """docs with the struct column `name`. trusted: doc_ids of the trusted documents (repeats and nulls do no harm)."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().withColumn("trusted", F.lit(True))
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().withColumn("trusted", F.lit(True)).hint("merge")  # the labels grow with the corpus: never broadcast
     marked = text_and_id(docs).join(ids, "doc_id", "left")
     q, p = gram_counts(marked, "trusted", options)
     return rules(docs, log_ratio(q, p, options.alpha), options, name, drop_text)
