@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravel.llm import decontaminate as op5
+from ravel.llm import line_chunks as op4
+from ravel.llm import near_join as op3
 from ravel.llm import quality_rules as op1
 from ravel.llm.common import read, text_and_id
 
@@ -18,6 +20,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "quality_rules.*")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.similarity_join(read(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op4.line_dedup(text_and_id(read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "line_chunks.n_lines", "line_chunks.n_removed_lines", "line_chunks.n_removed_chunks", F.md5(F.col("line_chunks.text").cast("binary")).alias("text_md5"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op5.find(text_and_id(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), drop_text=True).select("doc_id", "decontamination.*")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -28,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": op5.ORACLE}
+    return {"op3_ngram_jaccard_join": op3.ORACLE, "op4_line_dedup": op4.ORACLE, "op5_benchmark_decontamination": op5.ORACLE}
