@@ -90,10 +90,11 @@ def removals(docs: DataFrame, o: ChunkOptions) -> DataFrame:
 
     seen = docs.mapInArrow(lambda b: scan(b, None, False), "k long, doc_id long, h long, pos int")
     where = F.struct("doc_id", "h", "pos")
-    again = seen.groupBy("k").agg(F.min(where).alias("a"), F.max(where).alias("b")).filter("a <> b").select("k")
+    again = cut(seen.groupBy("k").agg(F.min(where).alias("a"), F.max(where).alias("b")).filter("a <> b").select("k"), "repeats")
     bits = docs.sparkSession.sparkContext.broadcast(bits_of(again, "k"))
     members = cut(docs.mapInArrow(lambda b: scan(b, bits, True), "k long, doc_id long, h long, pos int, chunk binary"), "chunks")
     first = members.groupBy("k", "chunk").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last")
+    first = cut(first, "firsts")  # so that the join below has plain exchanges on both sides, which Spark splits where a chunk is frequent
     m, f = members.alias("m"), first.alias("f")
     gone = m.join(f, (F.col("m.k") == F.col("f.k")) & (F.col("m.chunk") == F.col("f.chunk"))).filter(~F.struct("m.doc_id", "m.h", "m.pos").eqNullSafe(F.col("f.first")))
     return gone.select("m.doc_id", "m.h", "m.pos").distinct().groupBy("doc_id", "h").agg(F.collect_list("pos").alias("cuts"))
