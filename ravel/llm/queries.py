@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravel.llm import decontaminate as op5
 from ravel.llm import line_chunks as op4
 from ravel.llm import near_join as op3
+from ravel.llm import neural_lm as op6
+from ravel.llm import packing as op8
 from ravel.llm import quality_rules as op1
-from ravel.llm.common import read, text_and_id
+from ravel.llm import quality_model as op7
+from ravel.llm import sharding as op10
+from ravel.llm import token_files as op9
+from ravel.llm import toxicity as op2
+from ravel.llm.common import crc_mod, read, shared_dir, text_and_id
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +27,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "quality_rules.*")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = text_and_id(read(spark, sf_dir, "documents"))
+    model = op2.fit(docs, read(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0))
+    return _judged(op2.score(docs, model, drop_text=True), "toxicity", crc_mod("doc_id", 5) == 0, 0.5)
+
+
+def _judged(out: DataFrame, name: str, held_out: Column, least: float) -> DataFrame:
+    score = F.col(f"{name}.score")
+    return out.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= least).cast("int").alias("predicted"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.similarity_join(read(spark, sf_dir, "documents"))
 
@@ -34,9 +52,40 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = text_and_id(read(spark, sf_dir, "documents"))
+    held_out = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    return op6.lm_scores(docs.withColumn("held_out", held_out).withColumn("train", ~held_out))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = text_and_id(read(spark, sf_dir, "documents"))
+    model = op7.fit(docs, read(spark, sf_dir, "labels").filter(crc_mod("doc_id", 4) != 2))
+    return _judged(op7.score(docs, model, drop_text=True), "quality_model", crc_mod("doc_id", 4) == 2, 0.7)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.pack(text_and_id(read(spark, sf_dir, "documents")))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.read_back(op9.write(read(spark, sf_dir, "documents")))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four arrivals of different size, compacted, and read back through the manifest."""
+    docs = read(spark, sf_dir, "documents")
+    store = op10.ShardStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    eighth = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    for lo, hi in ((0, 3), (4, 5), (6, 6), (7, 7)):
+        store.append(docs.filter(eighth.between(lo, hi)))
+    store.compact()
+    return store.read().select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes"), "lang", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and "_" in k and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": op3.ORACLE, "op4_line_dedup": op4.ORACLE, "op5_benchmark_decontamination": op5.ORACLE}
+    return {"op3_ngram_jaccard_join": op3.ORACLE, "op4_line_dedup": op4.ORACLE, "op5_benchmark_decontamination": op5.ORACLE, "op10_sharding": op10.ORACLE}
