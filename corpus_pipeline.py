@@ -1,13 +1,44 @@
-"""The corpus pipeline: STAGES in order, each over the documents that the one before it kept."""
+"""The corpus pipeline: STAGES in order, each over the documents that the one before it kept.
+
+Documents that the quality rules reject go; repeated chunks of lines leave the texts; one document of each near-duplicate class stays; documents
+with benchmark passages go; the rest is packed. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravel.llm import decontaminate, quality_rules
-from ravel.llm.common import cut, read
+from ravel.llm import decontaminate, line_chunks, near_join, packing, quality_rules
+from ravel.llm.common import cut, read, text_and_id
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_chunks.dedup_text(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_join.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(text_and_id(docs))
+
 
-STAGES = []
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 #: SQL has neither the n-gram likelihood ratio nor the tokenizer; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
