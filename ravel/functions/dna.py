@@ -29,7 +29,7 @@ def kmer_code(kmer: Column) -> Column:
 
 def clean_runs(seq: Column, k: int) -> Column:
     """The maximal runs without N of at least k letters."""
-    return F.regexp_extract_all(F.upper(seq), F.lit(rf"([^N]{{{k},}})"), 1)
+    return F.regexp_extract_all(seq, F.lit(rf"([^Nn]{{{k},}})"), 1)
 
 
 def kmers_of(seq: Column, k: int, first: int = 1, step: int = 1) -> Column:
