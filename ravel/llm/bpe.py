@@ -12,6 +12,8 @@ import numpy as np
 from ravel.llm import textcore as X
 
 _VISIBLE = X.table(lambda b: 0x21 <= b <= 0x7E)
+_SAFE_START = _VISIBLE.copy()
+_SAFE_START[0xC3] = True
 _P2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -24,7 +26,7 @@ def default_path() -> str:
 class Encoder:
     """ids of whole texts; `limit` bounds the cached stretches."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -32,6 +34,10 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        #: Bytes of each id: a letter of the vocabulary's alphabet stands for one byte.
+        self.bytes_of = np.zeros(self.model.get_vocab_size(), np.int64)
+        for token, i in self.model.get_vocab().items():
+            self.bytes_of[i] = len(token)
         self.limit = limit
         self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -39,10 +45,45 @@ class Encoder:
         self.used = 0
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        made = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        length = np.fromiter((len(x) for x in made), np.int64, len(made))
-        flat = np.fromiter((i for x in made for i in x), np.uint32, int(length.sum()))
-        return flat, length
+        parts, length = [], np.empty(len(texts), np.int64)
+        for lo in range(0, len(texts), 256):  # the library's results take many times the memory of their ids
+            made = [e.ids for e in self.model.encode_batch_fast(texts[lo : lo + 256], add_special_tokens=False)]
+            length[lo : lo + len(made)] = [len(x) for x in made]
+            parts.append(np.array([i for x in made for i in x], np.uint32))
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), length
+
+    def _stretches(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many stretches. Those that begin and end like the inside of a text go through the library joined, some KB at a time, and are
+        told apart by the byte lengths of the ids; where that doesn't come out even they are encoded one by one."""
+        n = len(raw)
+        size = np.fromiter((len(x) for x in raw), np.int64, n)
+        inner = np.fromiter((len(x) > 1 and x[0] == 0x20 and _SAFE_START[x[1]] and (_VISIBLE[x[-1]] or (x[-1] >= 0x80 and x[-2] == 0xC3)) for x in raw), bool, n)
+        out: list[np.ndarray | None] = [None] * n
+        at = np.flatnonzero(inner)
+        group = (np.cumsum(size[at]) - 1) // 4096
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(at)) if len(at) else np.zeros(1, np.int64)
+        alone = np.flatnonzero(~inner).tolist()
+        texts = [b"".join(raw[i] for i in at[x:y]).decode("utf-8", "replace") for x, y in zip(bounds, bounds[1:])]
+        flat, length = self._encode(texts)
+        end = np.cumsum(length)
+        for t, (x, y) in enumerate(zip(bounds, bounds[1:])):
+            own = flat[end[t] - length[t] : end[t]]
+            upto = np.cumsum(self.bytes_of[own])
+            stop = np.cumsum(size[at[x:y]])
+            cut = np.searchsorted(upto, stop)
+            if len(own) and cut[-1] == len(own) - 1 and (upto[cut] == stop).all():
+                lo = 0
+                for i, hi in zip(at[x:y].tolist(), (cut + 1).tolist()):
+                    out[i] = own[lo:hi]
+                    lo = hi
+            else:
+                alone += at[x:y].tolist()
+        if alone:
+            flat, length = self._encode([raw[i].decode("utf-8", "replace") for i in alone])
+            end = np.cumsum(length)
+            for k, i in enumerate(alone):
+                out[i] = flat[end[k] - length[k] : end[k]]
+        return np.concatenate(out), np.fromiter((len(x) for x in out), np.int64, n)
 
     def slice(self, s: X.Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice (uint32), and where each document begins (one more at the end)."""
@@ -75,12 +116,13 @@ class Encoder:
         odd = h2 != check[where]  # same 64 bits, other stretch: not seen in practice, but never mixed up
         start, length = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
         pos = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
-        known = (self.key[pos] == key) & (self.check[pos] == check) if len(self.key) else np.zeros(len(key), bool)
+        there = self.key[pos] == key if len(self.key) else np.zeros(len(key), bool)
+        known = there & (self.check[pos] == check) if len(self.key) else there
         start[known], length[known] = self.start[pos[known]], self.length[pos[known]]
         miss = np.flatnonzero(~known)
         base = self.used
         if len(miss):
-            flat, size = self._encode([d[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[first[miss]].tolist(), ends[first[miss]].tolist())])
+            flat, size = self._stretches([d[a:b].tobytes() for a, b in zip(at[first[miss]].tolist(), ends[first[miss]].tolist())])
             self._room(base + len(flat))
             self.ids[base : base + len(flat)] = flat
             start[miss], length[miss] = base + np.cumsum(size) - size, size
@@ -99,7 +141,7 @@ class Encoder:
         doc_at = total[np.searchsorted(at, s.off)]
         if len(miss) and len(self.key) + len(miss) <= self.limit and not odd.any():
             self.used = end
-            taken = miss[~np.isin(key[miss], self.key)] if len(self.key) else miss
+            taken = miss[~there[miss]]
             keys = np.concatenate([self.key, key[taken]])
             order = np.argsort(keys, kind="stable")
             self.key = keys[order]

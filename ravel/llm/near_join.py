@@ -12,9 +12,9 @@ Plan
 4. Classes are the components of the stars (large-star / small-star rounds, each written as a table).
 
 Defined cases: words as in benchmark decontamination (A-Z lower-cased); a text of 1 to 4 words is one shingle; null texts and those without
-words have no shingles, link to nothing and are a class of their own; repeated rows are copies of each other; class_id is the least
-doc_id of the class (null ids only if all are); an empty table gives an empty result. n_links of a document counts the other documents with
-similarity >= threshold, copies included.
+words have the empty set, are copies of each other and link to nothing else; repeated rows are copies of each other; class_id is the
+least doc_id of the class (null ids only if all are); an empty table gives an empty result. n_links of a document counts the other documents
+with similarity >= threshold, copies included.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ class JoinOptions:
     rows: int = 4
     step: int = 8
     tolerance: float = 1e-6
-    block: int = 512
+    block: int = 256
     seed: int = 7
 
 
@@ -104,7 +104,7 @@ def band_keys(sig: np.ndarray, o: JoinOptions) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, o: JoinOptions, name: str, drop_text: bool) -> DataFrame:
-    """docs with the struct `name` of FIELDS, as a written table: rid is a number of the row, d1 and d2 the digest (null without words)."""
+    """docs with the struct `name` of FIELDS, as a written table: rid is a number of the row, d1 and d2 the digest; no bands without words."""
     count = {}
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -120,12 +120,12 @@ def signatures(docs: DataFrame, o: JoinOptions, name: str, drop_text: bool) -> D
             keys[~none] = band_keys(minhash(sh, at, o), o)
             d1.append(a), d2.append(b), bands.append(keys), empty.append(none)
         none = np.concatenate(empty)
-        rows = np.arange(0, (len(none) + 1) * o.bands, o.bands, dtype=np.int32)
+        rows = np.concatenate([[0], np.cumsum(np.where(none, 0, o.bands))]).astype(np.int32)
         return [
             pa.array((part << 40) + first + np.arange(len(none), dtype=np.int64)),
-            pa.array(np.concatenate(d1), mask=none),
-            pa.array(np.concatenate(d2), mask=none),
-            pa.ListArray.from_arrays(pa.array(rows), pa.array(np.concatenate(bands).ravel())),
+            pa.array(np.concatenate(d1)),
+            pa.array(np.concatenate(d2)),
+            pa.ListArray.from_arrays(pa.array(rows), pa.array(np.concatenate(bands)[~none].ravel())),
         ]
 
     return cut(annotate(docs, name, FIELDS, work, drop_text=drop_text), "signatures")
@@ -225,7 +225,7 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def links(docs: DataFrame, table: DataFrame, name: str, o: JoinOptions) -> tuple[DataFrame, DataFrame]:
     """For each digest its first document and number of documents; and for each linked digest its links and a star edge."""
-    digest = table.select(F.col(f"{name}.d1").alias("d1"), F.col(f"{name}.d2").alias("d2"), F.col("doc_id"), F.col(f"{name}.bands").alias("bands")).dropna(subset=["d1"])
+    digest = table.select(F.col(f"{name}.d1").alias("d1"), F.col(f"{name}.d2").alias("d2"), F.col("doc_id"), F.col(f"{name}.bands").alias("bands"))
     reps = cut(digest.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands")), "digests")
     bands = reps.select("d1", "d2", F.posexplode("bands").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("d1", "d2")).alias("x1"), F.bit_xor(F.xxhash64("d2", "d1", F.lit(1))).alias("x2")).filter("m > 1")
@@ -266,8 +266,8 @@ def links(docs: DataFrame, table: DataFrame, name: str, o: JoinOptions) -> tuple
     steps = least_matches(o)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, lo, hi), t in groups(_small(batches), ["key", "lo", "hi"]):
-            all_ = _side(t, None)
+        for (_, lo, hi), t in groups(batches, ["key", "lo", "hi"]):
+            all_ = _side(t)
             if lo == hi:
                 i, j = linked(int(t["band"][0].as_py()), all_, None, o, steps)
             else:
@@ -285,11 +285,7 @@ def links(docs: DataFrame, table: DataFrame, name: str, o: JoinOptions) -> tuple
     return reps, cut(rows.mapInArrow(run, "d1 long, d2 long, links long, r1 long, r2 long"), "links")
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from batches
-
-
-def _side(t: pa.Table, _) -> dict:
+def _side(t: pa.Table) -> dict:
     t = t.combine_chunks()
     sh = [np.frombuffer(x, np.uint64) for x in t["sh"].to_pylist()]
     return {"d1": np.asarray(t["d1"]), "d2": np.asarray(t["d2"]), "docs": np.asarray(t["n_docs"]), "mask": np.asarray(t["mask"]), "n": np.array([len(x) for x in sh], np.int64), "sig": np.stack([np.frombuffer(x, np.uint32) for x in t["sig"].to_pylist()]), "sh": sh}
@@ -344,17 +340,16 @@ def similarity_join(docs: DataFrame, options: JoinOptions = JoinOptions()) -> Da
 
 
 def keep_one(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """One row of each class, that with the least doc_id, with its own columns; rows without words all stay."""
+    """One row of each class, that with the least doc_id, with its own columns."""
     name = fresh(docs.columns, "near_join")
     table = signatures(docs, options, name, drop_text=False)
     slim = table.select("doc_id", "text", name)
     each = classes(slim, slim, name, options).select("d1", "d2", F.coalesce("root", _node("d1", "d2")).alias("root"))
-    rows = slim.select(F.struct("doc_id", f"{name}.rid").alias("who"), F.col(f"{name}.d1").alias("d1"), F.col(f"{name}.d2").alias("d2")).filter("d1 is not null")
+    rows = slim.select(F.struct("doc_id", f"{name}.rid").alias("who"), F.col(f"{name}.d1").alias("d1"), F.col(f"{name}.d2").alias("d2"))
     # copies first, with partial sums, so that a large group of copies is a few rows before the classes meet
     first = rows.groupBy("d1", "d2").agg(F.min("who").alias("who")).join(each, ["d1", "d2"]).groupBy("root").agg(F.min("who").alias("who"))
     stay = first.select(F.col("who.rid").alias("rid"))
-    kept = table.join(stay, table[f"{name}.rid"] == stay["rid"], "left_semi")
-    return kept.union(table.filter(F.col(f"{name}.d1").isNull())).drop(name)
+    return table.join(stay, table[f"{name}.rid"] == stay["rid"], "left_semi").drop(name)
 
 
 ORACLE = r"""
@@ -362,7 +357,8 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9
+  UNION ALL SELECT a.doc_id, b.doc_id FROM w a JOIN w b ON len(a.w) = 0 AND len(b.w) = 0 AND a.doc_id < b.doc_id),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.seen),
 k AS (SELECT node, min(seen) AS class_id FROM r GROUP BY node),

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U = np.uint64
 _P1, _P2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _pow: dict[tuple[int, bool], np.ndarray] = {}
