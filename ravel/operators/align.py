@@ -71,8 +71,13 @@ def seeds(reads: DataFrame, o: AlignOptions = AlignOptions(), clean: bool = True
         rows = rows.select("read_id", "run", F.aggregate(F.slice("n", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + x).alias("at")).filter((F.length("run") >= o.k) & ~F.col("run").startswith("N"))
     else:
         rows = reads.select("read_id", F.col("seq").alias("run"), F.lit(0).alias("at"))
-    # k-mers are taken before the rows are exploded, so that a read's letters are not copied with each of its seeds
-    made = F.transform(seed_zones(F.length("run"), o), lambda z: F.struct(z["zone"].alias("zone"), z["pos"].alias("pos"), z["cap"].alias("cap"), F.substring(F.col("run"), z["pos"].cast("int"), F.lit(o.k)).alias("kmer")))
+    # k-mers are taken from short pieces, as the cost of a substring grows with its place in a text, and before the rows are exploded
+    width = 1024
+    n = F.length("run")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / width).cast("int")), lambda i: F.substring(F.col("run"), i * width + 1, F.lit(width + o.k)))
+    rows = rows.select("read_id", "at", n.alias("n"), F.posexplode(pieces).alias("j", "piece"))
+    own = F.filter(seed_zones(F.col("n"), o), lambda z: F.floor((z["pos"] - 1) / width) == F.col("j"))
+    made = F.transform(own, lambda z: F.struct(z["zone"].alias("zone"), z["pos"].alias("pos"), z["cap"].alias("cap"), F.substring(F.col("piece"), (z["pos"] - F.col("j") * width).cast("int"), F.lit(o.k)).alias("kmer")))
     out = rows.select("read_id", "at", F.explode(made).alias("s"))
     out = out.select("read_id", "s.zone", (F.col("s.pos") + F.col("at")).alias("pos"), "s.cap", F.col("at").cast("bigint").alias("run_at"), "s.kmer")
     return out.filter(F.col("kmer").rlike("^[ACGT]+$")) if clean else out

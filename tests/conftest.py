@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parent.parent)]
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -38,16 +38,3 @@ def duck(sf_dir):
     for f in Path(sf_dir).glob("*.parquet"):
         c.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
     return c
-
-
-def same_rows(a, b):
-    """Equal columns and equal rows in any order; whole numbers equal their doubles."""
-
-    def rows(df):
-        cols = sorted(df.columns)
-        df = df[cols].astype(object)
-        df = df.where(df.notna(), None)
-        return sorted((tuple(float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r) for r in df.itertuples(index=False)), key=repr)
-
-    assert sorted(a.columns) == sorted(b.columns)
-    assert rows(a) == rows(b)

@@ -1,7 +1,7 @@
 """Every catalogue query against its SQL on the smallest tables."""
 
 import pytest
-from conftest import same_rows
+from support import same_rows
 
 from ravel import catalog, oracles
 
