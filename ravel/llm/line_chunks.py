@@ -111,10 +111,11 @@ def _rows(out: tuple[list, ...], with_bytes: bool) -> pa.RecordBatch:
 def line_dedup(docs: DataFrame, options: ChunkOptions = ChunkOptions(), name: str = "line_chunks") -> DataFrame:
     """docs with the struct column `name` of FIELDS: the text that is left and what was removed."""
     gone = removals(text_and_id(docs, F.xxhash64(docs["text"].cast("string")).alias("h")), options)
-    h, cuts = fresh(docs.columns, "h"), fresh(docs.columns, "cuts")
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("cuts").alias(cuts)).hint("merge")
-    marked = docs.withColumn(h, F.xxhash64(docs["text"].cast("string"))).alias("d")
-    marked = marked.join(gone, F.col("d.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(f"d.{h}") == F.col("_h")), "left").select("d.*", cuts).drop(h)
+    taken = list(docs.columns)
+    h, cuts, gone_id, gone_h = (taken.append(fresh(taken, n)) or taken[-1] for n in ("h", "cuts", "gone_id", "gone_h"))
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h), F.col("cuts").alias(cuts)).hint("merge")
+    marked = docs.withColumn(h, F.xxhash64(docs["text"].cast("string")))
+    marked = marked.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(h) == F.col(gone_h)), "left").drop(h, gone_id, gone_h)
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         texts: list[bytes | None] = []

@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, options: VectorOptions = VectorOptio
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("y")], names=["x", "y"])
 
     got = sample(docs, labels, label, options.fit_rows).mapInArrow(run, "x binary, y int").orderBy("y", "x").toArrow()  # fit_rows rows at most
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(got.num_rows, -1)
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(got.num_rows, 2 * options.dims + 3)
     return train(vectors, x, np.asarray(got["y"]).astype(np.float32), options)
 
 

@@ -158,7 +158,7 @@ def fit_bits(fit: DataFrame, chosen: np.ndarray, o: ToxicityOptions) -> tuple[np
 
     got = fit.mapInArrow(run, "x binary, twin binary, y int").orderBy("y", "x", "twin").toArrow()  # fit_rows rows at most, in an order that doesn't depend on partitions
     def grid(c: str) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(b"".join(got[c].to_pylist()), np.uint8).reshape(got.num_rows, -1), axis=1)
+        return np.unpackbits(np.frombuffer(b"".join(got[c].to_pylist()), np.uint8).reshape(got.num_rows, o.features // 8), axis=1)
 
     return grid("x"), grid("twin"), np.asarray(got["y"]).astype(np.float32)
 
