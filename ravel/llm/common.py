@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -32,6 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+#: Arrow batches that Python workers get: rows and bytes at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what the JVM and a worker hold of one task's rows at once. The session's own smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and lost executors cost nothing before it."""
     spark = df.sparkSession
@@ -50,6 +63,7 @@ def fresh(names: Iterable[str], wanted: str) -> str:
 
 def text_and_id(df: DataFrame, *more: Column) -> DataFrame:
     """Only doc_id (long) and text (string), and what else is asked for: other columns never meet those of an operator."""
+    small_batches(df.sparkSession)
     return df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text"), *more)
 
 
@@ -60,6 +74,7 @@ def crc_mod(column: Column | str, m: int) -> Column:
 
 def annotate(df: DataFrame, name: str, fields: T.StructType, work: Callable[[pa.RecordBatch], list[pa.Array]], text: str = "text", drop_text: bool = False) -> DataFrame:
     """Add a struct column `name` of `fields`, which `work` computes from each Arrow batch; other columns pass unchanged."""
+    small_batches(df.sparkSession)
     assert name.lower() not in {c.lower() for c in df.columns}
     keep = [c for c in df.columns if not (drop_text and c == text)]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, fields)])
