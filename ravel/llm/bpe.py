@@ -26,7 +26,7 @@ def default_path() -> str:
 class Encoder:
     """ids of whole texts; `limit` bounds the cached stretches."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,38 +52,31 @@ class Encoder:
             parts.append(np.array([i for x in made for i in x], np.uint32))
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32), length
 
-    def _stretches(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many stretches. Those that begin and end like the inside of a text go through the library joined, some KB at a time, and are
-        told apart by the byte lengths of the ids; where that doesn't come out even they are encoded one by one."""
-        n = len(raw)
-        size = np.fromiter((len(x) for x in raw), np.int64, n)
-        inner = np.fromiter((len(x) > 1 and x[0] == 0x20 and _SAFE_START[x[1]] and (_VISIBLE[x[-1]] or (x[-1] >= 0x80 and x[-2] == 0xC3)) for x in raw), bool, n)
-        out: list[np.ndarray | None] = [None] * n
-        at = np.flatnonzero(inner)
-        group = (np.cumsum(size[at]) - 1) // 4096
-        bounds = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(at)) if len(at) else np.zeros(1, np.int64)
-        alone = np.flatnonzero(~inner).tolist()
-        texts = [b"".join(raw[i] for i in at[x:y]).decode("utf-8", "replace") for x, y in zip(bounds, bounds[1:])]
-        flat, length = self._encode(texts)
-        end = np.cumsum(length)
-        for t, (x, y) in enumerate(zip(bounds, bounds[1:])):
-            own = flat[end[t] - length[t] : end[t]]
-            upto = np.cumsum(self.bytes_of[own])
-            stop = np.cumsum(size[at[x:y]])
+    def _stretches(self, d: np.ndarray, a: np.ndarray, z: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the stretches d[a:z], one after another in some order, with the start and number of each one's ids. Inner ones, which begin and
+        end like the inside of a text, go through the library joined, some KB at a time, and are told apart by the byte lengths of the ids;
+        if that doesn't come out even they are encoded one by one like the others."""
+        start, length = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+        at, flat = np.flatnonzero(inner), np.zeros(0, np.uint32)
+        if len(at):
+            size = z[at] - a[at]
+            joined, stop = d[X.runs_gather(a[at], size)], np.cumsum(size)
+            last = np.append(np.flatnonzero((stop[1:] - 1) // 4096 != (stop[:-1] - 1) // 4096), len(at) - 1)
+            edge = np.concatenate([[0], stop[last]]).tolist()
+            flat, _ = self._encode([joined[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(edge, edge[1:])])
+            upto = np.cumsum(self.bytes_of[flat])
             cut = np.searchsorted(upto, stop)
-            if len(own) and cut[-1] == len(own) - 1 and (upto[cut] == stop).all():
-                lo = 0
-                for i, hi in zip(at[x:y].tolist(), (cut + 1).tolist()):
-                    out[i] = own[lo:hi]
-                    lo = hi
+            if len(flat) and upto[-1] == stop[-1] and (upto[cut] == stop).all():
+                start[at] = np.concatenate([[0], cut[:-1] + 1])
+                length[at] = cut + 1 - start[at]
             else:
-                alone += at[x:y].tolist()
-        if alone:
-            flat, length = self._encode([raw[i].decode("utf-8", "replace") for i in alone])
-            end = np.cumsum(length)
-            for k, i in enumerate(alone):
-                out[i] = flat[end[k] - length[k] : end[k]]
-        return np.concatenate(out), np.fromiter((len(x) for x in out), np.int64, n)
+                inner, flat = np.zeros(len(a), bool), np.zeros(0, np.uint32)
+        alone = np.flatnonzero(~inner)
+        if len(alone):
+            more, n = self._encode([d[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(a[alone].tolist(), z[alone].tolist())])
+            start[alone], length[alone] = len(flat) + np.cumsum(n) - n, n
+            flat = np.concatenate([flat, more])
+        return flat, start, length
 
     def slice(self, s: X.Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice (uint32), and where each document begins (one more at the end)."""
@@ -91,11 +84,10 @@ class Encoder:
         if not n:
             return np.zeros(0, np.uint32), np.zeros(s.docs + 1, np.int64)
         cut = np.zeros(n, bool)
+        after = _SAFE_START[d]
+        before = _VISIBLE[d]
+        before[1:] |= (d[1:] >= 0x80) & (d[:-1] == 0xC3)
         if n > 2:
-            high = d >= 0x80
-            after = _VISIBLE[d] | (d == 0xC3)
-            before = _VISIBLE[d]
-            before[1:] |= high[1:] & (d[:-1] == 0xC3)
             cut[1:-1] = (d[1:-1] == 0x20) & before[:-2] & after[2:]
             inner = s.off[1:-1]  # the neighbours must be of the same document
             cut[inner[inner < n]] = False
@@ -122,10 +114,13 @@ class Encoder:
         miss = np.flatnonzero(~known)
         base = self.used
         if len(miss):
-            flat, size = self._stretches([d[a:b].tobytes() for a, b in zip(at[first[miss]].tolist(), ends[first[miss]].tolist())])
+            a, z = at[first[miss]], ends[first[miss]]
+            inner = (d[a] == 0x20) & (z - a > 1)
+            inner[inner] = after[a[inner] + 1] & before[z[inner] - 1]
+            flat, begin, size = self._stretches(d, a, z, inner)
             self._room(base + len(flat))
             self.ids[base : base + len(flat)] = flat
-            start[miss], length[miss] = base + np.cumsum(size) - size, size
+            start[miss], length[miss] = base + begin, size
             end = base + len(flat)
         else:
             end = base
@@ -142,11 +137,9 @@ class Encoder:
         if len(miss) and len(self.key) + len(miss) <= self.limit and not odd.any():
             self.used = end
             taken = miss[~there[miss]]
-            keys = np.concatenate([self.key, key[taken]])
-            order = np.argsort(keys, kind="stable")
-            self.key = keys[order]
-            for name, new in (("check", check), ("start", start), ("length", length)):
-                setattr(self, name, np.concatenate([getattr(self, name), new[taken]])[order])
+            into = np.searchsorted(self.key, key[taken])
+            for name, new in (("key", key), ("check", check), ("start", start), ("length", length)):
+                setattr(self, name, np.insert(getattr(self, name), into, new[taken]))
         return out, doc_at
 
     def _room(self, n: int) -> None:

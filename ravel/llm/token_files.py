@@ -42,6 +42,11 @@ class FileOptions:
     least_gain: float = 0.01
 
 
+#: No symbol is 65535, so this is no pair.
+_NO_PAIR = np.uint32(0xFFFFFFFF)
+_SPREAD = np.uint32(0x9E3779B1)
+
+
 def repair(ids: np.ndarray, last: np.ndarray, first: int, o: FileOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (two columns) and the marks of the symbols that end a document. ids are below `first`."""
     sym, rules = ids.astype(np.uint32), []
@@ -50,22 +55,23 @@ def repair(ids: np.ndarray, last: np.ndarray, first: int, o: FileOptions) -> tup
         if len(sym) < 2:
             break
         key = (sym[:-1] << np.uint32(16)) | sym[1:]
-        inner = ~last[:-1]
-        pairs, n = X.sorted_counts(key[inner])
-        ok = np.flatnonzero(n >= o.least_count)
-        room = min(o.rules_per_round, (1 << 16) - first - total)
+        key[last[:-1]] = _NO_PAIR
+        pairs, n = X.sorted_counts(key)
+        ok = np.flatnonzero((n >= o.least_count) & (pairs != _NO_PAIR))
+        room = min(o.rules_per_round, (1 << 16) - 1 - first - total)
         if not len(ok) or room <= 0:
             break
         if len(ok) > room:
             ok = ok[np.argsort(-n[ok], kind="stable")[:room]]
-        chosen = np.sort(pairs[ok])
-        left, right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        left[chosen >> np.uint32(16)] = True
-        right[chosen & np.uint32(0xFFFF)] = True
-        at = np.flatnonzero(left[sym[:-1]] & right[sym[1:]] & inner)
-        pos = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        hit = chosen[pos] == key[at]
-        at, pos = at[hit], pos[hit]
+        # a table with one place a slot: of two pairs in a slot the more frequent one is taken now, the other in a later round
+        order = np.argsort(n[ok], kind="stable")
+        chosen = pairs[ok][order]
+        slot_of = (chosen * _SPREAD) >> np.uint32(14)
+        table, number_of = np.full(1 << 18, _NO_PAIR, np.uint32), np.zeros(1 << 18, np.int32)
+        table[slot_of], number_of[slot_of] = chosen, np.arange(len(chosen))
+        slot = (key * _SPREAD) >> np.uint32(14)
+        at = np.flatnonzero((table[slot] == key) & (key != _NO_PAIR))
+        pos = number_of[slot[at]]
         # neighbours in a row of overlapping occurrences: every other one, from the left
         fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
