@@ -102,7 +102,7 @@ def tiles(reference: DataFrame, core: int = 8192, margin: int = 6000) -> DataFra
     """chr, tile, at, seq: overlapping pieces of reference (chr, seq); a position p (from 1) is in the core of tile (p - 1) div core, and at is
     the number of bases before the piece."""
     n = F.length("seq")
-    t = reference.select("chr", "seq", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / core))).cast("int").alias("tile"))
+    t = reference.select("chr", "seq", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / core).cast("int"))).alias("tile"))
     at = F.greatest(F.lit(0), F.col("tile") * core - margin)
     end = (F.col("tile") + 1) * core + margin
     return t.select("chr", "tile", at.cast("bigint").alias("at"), F.substring("seq", (at + 1).cast("int"), (end - at).cast("int")).alias("seq"))

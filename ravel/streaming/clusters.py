@@ -16,5 +16,5 @@ def cluster_stream(sigs: DataFrame, bias: int = 1000, late: int = 10_000, min_su
     rows = sigs.withColumn("at", F.timestamp_seconds("pos"))
     if sigs.isStreaming:
         rows = rows.withWatermark("at", f"{late} seconds")
-    g = rows.groupBy("chr", F.session_window("at", f"{bias + 1} seconds")).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct("read_id", 0.01).alias("reads"))
+    g = rows.groupBy("chr", F.session_window("at", f"{bias} seconds")).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct("read_id", 0.01).alias("reads"))
     return g.filter(F.col("n") >= min_support).drop("session_window")
