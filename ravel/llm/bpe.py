@@ -49,7 +49,7 @@ class Encoder:
         for lo in range(0, len(texts), 256):  # the library's results take many times the memory of their ids
             made = [e.ids for e in self.model.encode_batch_fast(texts[lo : lo + 256], add_special_tokens=False)]
             length[lo : lo + len(made)] = [len(x) for x in made]
-            parts.append(np.array([i for x in made for i in x], np.uint32))
+            parts += [np.array(x, np.uint32) for x in made]
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32), length
 
     def _stretches(self, d: np.ndarray, a: np.ndarray, z: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

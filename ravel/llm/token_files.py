@@ -42,8 +42,8 @@ class FileOptions:
     least_gain: float = 0.01
 
 
-#: No symbol is 65535, so this is no pair.
-_NO_PAIR = np.uint32(0xFFFFFFFF)
+#: No symbol is 65535, so these are no pairs.
+_NO_PAIR, _FREE = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 _SPREAD = np.uint32(0x9E3779B1)
 
 
@@ -67,10 +67,10 @@ def repair(ids: np.ndarray, last: np.ndarray, first: int, o: FileOptions) -> tup
         order = np.argsort(n[ok], kind="stable")
         chosen = pairs[ok][order]
         slot_of = (chosen * _SPREAD) >> np.uint32(14)
-        table, number_of = np.full(1 << 18, _NO_PAIR, np.uint32), np.zeros(1 << 18, np.int32)
+        table, number_of = np.full(1 << 18, _FREE, np.uint32), np.zeros(1 << 18, np.int32)
         table[slot_of], number_of[slot_of] = chosen, np.arange(len(chosen))
         slot = (key * _SPREAD) >> np.uint32(14)
-        at = np.flatnonzero((table[slot] == key) & (key != _NO_PAIR))
+        at = np.flatnonzero(table[slot] == key)
         pos = number_of[slot[at]]
         # neighbours in a row of overlapping occurrences: every other one, from the left
         fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
