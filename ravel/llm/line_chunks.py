@@ -3,7 +3,12 @@
 A text is split at \\n. Each line has a 32-bit value v (the first 8 hex digits of its md5); a chunk ends after line i if the rolling
 value v[i] + 3 * v[i-1] (v[-1] = 0) is divisible by `divisor`, so a shared run of lines is cut at the same places wherever it stands. A line
 of `passage_words` words or more is a chunk of its own. Chunks of two lines or more that have a word, and such single passages, are
-removed everywhere but where they come first (by doc_id, then the text's hash, then position).
+removed everywhere but where they come first (by doc_id, then the text's hash, then position). That is what ORACLE says and what op 4 returns.
+
+A passage on several shorter lines can be cut into single short lines, or meet other neighbours in each document; its chunks then differ
+or can't be removed. With `runs`, which dedup_text and so the pipeline use, each line with words, up to the next line with words, is a piece
+too, so that every line of a shared run of two lines or more lies in a repeated piece wherever the run stands. Each line that goes has an equal
+one at an earlier place, which stays or goes for a still earlier one: the first of them always stays.
 
 Plan: chunk hashes are counted with partial sums; those that repeat go into a bit filter of bounded size; only chunks that pass it
 are read again with their bytes, grouped by them and so compared byte for byte; the removals per document meet the texts in one
@@ -35,6 +40,7 @@ class ChunkOptions:
     divisor: int = 3
     min_lines: int = 2
     passage_words: int = 50
+    runs: bool = False
 
 
 FIELDS = T.StructType([T.StructField("text", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed_lines", "n_removed_chunks")])
@@ -57,12 +63,24 @@ def chunks(text: bytes, o: ChunkOptions) -> tuple[list[bytes], list[int], list[b
     return lines, begin, [any(words[a:b]) and (b - a >= o.min_lines or words[a] >= o.passage_words) for a, b in zip(begin, begin[1:])]
 
 
+def pieces(text: bytes, o: ChunkOptions) -> tuple[list[bytes], list[tuple[int, int, int]]]:
+    """The lines, and of each piece that may be removed its position, first line and the line after it."""
+    lines, begin, able = chunks(text, o)
+    if not o.runs:
+        return lines, [(c, begin[c], begin[c + 1]) for c in range(len(able)) if able[c]]
+    worded = [i for i, x in enumerate(lines) if _WORD.search(x)]
+    have = set(worded)
+    # Chunks of two lines or more that begin and end with words consist of pairs.
+    out = [(2 * a, a, b) for a, b, ok in zip(begin, begin[1:], able) if ok and (b - a == 1 or a not in have or b - 1 not in have)]
+    return lines, out + [(2 * a + 1, a, b + 1) for a, b in zip(worded, worded[1:])]
+
+
 def _hash(x: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
 
 
 def removals(docs: DataFrame, o: ChunkOptions) -> DataFrame:
-    """doc_id, h, cuts: the positions of the chunks to remove, by document. docs: doc_id, h (a hash of the text), text."""
+    """doc_id, h, cuts: the positions of the pieces to remove, by document. docs: doc_id, h (a hash of the text), text."""
 
     def scan(batches: Iterator[pa.RecordBatch], bits, with_bytes: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,8 +89,8 @@ def removals(docs: DataFrame, o: ChunkOptions) -> DataFrame:
             size = 0
             for i, text in enumerate(batch.column("text")):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                lines, begin, able = chunks(raw, o)
-                got = [(c, b"\n".join(lines[begin[c] : begin[c + 1]])) for c in range(len(able)) if able[c]]
+                lines, parts = pieces(raw, o)
+                got = [(c, b"\n".join(lines[a:b])) for c, a, b in parts]
                 if not got:
                     continue
                 keys = np.array([_hash(x) for _, x in got], np.int64)
@@ -109,7 +127,7 @@ def _rows(out: tuple[list, ...], with_bytes: bool) -> pa.RecordBatch:
 
 
 def line_dedup(docs: DataFrame, options: ChunkOptions = ChunkOptions(), name: str = "line_chunks") -> DataFrame:
-    """docs with the struct column `name` of FIELDS: the text that is left and what was removed."""
+    """docs with the struct column `name` of FIELDS: the text that is left and what was removed (with `runs`, n_removed_chunks counts stretches of lines)."""
     gone = removals(text_and_id(docs, F.xxhash64(docs["text"].cast("string")).alias("h")), options)
     taken = list(docs.columns)
     h, cuts, gone_id, gone_h = (taken.append(fresh(taken, n)) or taken[-1] for n in ("h", "cuts", "gone_id", "gone_h"))
@@ -126,10 +144,15 @@ def line_dedup(docs: DataFrame, options: ChunkOptions = ChunkOptions(), name: st
             else:
                 raw = text.as_buffer().to_pybytes()
                 if gone_at:
-                    lines, begin, _ = chunks(raw, options)
+                    lines, parts = pieces(raw, options)
                     cut_at = set(gone_at)
-                    kept = [x for c, (a, b) in enumerate(zip(begin, begin[1:])) if c not in cut_at for x in lines[a:b]]
-                    row = (b"\n".join(kept), len(lines), len(lines) - len(kept), len(cut_at))
+                    off = np.zeros(len(lines), bool)
+                    for c, a, b in parts:
+                        if c in cut_at:
+                            off[a:b] = True
+                    kept = [x for x, gone in zip(lines, off.tolist()) if not gone]
+                    n = int(off[0]) + int((off[1:] & ~off[:-1]).sum()) if options.runs else len(cut_at)
+                    row = (b"\n".join(kept), len(lines), len(lines) - len(kept), n)
                 else:
                     row = (raw, raw.count(b"\n") + 1, 0, 0)
             texts.append(row[0])
@@ -140,8 +163,8 @@ def line_dedup(docs: DataFrame, options: ChunkOptions = ChunkOptions(), name: st
     return annotate(marked, name, FIELDS, work, drop_text=True).drop(cuts)
 
 
-def dedup_text(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
-    """docs with repeated chunks taken out of the texts; n_chars, where there is one, follows."""
+def dedup_text(docs: DataFrame, options: ChunkOptions = ChunkOptions(runs=True)) -> DataFrame:
+    """docs with repeated chunks and runs of lines taken out of the texts; n_chars, where there is one, follows."""
     name = fresh(docs.columns, "line_chunks")
     made = line_dedup(docs, options, name)
     new = {"text": F.col(f"{name}.text")}

@@ -183,6 +183,19 @@ def test_line_dedup_equals_plain_version(spark, odd, clashing):
     assert changed.columns == clashing.columns and changed.count() == clashing.count()
 
 
+def test_runs_of_short_lines_go_between_any_neighbours(spark):
+    run = [" ".join(f"w{i}x{j}" for j in range(9)) for i in range(7)]
+    texts = [[f"own {d} a", f"own {d} b", *run, f"end {d}", ""] for d in range(40)]
+    texts += [["a b", "c d", "a b", "c d", "a b"], ["c d", "a b", "e"], ["c d", "x"], ["", "c d", ""]]
+    docs = spark.createDataFrame([(d, "\n".join(t), 0) for d, t in enumerate(texts)], "doc_id long, text string, n_chars long").repartition(3)
+    left = {r.doc_id: r.text.split("\n") for r in line_chunks.dedup_text(docs).collect()}
+    assert left[0] == texts[0]
+    for d in range(1, 40):
+        assert left[d][:2] == texts[d][:2] and f"end {d}" in left[d] and not set(run) & set(left[d]), d
+    assert left[40] == ["a b", "c d"] and left[41] == ["e"] and left[42] == ["c d", "x"]
+    assert {x for t in texts for x in t} == {x for t in left.values() for x in t}
+
+
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
