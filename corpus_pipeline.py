@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.remove_documents(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.remove_documents(docs, read(spark, sf_dir, "benchmark"), decontaminate.DecontaminationOptions(unnamed=True))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

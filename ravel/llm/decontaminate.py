@@ -8,7 +8,8 @@ several blocks, each against all documents, and the hits are put together by row
 than a block. (One item beyond that size makes a block of its own.)
 
 Defined cases: null and empty texts have no words and no hits; items without words (or null) have no windows; item ids that repeat count
-once in n_items; repeated documents are judged each.
+once in n_items; repeated documents are judged each. Items with a null id are left out, unless `unnamed` is set, as the query and the pipeline
+do: then their windows count in n_hit and in the spans, as in ORACLE, and only `items` is without them.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from ravel.llm.common import annotate, fresh
 class DecontaminationOptions:
     n: int = 10
     block_bytes: int = 32 << 20
+    unnamed: bool = False
 
 
 HIT = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -40,7 +42,7 @@ FIELDS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_
 class Windows:
     """The windows of a block of items, by length: sorted hashes, and for each hash the windows (bytes, items) it stands for."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
         by: dict[int, dict[int, dict[bytes, set[str]]]] = {}
         for item, text in items:
             for s in X.slices(pa.array([text], pa.large_string())):
@@ -50,7 +52,9 @@ class Windows:
                     continue
                 joined = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
                 for i, key in enumerate(X.windows_hash(h, k).tolist()):
-                    by.setdefault(k, {}).setdefault(key, {}).setdefault(b" ".join(joined[i : i + k]), set()).add(str(item))
+                    ids = by.setdefault(k, {}).setdefault(key, {}).setdefault(b" ".join(joined[i : i + k]), set())
+                    if item is not None:
+                        ids.add(str(item))
         self.by = {k: (np.array(sorted(d), np.uint64), d, _filter(d)) for k, d in by.items()}
 
 
@@ -82,7 +86,7 @@ def scan(s: X.Slice, windows: Windows) -> tuple[np.ndarray, np.ndarray, list[set
         for i in at.tolist():
             text = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(i, i + k))
             ids = table[int(run[i])].get(text)
-            if ids:
+            if ids is not None:
                 edge[i] += 1
                 edge[i + k] -= 1
                 items[doc[i]] |= ids
@@ -99,7 +103,7 @@ def scan(s: X.Slice, windows: Windows) -> tuple[np.ndarray, np.ndarray, list[set
 
 def blocks(benchmark: DataFrame, block_bytes: int):
     """The items in blocks of bounded size, one after another on the driver."""
-    held: list[tuple[str, str | None]] = []
+    held: list[tuple[str | None, str | None]] = []
     size = 0
     for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator(prefetchPartitions=False):
         n = len((r[1] or "").encode())
@@ -114,7 +118,7 @@ def blocks(benchmark: DataFrame, block_bytes: int):
 def find(docs: DataFrame, benchmark: DataFrame, options: DecontaminationOptions = DecontaminationOptions(), name: str = "decontamination", drop_text: bool = False) -> DataFrame:
     """docs with the struct column `name` of FIELDS."""
     spark = docs.sparkSession
-    made = [spark.sparkContext.broadcast(Windows([x for x in b if x[0] is not None], options.n)) for b in blocks(benchmark, options.block_bytes)]
+    made = [spark.sparkContext.broadcast(Windows([x for x in b if options.unnamed or x[0] is not None], options.n)) for b in blocks(benchmark, options.block_bytes)]
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         n_words, n_hit, items, spans = [], [], [], []

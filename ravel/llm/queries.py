@@ -48,7 +48,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = op5.find(text_and_id(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), drop_text=True).select("doc_id", "decontamination.*")
+    out = op5.find(text_and_id(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), op5.DecontaminationOptions(unnamed=True), drop_text=True).select("doc_id", "decontamination.*")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

@@ -247,3 +247,22 @@ def test_slices_hold_whole_documents():
 
 def test_plain_shingles_of_short_texts():
     assert plain_shingles("One two") == {("one", "two")} and plain_shingles("") == set()
+
+
+def test_items_without_id_count_as_hits(spark, tables):
+    import duckdb
+    from support import same_rows
+
+    import corpus_pipeline
+    from ravel.llm import queries
+
+    d = tables["full"]
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT DISTINCT doc_id, text FROM '{d}/documents.parquet/*.parquet' WHERE doc_id IS NOT NULL")
+    c.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{d}/benchmark.parquet/*.parquet'")
+    name = "op5_benchmark_decontamination"
+    got = queries.queries()[name](spark, d).filter("doc_id is not null").distinct()
+    same_rows(got.toPandas(), c.execute(queries.oracle_sql()[name]).df())
+    assert got.filter("doc_id = 6 and n_hit = 1 and n_items = 0 and contaminated").count() == 1
+    left = dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, read(spark, d, "documents"), d)
+    assert left.filter("doc_id in (6, 7, 8)").count() == 0
