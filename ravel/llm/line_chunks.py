@@ -1,7 +1,8 @@
 """Line dedup with content-defined chunks of lines.
 
 A text is split at \\n. Each line has a 32-bit value v (the first 8 hex digits of its md5); a chunk ends after line i if the rolling
-value v[i] + 3 * v[i-1] (v[-1] = 0) is divisible by `divisor`, so a shared run of lines is cut at the same places wherever it stands. A line
+value v[i] + mix * v[i-1] (v[-1] = 0) is divisible by `divisor`, so a shared run of lines is cut at the same places wherever it stands. With
+mix 3 and divisor 3, which ORACLE has and op 4 therefore keeps, the line before has no effect; dedup_text and the pipeline take mix 5. A line
 of `passage_words` words or more is a chunk of its own. Chunks of two lines or more that have a word, and such single passages, are
 removed everywhere but where they come first (by doc_id, then the text's hash, then position). That is what ORACLE says and what op 4 returns.
 
@@ -41,6 +42,7 @@ class ChunkOptions:
     min_lines: int = 2
     passage_words: int = 50
     runs: bool = False
+    mix: int = 3
 
 
 FIELDS = T.StructType([T.StructField("text", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed_lines", "n_removed_chunks")])
@@ -56,7 +58,7 @@ def chunks(text: bytes, o: ChunkOptions) -> tuple[list[bytes], list[int], list[b
         v = int(hashlib.md5(line).hexdigest()[:8], 16)
         if words[i] >= o.passage_words and begin[-1] != i:
             begin.append(i)
-        if ((v + 3 * last) % o.divisor == 0 or words[i] >= o.passage_words) and i + 1 < len(lines):
+        if ((v + o.mix * last) % o.divisor == 0 or words[i] >= o.passage_words) and i + 1 < len(lines):
             begin.append(i + 1)
         last = v
     begin.append(len(lines))
@@ -163,7 +165,7 @@ def line_dedup(docs: DataFrame, options: ChunkOptions = ChunkOptions(), name: st
     return annotate(marked, name, FIELDS, work, drop_text=True).drop(cuts)
 
 
-def dedup_text(docs: DataFrame, options: ChunkOptions = ChunkOptions(runs=True)) -> DataFrame:
+def dedup_text(docs: DataFrame, options: ChunkOptions = ChunkOptions(runs=True, mix=5)) -> DataFrame:
     """docs with repeated chunks and runs of lines taken out of the texts; n_chars, where there is one, follows."""
     name = fresh(docs.columns, "line_chunks")
     made = line_dedup(docs, options, name)

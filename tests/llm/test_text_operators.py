@@ -183,6 +183,14 @@ def test_line_dedup_equals_plain_version(spark, odd, clashing):
     assert changed.columns == clashing.columns and changed.count() == clashing.count()
 
 
+def test_the_line_before_moves_a_boundary_of_the_pipelines_chunks():
+    import inspect
+
+    o = inspect.signature(line_chunks.dedup_text).parameters["options"].default
+    ends = {line_chunks.chunks(f"{a}\nsame\nlast".encode(), o)[1].count(2) for a in range(20)}
+    assert ends == {0, 1}
+
+
 def test_runs_of_short_lines_go_between_any_neighbours(spark):
     run = [" ".join(f"w{i}x{j}" for j in range(9)) for i in range(7)]
     texts = [[f"own {d} a", f"own {d} b", *run, f"end {d}", ""] for d in range(40)]
