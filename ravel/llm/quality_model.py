@@ -4,7 +4,7 @@ Words here are runs of letters, runs of digits and runs of other signs, hashed i
 vector (two signs at hashed places); its word vector is the sum of the index vectors of the words next to it, over all
 documents, scaled to length 1. The sums are made per task and added up on the executors; `buckets * dims` numbers reach the driver at any size.
 A document is the mean of its words' vectors, the mean over its distinct words, and three ratios (repeated words, upper case, length).
-The network (tanh layer, logistic output) is fitted on a bounded sample of labelled rows (`fit_rows`); a fifth of them, never
+The network (tanh layer, logistic output) is fitted on a bounded sample of labelled rows (`fit_rows`), `epochs` times over at any number of rows; a fifth of them, never
 trained on, sets the temperature that its log-odds are divided by.
 
 Defined cases: null and empty texts are pooled to zeros and scored like any other; a doc_id with several labels counts as good if any is 1;
@@ -33,7 +33,7 @@ class VectorOptions:
     dims: int = 32
     hidden: int = 32
     fit_rows: int = 20_000
-    epochs: int = 60
+    epochs: int = 120
     batch: int = 128
     rate: float = 0.003
     decay: float = 1e-4
@@ -156,8 +156,7 @@ def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, o: VectorOptions) -
     p = [m.w1, m.b1, m.w2, np.zeros(1, np.float32)]
     first, second = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     z, t = ((x - mean) / scale).astype(np.float32), 0
-    epochs = o.epochs if len(fit) > 4000 else 2 * o.epochs
-    for _ in range(epochs):
+    for _ in range(o.epochs):
         rng.shuffle(fit)
         for lo in range(0, len(fit), o.batch):
             k = fit[lo : lo + o.batch]

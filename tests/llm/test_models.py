@@ -152,3 +152,26 @@ def test_nce_learns_a_pattern():
         t.learn(np.roll(w, 1), np.roll(w, 2), w)
     m = neural_lm.scorer(v, t.p)
     assert all(np.exp(m.s1[(k - 1) % 4, k] + m.s2[(k - 2) % 4, k] - m.norm[(k - 1) % 4, (k - 2) % 4]) > 0.8 for k in range(4))
+
+
+def test_passes_of_the_quality_network_do_not_depend_on_rows(monkeypatch):
+    make, passes = np.random.default_rng, []
+
+    class Counted:
+        def __init__(self, seed):
+            self.rng = make(seed)
+
+        def shuffle(self, x):
+            passes[-1] += 1
+            self.rng.shuffle(x)
+
+        def __getattr__(self, name):
+            return getattr(self.rng, name)
+
+    monkeypatch.setattr(quality_model.np.random, "default_rng", Counted)
+    o = quality_model.VectorOptions(dims=1, hidden=2, epochs=3)
+    for n in (200, 6000):
+        x = make(n).standard_normal((n, 5)).astype(np.float32)
+        passes.append(0)
+        quality_model.train(np.zeros((1, 1), np.float32), x, (x[:, 0] > 0).astype(np.float32), o)
+    assert passes == [3, 3]
