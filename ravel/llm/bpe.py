@@ -3,6 +3,7 @@
 A text may be cut before a single space that stands between two visible characters: the library's own splitting always begins a
 piece there, so the ids of the stretches, one after another, are the ids of the text. Stretches are hashed (128 bits), looked up in the
 worker's cache, and only new ones go through the library; a full cache takes no more, and those stretches are encoded each time.
+The operators encode as the library does by itself: <|endoftext|> in a text is one id, 50256. With `plain_specials` it is text like any other.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ def default_path() -> str:
 class Encoder:
     """ids of whole texts; `limit` bounds the cached stretches."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 500_000, plain_specials: bool = True):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = plain_specials
         #: Bytes of each id: a letter of the vocabulary's alphabet stands for one byte.
         self.bytes_of = np.zeros(self.model.get_vocab_size(), np.int64)
         for token, i in self.model.get_vocab().items():
@@ -155,5 +156,5 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """This worker's encoder, kept from task to task."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, plain_specials=False)
     return _encoders[path]

@@ -118,3 +118,23 @@ def test_files_hold_the_librarys_ids_in_order(spark, odd, library):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (t.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert token_files.fetch(shards, 7) == [[*library("Two words"), 2]]
+
+
+def test_special_tokens_in_texts_are_what_the_library_makes_of_them(spark):
+    library = Tokenizer.from_file(bpe.default_path())
+    texts = [*ODD, "a b <|endoftext|> c d", "a<|endoftext|>b c", "<|endoftext|>", "a <|endoftext|><|endoftext|> b <|endo ftext|> c  <|endoftext|>  d " * 40]
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert want[len(ODD) + 2] == [50256]
+    for limit in (0, 100_000):
+        e, got = bpe.Encoder(bpe.default_path(), limit, plain_specials=False), []
+        for s in X.slices(pa.array(texts), 20_000):
+            flat, at = e.slice(s)
+            got += [flat[a:b].tolist() for a, b in zip(at, at[1:])]
+        assert got == list(want.values())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = {i: [*x, 2] for i, x in want.items()}
+    crc = {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in want.items()}
+    rows = token_files.read_back(token_files.write(docs)).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in rows} == {i: (len(x), crc[i]) for i, x in want.items()}
+    for r in packing.pack(docs).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
