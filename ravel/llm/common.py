@@ -45,6 +45,17 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Bytes of a plan that one task of a sort by ranges takes.
+PART_BYTES = 128 << 20
+
+
+def parts_by_size(df: DataFrame) -> int | None:
+    """So many parts that each has PART_BYTES by the plan's own estimate; None if the session's number of shuffle partitions is as many."""
+    need = math.ceil(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / PART_BYTES)
+    # a plan without statistics counts as 2**63 bytes
+    return need if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < need < 1 << 24 else None
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and lost executors cost nothing before it."""
     spark = df.sparkSession

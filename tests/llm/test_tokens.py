@@ -88,7 +88,7 @@ def test_least_squares_is_optimal_on_a_small_case():
 
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(1)
-    o = token_files.FileOptions(least_count=4, rounds=12)
+    o = token_files.FileOptions()
     docs = [np.append(rng.choice([5, 6, 7, 5], n), 2) for n in (0, 1, 2, 3000, 0, 50)] + [np.array([9] * 999 + [2])]
     n = np.array([len(x) for x in docs])
     raw = token_files.write_shard([None, 1, 2, 3, 4, 5, 6], np.concatenate(docs).astype(np.uint32), n, 50257, o)
@@ -118,6 +118,80 @@ def test_files_hold_the_librarys_ids_in_order(spark, odd, library):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (t.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert token_files.fetch(shards, 7) == [[*library("Two words"), 2]]
+    assert token_files.fetch(shards, 4) == [[2]] and token_files.fetch(shards, 99) == [] and len(token_files.fetch(shards, None)) == 1
+    assert len(token_files.fetch(shards, 2)) == 2
+
+
+def test_fetch_reads_the_one_shard_that_has_the_document(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 20) for i in range(200)], "doc_id long, text string").repartition(4)
+    shards = token_files.write(docs, options=token_files.FileOptions(shard_ids=1000))
+    assert shards.count() >= 8
+    for i in (0, 77, 199):
+        assert token_files.shards_with(shards, i).count() == 1 and len(token_files.fetch(shards, i)) == 1
+    assert token_files.shards_with(shards, 1000).count() == 0 and token_files.shards_with(shards, None).count() == 0
+
+
+def plain_repair(docs, first, most):
+    """The symbols left when the most frequent pair is replaced, one pair at a time, until none is found twice or `most` rules are there."""
+    docs, made = [list(d) for d in docs], 0
+    while made < most:
+        c = {}
+        for d in docs:
+            i = 0
+            while i < len(d) - 1:
+                p = (d[i], d[i + 1])
+                c[p] = c.get(p, 0) + 1
+                i += 2 if i + 2 < len(d) and d[i] == d[i + 1] == d[i + 2] else 1  # a row of one symbol holds half as many pairs
+        best = max(c, key=c.get, default=None)
+        if best is None or c[best] < 2:
+            break
+        for k, d in enumerate(docs):
+            out, i = [], 0
+            while i < len(d):
+                if i + 1 < len(d) and (d[i], d[i + 1]) == best:
+                    out.append(first + made)
+                    i += 2
+                else:
+                    out.append(d[i])
+                    i += 1
+            docs[k] = out
+        made += 1
+    return sum(map(len, docs)), made
+
+
+@pytest.mark.parametrize("first,length", [(50257, 2500), (65535 - 300, 12_000)])
+def test_repair_is_as_short_as_replacing_one_pair_at_a_time(spark, sf_dir, library, first, length):
+    texts = [r.text for r in read(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").limit(60).collect()]
+    docs, size = [], 0
+    for t in texts:
+        d = [x % 1009 for x in library(t)] + [2]
+        docs.append(d[: length - size])
+        size += len(docs[-1])
+        if size >= length:
+            break
+    last = np.zeros(size, bool)
+    last[np.cumsum([len(d) for d in docs]) - 1] = True
+    o = token_files.FileOptions(rules_per_round=16)
+    sym, rules, _ = token_files.repair(np.concatenate([np.array(d) for d in docs]), last, first, o)
+    want, made = plain_repair(docs, first, 65535 - first)
+    assert len(sym) <= 1.02 * want and len(rules) <= 65535 - first
+    if made < 65535 - first:  # it ended because no pair was left: so it is here
+        assert plain_repair([x.tolist() for x in np.split(sym, np.flatnonzero(_)[:-1] + 1)], first + len(rules), 10**6)[1] == 0
+
+
+def test_encoder_gives_the_librarys_ids_for_any_mixture(library):
+    import random
+
+    plain = Tokenizer.from_file(bpe.default_path())
+    marks = list("aab 's'tdl  12.,-!\n\n\tZÉé×÷ñß²½ª°日 　\x85\x1cÃ\u0301") + ["<|endoftext|>", " don't", "'re", "'ll've", "<|", "|>", "x" * 40, "\r\n"]
+    r = random.Random(5)
+    texts = ["".join(r.choice(marks) for _ in range(r.randrange(60))) for _ in range(1500)]
+    for want, specials in ((library, True), (lambda t: plain.encode(t, add_special_tokens=False).ids, False)):
+        e, got = bpe.Encoder(bpe.default_path(), plain_specials=specials), []
+        for s in X.slices(pa.array(texts), 2000):
+            flat, at = e.slice(s)
+            got += [flat[a:b].tolist() for a, b in zip(at, at[1:])]
+        assert got == [want(t) for t in texts] and e.held > 100
 
 
 def test_special_tokens_in_texts_are_what_the_library_makes_of_them(spark):
