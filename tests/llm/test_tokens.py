@@ -123,7 +123,7 @@ def test_files_hold_the_librarys_ids_in_order(spark, odd, library):
 
 
 def test_fetch_reads_the_one_shard_that_has_the_document(spark):
-    docs = spark.createDataFrame([(i, f"some words of text {i} " * 20) for i in range(200)], "doc_id long, text string").repartition(4)
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 600) for i in range(200)], "doc_id long, text string").repartition(4)
     shards = token_files.write(docs, options=token_files.FileOptions(shard_ids=1000))
     assert shards.count() >= 8
     for i in (0, 77, 199):
