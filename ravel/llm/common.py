@@ -72,6 +72,12 @@ def fresh(names: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def free_name(df: DataFrame, name: str) -> None:
+    """ValueError if df has a column of that name (in any case)."""
+    if fresh(df.columns, name) != name:
+        raise ValueError(f"there is a column {name} already; give the result another name")
+
+
 def text_and_id(df: DataFrame, *more: Column) -> DataFrame:
     """Only doc_id (long) and text (string), and what else is asked for: other columns never meet those of an operator."""
     small_batches(df.sparkSession)
@@ -86,7 +92,7 @@ def crc_mod(column: Column | str, m: int) -> Column:
 def annotate(df: DataFrame, name: str, fields: T.StructType, work: Callable[[pa.RecordBatch], list[pa.Array]], text: str = "text", drop_text: bool = False) -> DataFrame:
     """Add a struct column `name` of `fields`, which `work` computes from each Arrow batch; other columns pass unchanged."""
     small_batches(df.sparkSession)
-    assert name.lower() not in {c.lower() for c in df.columns}
+    free_name(df, name)
     keep = [c for c in df.columns if not (drop_text and c == text)]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, fields)])
     names = fields.fieldNames()
@@ -136,6 +142,17 @@ class Bits:
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
+def marked_by(bits: Bits, key: Column, spark: SparkSession) -> Column:
+    """Whether the filter may have the key (a long), by rows. Only the key goes to Python."""
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def has(k: pa.Array) -> pa.Array:
+        return pa.array(shared.value.may_have(np.asarray(k.fill_null(0), np.int64)))
+
+    return has(key)
+
+
 def bits_of(df: DataFrame, column: str, most_bits: int = 1 << 26) -> Bits:
     """The bit filter of a column of longs. It has about 16 bits a row, `most_bits` at most, so that the driver and the
     broadcast hold 8 MB at most at any input size; with more rows it lets more through, and the exact join that always

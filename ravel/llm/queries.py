@@ -44,7 +44,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op4.line_dedup(text_and_id(read(spark, sf_dir, "documents")))
-    return out.select("doc_id", "line_chunks.n_lines", "line_chunks.n_removed_lines", "line_chunks.n_removed_chunks", F.md5(F.col("line_chunks.text").cast("binary")).alias("text_md5"))
+    return out.select("doc_id", "line_chunks.n_lines", "line_chunks.n_removed_lines", "line_chunks.n_removed_chunks", "line_chunks.n_removed_passages", F.md5(F.col("line_chunks.text").cast("binary")).alias("text_md5"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,57 +138,104 @@ def test_keep_one_of_each_class(spark, clashing, odd):
     assert 1 in kept and 2 not in kept
 
 
-def plain_chunks(text, o):
-    lines = text.split("\n")
-    out, cur, last = [], [], 0
-    for i, line in enumerate(lines):
-        n = len(SPACE.findall(line))
-        if n >= o.passage_words and cur:
-            out.append(cur)
-            cur = []
-        cur.append(line)
-        v = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
-        if (v + 3 * last) % o.divisor == 0 or n >= o.passage_words:
-            out.append(cur)
-            cur = []
-        last = v
-    return out + ([cur] if cur else [])
-
-
-def test_line_dedup_equals_plain_version(spark, odd, clashing):
-    shared = "shared line one\nshared line two\nshared line three\nshared line four\nshared line five\nshared line six"
-    long = " ".join(f"passage{i}" for i in range(55))
-    extra = [(100 + i, f"own {i}\nmore {i}\n{shared}\nend {i}" + (f"\n{long}" if i % 2 else ""), "en", "s", 0) for i in range(6)]
-    docs = odd.union(spark.createDataFrame(extra, odd.schema))
-    o = line_chunks.ChunkOptions()
-    rows = sorted({(r.doc_id is not None, r.doc_id or 0, r.text) for r in docs.collect() if r.text is not None})
-    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
-    rows.sort(key=lambda r: (r[0], r[1], hashes[r[2]]))
-    seen, want = set(), {}
-    for known, i, t in rows:
-        kept = []
-        for c in plain_chunks(t, o):
-            words = [len(SPACE.findall(x)) for x in c]
-            body = "\n".join(c)
-            if any(words) and (len(c) >= o.min_lines or words[0] >= o.passage_words):
-                if body in seen:
-                    continue
-                seen.add(body)
-            kept.append(body)
-        want[(i if known else None, t)] = "\n".join(kept)
-    got = line_chunks.line_dedup(docs).withColumn("old", F.lit(None)).select("doc_id", "line_chunks.text", "line_chunks.n_lines", "line_chunks.n_removed_lines").collect()
-    assert Counter((r.doc_id, r.text) for r in got if r.text is not None) == Counter((r.doc_id, want[(r.doc_id, r.text)]) for r in docs.collect() if r.text is not None)
-    assert sum(r.n_removed_lines for r in got) > 0 and sum(r.text is None for r in got) == 1
+def plain_ends(lines):
+    """Whether a chunk ends after each line: the polynomial of the last three lines' values at 31, modulo 1000003, is in the lowest third."""
+    v = [0, 0] + [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    return [3 * ((v[i + 2] + 31 * v[i + 1] + 31 * 31 * v[i]) % 1_000_003) < 1_000_003 for i in range(len(lines))]
+
+
+def plain_dedup(rows, run_words):
+    """What is left of each of (place, text), by rising place: the text, and how many lines, chunks and passages went."""
+    seen, out = set(), {}
+    docs = [(place, t.split("\n")) for place, t in rows]
+    first = {}
+    parts = []
+    for place, lines in docs:
+        n = [len(SPACE.findall(x)) for x in lines]
+        chunks, begin = [], 0
+        for i, e in enumerate(plain_ends(lines)):
+            if e or i + 1 == len(lines):
+                if i + 1 - begin >= 2 and sum(n[begin : i + 1]):
+                    chunks.append((begin, i))
+                begin = i + 1
+        worded = [i for i, k in enumerate(n) if k]
+        pairs = list(zip(worded, worded[1:]))
+        long = [(i, i) for i in worded if n[i] >= 50]
+        parts.append((chunks, pairs, long, worded, n))
+        for kind, pieces in enumerate((chunks, pairs, long)):
+            for a, z in pieces:
+                first.setdefault((kind, "\n".join(lines[a : z + 1])), (place, a))
+    for (place, lines), (chunks, pairs, long, worded, n) in zip(docs, parts):
+        again = lambda kind, a, z: first[(kind, "\n".join(lines[a : z + 1]))] != (place, a)
+        gone = [x for x in chunks if again(0, *x)]
+        runs, k = [], 0
+        while k < len(pairs):
+            j = k
+            while j < len(pairs) and again(1, *pairs[j]):
+                j += 1
+            if j > k and sum(n[i] for i in worded[k : j + 1]) >= run_words:
+                runs.append((worded[k], worded[j]))
+            k = j + 1
+        alone = [x for x in long if again(2, *x) and not any(a <= x[0] <= z for a, z in runs)]
+        off = {i for a, z in gone + runs + alone for i in range(a, z + 1)}
+        out[place] = ("\n".join(x for i, x in enumerate(lines) if i not in off), len(lines), len(off), len(gone), len(runs) + len(alone))
+    return out
+
+
+@pytest.mark.parametrize("run_words,bits", [(50, 64), (0, 64), (50, 5), (0, 3)])
+def test_line_dedup_equals_plain_version(spark, odd, run_words, bits):
+    import random
+
+    r = random.Random(8)
+    vocab = [" ".join(r.choice("abcdefgh") * 3 for _ in range(r.choice([1, 3, 12, 30]))) for _ in range(14)] + ["", " ", "\t", " ".join(f"passage{i}" for i in range(55))]
+    extra = [(100 + i, "\n".join(r.choice(vocab) for _ in range(r.randrange(1, 14))), "en", "s", 0) for i in range(60)]
+    shared = "\n".join(f"shared line {i} " + "of some words " * 4 for i in range(9))
+    extra += [(200 + i, f"own {i}\nmore {i}\n{shared}\nend {i}", "en", "s", 0) for i in range(6)]
+    docs = odd.union(spark.createDataFrame(extra + extra[:3], odd.schema))
+    hashes = {x.text: x.h for x in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows = sorted({((x.doc_id is not None, x.doc_id or 0, hashes[x.text]), x.text) for x in docs.collect() if x.text is not None})
+    want = plain_dedup(rows, run_words)
+    got = line_chunks.line_dedup(docs.withColumnRenamed("text", "x").withColumn("text", F.col("x")), line_chunks.ChunkOptions(run_words=run_words, hash_bits=bits)).collect()
+    assert len(got) == docs.count()
+    for x in got:
+        m = x.line_chunks
+        if x.x is None:
+            assert tuple(m) == (None, 0, 0, 0, 0)
+        else:
+            assert tuple(m) == want[(x.doc_id is not None, x.doc_id or 0, hashes[x.x])]
+    assert all(sum(v[k] for v in want.values()) > 0 for k in (2, 3, 4))
+
+
+def test_line_dedup_keeps_clashing_columns(clashing):
     changed = line_chunks.dedup_text(clashing)
     assert changed.columns == clashing.columns and changed.count() == clashing.count()
+    with pytest.raises(ValueError):
+        line_chunks.line_dedup(clashing)
+
+
+def chunk_ends(text):
+    """The lines that chunks begin with in the operator."""
+    (s,) = X.slices(pa.array([text]))
+    return line_chunks.Lines(s, line_chunks.ChunkOptions()).chunk_begins().tolist()
+
+
+@pytest.mark.parametrize("back", [1, 2, 3])
+def test_a_boundary_follows_the_last_three_lines_and_no_other(back):
+    made = {3 + back in chunk_ends("\n".join(["x", "y", *(f"{a}" if i == 0 else f"l{i}" for i in range(back)), "same", "z"])) for a in range(30)}
+    assert len(made) == (2 if back < 3 else 1)
+
 
+def test_chunks_do_not_follow_shifts():
+    run = [f"line number {i} of a shared run" for i in range(400)]
 
-def test_the_line_before_moves_a_boundary_of_the_pipelines_chunks():
-    import inspect
+    def of(before):
+        begin = [i - len(before) for i in chunk_ends("\n".join([*before, *run]))]
+        return {i for i in begin if i >= 3}  # the first two lines of the run have others in their window
 
-    o = inspect.signature(line_chunks.dedup_text).parameters["options"].default
-    ends = {line_chunks.chunks(f"{a}\nsame\nlast".encode(), o)[1].count(2) for a in range(20)}
-    assert ends == {0, 1}
+    want = of([])
+    assert 90 < len(want) < 180
+    for k in range(1, 12):
+        assert of([f"other {k} {j}" for j in range(k)]) == want
 
 
 def test_runs_of_short_lines_go_between_any_neighbours(spark):
