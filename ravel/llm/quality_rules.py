@@ -4,12 +4,15 @@ Two multinomials over `buckets` hashed byte n-grams are counted over all documen
 documents that a label marks as trusted. A document's verdict is the mean over its n-grams of log p(h)/q(h), against a fixed
 threshold, so every document gets the same answer whatever partition it is in.
 
-Counting joins the labels once (a shuffle on doc_id, no broadcast that grows with the labels) and sums per task before the
-shuffle. What reaches the driver is one number pair per bucket, at any input size.
-
-Defined cases: a null or empty text has no words and no n-grams, its ratio is 0 and it fails the base rules; repeated rows
-are counted and judged as often as they come; a doc_id with several labels is trusted if any of them is 1; with no trusted
-document at all the ratio is 0 everywhere. Extra columns pass through; a clash with the result's name is settled by the caller.
+Counting reads the texts where they are. The trusted doc_ids make a bit filter of bounded size, the doc_ids that pass it without being trusted (found by a
+join of ids alone) a second one: a document that passes the first and not the second is trusted, one that doesn't pass the first is not. Only the texts that
+pass both, a few in a hundred while the filters aren't full, meet the trusted ids in a join. Sums per task come before the shuffle; what reaches the driver is one
+number pair per bucket, at any input size.
+
+Defined cases: a null or empty text has no words and no n-grams, its ratio is 0 and it fails the base rules; a very long text is judged whole, in one task's
+memory; repeated rows are counted and judged as often as they come; a doc_id with several labels is trusted if any of them is 1, a null doc_id never is; with no
+trusted document at all, or an empty table, the ratio is 0 everywhere; a ratio equal to the threshold is kept. Extra columns pass through; if one has the
+result's name, ValueError says so (keep_good finds a free name by itself).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravel.llm import textcore as X
-from ravel.llm.common import annotate, fresh, text_and_id
+from ravel.llm.common import annotate, bits_of, cut, free_name, fresh, marked_by, text_and_id
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,8 @@ class QualityOptions:
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
+    #: Bits of the filters of doc_ids at most.
+    filter_bits: int = 1 << 26
 
 
 FIELDS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("base_failed", T.BooleanType()), T.StructField("llr", T.DoubleType()), T.StructField("kept", T.BooleanType())])
@@ -61,23 +66,39 @@ def grams(s: X.Slice, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket[whole].astype(np.int64), before[np.minimum(s.off, m)]
 
 
-def gram_counts(docs: DataFrame, trusted: str, options: QualityOptions) -> tuple[np.ndarray, np.ndarray]:
-    """How often each bucket occurs in all documents and in those with the boolean column `trusted`."""
+def gram_counts(docs: DataFrame, trusted: DataFrame, options: QualityOptions) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket occurs in all documents (doc_id, text) and in those whose doc_id is in trusted (distinct doc_ids, none null)."""
+    sc = docs.sparkSession.sparkContext
+    may = bits_of(trusted, "doc_id", options.filter_bits)
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    wrong = ids.filter(marked_by(may, F.col("doc_id"), docs.sparkSession)).join(trusted, "doc_id", "left_anti").distinct()
+    not_ = bits_of(cut(wrong, "untrusted"), "doc_id", options.filter_bits)
+    known = docs.filter("doc_id is not null")
+    unsure = known.filter(marked_by(may, F.col("doc_id"), docs.sparkSession) & marked_by(not_, F.col("doc_id"), docs.sparkSession)).join(trusted.hint("merge"), "doc_id", "left_semi")
+    shared = sc.broadcast((may, not_))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, options.buckets), np.int64)
         for batch in batches:
-            mark = np.asarray(batch.column("trusted").fill_null(False))
+            if every:
+                may, not_ = shared.value
+                own_ids = batch.column("doc_id")
+                key = np.asarray(own_ids.fill_null(0))
+                mark = may.may_have(key) & ~not_.may_have(key) & np.asarray(own_ids.is_valid())
+            else:
+                mark = np.ones(batch.num_rows, bool)
             for s in X.slices(batch.column("text")):
                 bucket, before = grams(s, options.n, options.buckets)
-                total[0] += np.bincount(bucket, minlength=options.buckets)
+                if every:
+                    total[0] += np.bincount(bucket, minlength=options.buckets)
                 own = np.repeat(mark[s.lo : s.hi], np.diff(before))
                 total[1] += np.bincount(bucket[own], minlength=options.buckets)
-        at = np.flatnonzero(total[0])
+        at = np.flatnonzero(total.any(0))
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["bucket", "q", "p"])
 
-    rows = docs.select("text", F.col(trusted).alias("trusted")).mapInArrow(run, "bucket long, q long, p long")
+    schema = "bucket long, q long, p long"
+    rows = docs.select("doc_id", "text").mapInArrow(lambda b: count(b, True), schema).union(unsure.select("doc_id", "text").mapInArrow(lambda b: count(b, False), schema))
     got = rows.groupBy("bucket").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).toArrow()  # one row a bucket at most
     out = np.zeros((2, options.buckets), np.int64)
     if got.num_rows:
@@ -161,9 +182,9 @@ def rules(docs: DataFrame, ratio: np.ndarray, options: QualityOptions, name: str
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, options: QualityOptions = QualityOptions(), name: str = "quality_rules", drop_text: bool = False) -> DataFrame:
     """docs with the struct column `name`. trusted: doc_ids of the trusted documents (repeats and nulls do no harm)."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().withColumn("trusted", F.lit(True)).hint("merge")  # the labels grow with the corpus: never broadcast
-    marked = text_and_id(docs).join(ids, "doc_id", "left")
-    q, p = gram_counts(marked, "trusted", options)
+    free_name(docs, name)
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
+    q, p = gram_counts(text_and_id(docs), cut(ids, "trusted"), options)
     return rules(docs, log_ratio(q, p, options.alpha), options, name, drop_text)
 
 
