@@ -137,6 +137,14 @@ class Bits:
         self.words = words
         self.mask = np.uint64(len(words) * 64 - 1)
 
+    @classmethod
+    def of(cls, h: np.ndarray) -> Bits:
+        """The filter of some hashes (uint64), with 16 to 32 bits for each."""
+        made = cls(np.zeros(1 << max(6, math.ceil(math.log2(max(1, len(h) / 4)))), np.uint64))
+        at = h & made.mask
+        np.bitwise_or.at(made.words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        return made
+
     def may_have(self, h: np.ndarray) -> np.ndarray:
         at = h.view(np.uint64) & self.mask
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0

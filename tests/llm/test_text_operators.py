@@ -55,8 +55,9 @@ def plain_llr(texts, trusted, o):
     return out
 
 
-def test_quality_rules_equal_plain_version(spark, odd, sf_dir):
-    o = quality_rules.QualityOptions()
+@pytest.mark.parametrize("bits", [1 << 26, 64])  # with 64 most documents pass both filters
+def test_quality_rules_equal_plain_version(spark, odd, sf_dir, bits):
+    o = quality_rules.QualityOptions(filter_bits=bits)
     docs = text_and_id(odd).union(text_and_id(read(spark, sf_dir, "documents")).filter("doc_id between 20 and 60"))
     good = spark.createDataFrame([(1,), (2,), (8,), (21,), (30,), (40,), (1,), (None,)], "doc_id long")
     rows = quality_rules.quality_rules(docs, good, o).select("doc_id", "text", "quality_rules.*").collect()
@@ -269,11 +270,11 @@ def plain_hits(text, items, n=10):
     return len(w), len(hit), sorted(map(str, found))
 
 
-@pytest.mark.parametrize("block_bytes", [32 << 20, 40])
-def test_decontamination_equals_plain_version(spark, tables, clashing, block_bytes):
+@pytest.mark.parametrize("table_bytes", [64 << 20, 40])  # the second: a join in place of the broadcast table
+def test_decontamination_equals_plain_version(spark, tables, clashing, table_bytes):
     docs, bench = read(spark, tables["full"], "documents"), read(spark, tables["full"], "benchmark")
     items = [(r.item_id, r.text) for r in bench.collect() if r.item_id is not None]
-    o = decontaminate.DecontaminationOptions(block_bytes=block_bytes)
+    o = decontaminate.DecontaminationOptions(table_bytes=table_bytes)
     rows = decontaminate.find(docs, bench, o).select("text", "decontamination.*").collect()
     for r in rows:
         assert (r.n_words, r.n_hit, r["items"]) == plain_hits(r.text, items)
@@ -284,6 +285,37 @@ def test_decontamination_equals_plain_version(spark, tables, clashing, block_byt
     assert all(plain_hits(t, items)[1] == 0 for t in left.values())
 
 
+def test_both_ways_give_the_same_spans_for_many_items(spark):
+    import random
+
+    r = random.Random(6)
+    text = lambda n: " ".join(r.choice("ab") + str(r.randrange(4)) for _ in range(n))
+    items = [(str(i % 90) if i % 9 else None, text(r.choice([0, 1, 2, 5, 10, 11, 14]))) for i in range(120)]
+    docs = [(i, text(r.choice([3, 12, 60, 300])) + " " + r.choice(items)[1].upper() + " - " + text(5)) for i in range(80)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = []
+    for table_bytes in (64 << 20, 1):
+        o = decontaminate.DecontaminationOptions(table_bytes=table_bytes, unnamed=True)
+        got.append({x.doc_id: x.decontamination for x in decontaminate.find(df, bench, o).collect()})
+    assert got[0] == got[1]
+    for i, t in docs:
+        n, hit, found = plain_hits(t, items)
+        assert (got[0][i].n_words, got[0][i].n_hit, got[0][i]["items"]) == (n, hit, [x for x in found if x != "None"])
+
+
+def test_built_windows_stay_within_their_bound():
+    import random
+
+    r = random.Random(7)
+    for word in ("a", "some longer words"):
+        items = [(str(i), " ".join(r.choice(word.split()) for _ in range(2000))) for i in range(50)]
+        w = decontaminate.Windows(items, 10)
+        assert w.nbytes() <= decontaminate.BUILT * sum(len(t) for _, t in items)
+    many = [(str(i), " ".join(f"{r.randrange(10**6):06d}" for _ in range(3000))) for i in range(50)]
+    assert decontaminate.Windows(many, 10).nbytes() < 6 * sum(len(t) for _, t in many)
+
+
 def test_bit_filter_never_misses(spark):
     df = spark.createDataFrame([(i * 7919 - 10**6,) for i in range(500)], "k long")
     bits = bits_of(df, "k")
