@@ -35,7 +35,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(out: DataFrame, name: str, held_out: Column, least: float) -> DataFrame:
     score = F.col(f"{name}.score")
-    return out.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= least).cast("int").alias("predicted"))
+    # a null doc_id is not held out
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score.alias("score"), (score >= least).cast("int").alias("predicted"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

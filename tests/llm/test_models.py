@@ -36,32 +36,73 @@ def test_labels_of_held_out_rows_play_no_part(spark, tables, sf_dir):
     assert (a.chosen == b.chosen).all() and np.allclose(a.weights, b.weights)
 
 
-def test_swapping_terms_hardly_moves_the_score(spark):
-    """A term that goes with toxic labels by accident: the penalty takes its weight away, the insult keeps its own."""
+def biased_rows(n=1200):
+    """An insult in most toxic texts, and a term that goes with toxic labels by accident, most of all where there is no insult."""
     import random
 
     r = random.Random(3)
     fill = [f"word{i}" for i in range(60)]
     rows = []
-    for i in range(1200):
+    for i in range(n):
         toxic = i % 2
         w = [r.choice(fill) for _ in range(25)]
-        if toxic:
+        rude = toxic and r.random() < 0.7
+        if rude:
             w.insert(r.randrange(25), "moron")
-        if r.random() < (0.6 if toxic else 0.05):
+        if r.random() < (0.9 if toxic and not rude else 0.5 if toxic else 0.05):
             w.insert(r.randrange(25), "muslims")
         rows.append((i, " ".join(w), toxic))
+    return rows, fill, r
+
+
+def test_the_default_penalty_evens_out_held_out_mentions(spark):
+    """The term's weight goes and the insult keeps its own, on sentences that no sample has, for every pair of its group."""
+    rows, fill, r = biased_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    neutral = spark.createDataFrame([(0, "word1 word2 muslims word3"), (1, "word1 word2 christians word3"), (2, "word1 word2 word3"), (3, "word1 moron word3")], "doc_id long, text string")
+    group = next(g for g in toxicity.IDENTITY_TERMS if "muslims" in g)
+    frames = [" ".join(r.choice(fill) for _ in range(8)) for _ in range(20)]
+    texts = [(k * 10 + i, f"{f} {t} word1") for k, f in enumerate(frames) for i, t in enumerate(("", *group))] + [(1000 + k, f"{f} moron word1") for k, f in enumerate(frames)]
+    new = spark.createDataFrame(texts, "doc_id long, text string")
 
-    def scores(penalty):
-        o = toxicity.ToxicityOptions(penalty=penalty)
+    def scores(o):
         m = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), o)
-        return {x.doc_id: x.toxicity.score for x in toxicity.score(neutral, m, o).collect()}
-
-    without, with_ = scores(0.0), scores(20.0)
-    assert abs(with_[0] - with_[1]) < abs(without[0] - without[1]) and abs(with_[0] - with_[1]) < 0.1
-    assert with_[3] > 0.5 and with_[0] < 0.5 and with_[2] < 0.5
+        got = {x.doc_id: x.toxicity.score for x in toxicity.score(new, m, o).collect()}
+        gaps = [max(v) - min(v) for v in ([got[k * 10 + i] for i in range(7)] for k in range(20))]
+        flagged = np.mean([got[k * 10 + i] >= 0.5 for k in range(20) for i in range(7)])
+        return max(gaps), flagged, np.mean([got[1000 + k] >= 0.5 for k in range(20)])
+
+    without, with_ = scores(toxicity.ToxicityOptions(penalty=0.0)), scores(toxicity.ToxicityOptions())
+    assert without[0] > 0.2 and with_[0] < 0.1 and with_[0] < without[0] / 3
+    assert with_[1] == 0 and with_[2] == 1
+
+
+def test_counterfactual_sets_exist_on_the_querys_own_rows(spark, sf_dir):
+    """Every sampled document gives a set of versions that differ in one term; the fitted scores of the versions agree."""
+    docs, labels = text_and_id(read(spark, BIG, "documents")), read(spark, BIG, "labels")
+    o = toxicity.ToxicityOptions()
+    few = toxicity.sample(docs, labels, "toxic", o.fit_rows)
+    chosen, _, _ = toxicity.choose(few, o)
+    x, y, sets = toxicity.fit_bits(few, chosen, o)
+    assert len(sets) > 0.9 * len(y) and all(len(s) >= 2 for s in sets)
+    w, b = toxicity.descend(x, y, sets, o)
+    score = lambda m: 1 / (1 + np.exp(-(m @ w + b)))
+    assert max(np.ptp(score(s)) for s in sets) < 0.1
+
+
+def test_versions_differ_in_identity_terms_alone():
+    c = toxicity.Counterfactuals()
+    got = c.of("One line. Many Muslims live here, she said.\nMore")
+    assert len(got) == 6 and got[0] == "Many Muslims live here, she said" and got[1] == "Many Christians live here, she said" and len(set(got)) == 6
+    got = c.of("No term here at all.")
+    group = next(g for g in toxicity.IDENTITY_TERMS if any(t in got[1].split() for t in g))
+    assert got[0] == "No term here at all" and [" ".join(x for x in v.split() if x not in group) for v in got] == [got[0]] * len(got) and len(got) == len(group) + 1
+    assert len(c.of("")) >= 3 and c.of("word " * 500)
+
+
+def test_sample_has_one_row_a_document(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.sample(docs, labels, "toxic", 10).collect())) == [("a", 1), ("c", 0)]
 
 
 def test_swaps_stay_in_their_group():
