@@ -1,14 +1,16 @@
 """Quality classifier: random-indexing word vectors, pooled per document, into a two-layer numpy network with a fitted temperature.
 
 Words here are runs of letters, runs of digits and runs of other signs, hashed into `buckets`. Each bucket has a fixed sparse ternary index
-vector (two signs at hashed places); its word vector is the sum of the index vectors of the words next to it, over all
-documents, scaled to length 1. The sums are made per task and added up on the executors; `buckets * dims` numbers reach the driver at any size.
-A document is the mean of its words' vectors, the mean over its distinct words, and three ratios (repeated words, upper case, length).
+vector (`signs` signs at different places); its word vector is the sum of the index vectors of the words up to `reach` before and after it, over all
+documents, scaled to length 1. A task sums up what it reads, one row a bucket; the rows of a bucket are added on the executors; `buckets * dims` numbers
+reach the driver at any size. A document is the mean of its words' vectors and the mean over its distinct words, nothing else.
 The network (tanh layer, logistic output) is fitted on a bounded sample of labelled rows (`fit_rows`), `epochs` times over at any number of rows; a fifth of them, never
 trained on, sets the temperature that its log-odds are divided by.
 
-Defined cases: null and empty texts are pooled to zeros and scored like any other; a doc_id with several labels counts as good if any is 1;
-repeated rows are scored each; with labels of one class only, or none, the score is that share (0.5 without labels).
+Defined cases: null and empty texts are pooled to zeros and scored like any other; very long texts are pooled whole; a score of exactly 0.7 is label 1 (the query's
+rule); a doc_id with several labels counts as good if any is 1; rows that repeat a doc_id are scored each, one of them (the least text) is learned from; with labels of one
+class only, or none, in an empty table too, the score is that share (0.5 without labels). Other columns pass through; if one has the result's name, ValueError
+says so.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from ravel.llm.toxicity import sample
 
 @dataclass(frozen=True)
 class VectorOptions:
-    buckets: int = 4096
-    dims: int = 32
+    buckets: int = 1 << 14
+    dims: int = 64
+    signs: int = 4
+    reach: int = 2
     hidden: int = 32
     fit_rows: int = 20_000
     epochs: int = 120
@@ -62,40 +66,63 @@ def tokens(s: X.Slice, o: VectorOptions) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(o.buckets - 1)).astype(np.int64), np.searchsorted(starts, s.off)
 
 
-def index_vectors(o: VectorOptions) -> tuple[np.ndarray, np.ndarray]:
-    """Places (two each) and signs of the buckets' index vectors."""
-    h = X.mix(np.arange(o.buckets, dtype=np.uint64) + np.uint64(o.seed << 32))
-    place = np.stack([h % np.uint64(o.dims), (h >> np.uint64(20)) % np.uint64(o.dims)], 1).astype(np.int64)
-    sign = np.stack([(h >> np.uint64(50)) & np.uint64(1), (h >> np.uint64(51)) & np.uint64(1)], 1).astype(np.int64) * 2 - 1
-    return place, sign
+def index_vectors(o: VectorOptions) -> np.ndarray:
+    """The buckets' index vectors (int8, a row each): `signs` ones or minus ones at different places."""
+    rng = np.random.default_rng(o.seed)
+    out = np.zeros((o.buckets, o.dims), np.int8)
+    n = min(o.signs, o.dims)
+    place = np.argsort(rng.random((o.buckets, o.dims)), axis=1)[:, :n]
+    np.put_along_axis(out, place, (rng.integers(0, 2, (o.buckets, n)) * 2 - 1).astype(np.int8), 1)
+    return out
+
+
+def neighbours(t: np.ndarray, before: np.ndarray, index: np.ndarray, o: VectorOptions) -> np.ndarray:
+    """The sum of the index vectors around each word, within its document."""
+    own = index[t].astype(np.int16)
+    out = np.zeros_like(own)
+    doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    for k in range(1, min(o.reach, len(t) - 1) + 1):
+        out[k:] += own[:-k]
+        out[:-k] += own[k:]
+        other = np.flatnonzero(doc[k:] != doc[:-k])
+        out[other + k] -= own[other]
+        out[other] -= own[other + k]
+    return out
 
 
 def word_vectors(docs: DataFrame, o: VectorOptions) -> np.ndarray:
     """buckets x dims, rows of length 1 (or 0), from the neighbours of every word of all documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, sign = index_vectors(o)
-        total = np.zeros(o.buckets * o.dims, np.int64)
+    def rows(total: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(total.any(1))
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([r.tobytes() for r in total[at]], pa.binary())], names=["b", "v"])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_vectors(o)
+        total = np.zeros((o.buckets, o.dims), np.int64)
         for batch in batches:
             for s in X.slices(batch.column("text")):
                 t, before = tokens(s, o)
-                if len(t) < 2:
-                    continue
-                doc = np.repeat(np.arange(s.docs), np.diff(before))
-                ok = doc[1:] == doc[:-1]
-                a, b = t[:-1][ok], t[1:][ok]
-                for of, by in ((a, b), (b, a)):
-                    for c in (0, 1):
-                        total += np.bincount(of * o.dims + place[by, c], sign[by, c], o.buckets * o.dims).astype(np.int64)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["i", "v"])
-
-    got = docs.select("text").mapInArrow(run, "i int, v long").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(o.buckets * o.dims)
+                if len(t):
+                    order = np.argsort(t, kind="stable")
+                    bucket = t[order]
+                    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                    total[bucket[at]] += np.add.reduceat(neighbours(t, before, index, o)[order], at, axis=0, dtype=np.int32)
+        yield rows(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((o.buckets, o.dims), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                v = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.int64).reshape(-1, o.dims)
+                np.add.at(total, np.asarray(batch.column("b")), v)
+        yield rows(total)
+
+    schema = "b int, v binary"
+    got = docs.select("text").mapInArrow(collect, schema).repartition("b").mapInArrow(add, schema).toArrow()  # one row a bucket
+    out = np.zeros((o.buckets, o.dims))
     if got.num_rows:
-        out[np.asarray(got["i"])] = np.asarray(got["v"])
-    out = out.reshape(o.buckets, o.dims)
+        out[np.asarray(got["b"])] = np.frombuffer(b"".join(got["v"].to_pylist()), np.int64).reshape(-1, o.dims)
     return (out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
 
 
@@ -103,7 +130,7 @@ def pooled(s: X.Slice, vectors: np.ndarray, o: VectorOptions) -> np.ndarray:
     """A row for each document of a slice."""
     t, before = tokens(s, o)
     n = np.diff(before)
-    out = np.zeros((s.docs, 2 * o.dims + 3), np.float32)
+    out = np.zeros((s.docs, 2 * o.dims), np.float32)
     doc = np.repeat(np.arange(s.docs), n)
     key, count = X.sorted_counts(doc * o.buckets + t)
     d, b = key // o.buckets, key % o.buckets
@@ -117,10 +144,6 @@ def pooled(s: X.Slice, vectors: np.ndarray, o: VectorOptions) -> np.ndarray:
             v = vectors[b[a:z]]
             out[own, : o.dims] = np.add.reduceat(v * count[a:z, None].astype(np.float32), begin[lo : lo + 256] - a, axis=0) / n[own, None]
             out[own, o.dims : 2 * o.dims] = np.add.reduceat(v, begin[lo : lo + 256] - a, axis=0) / each[own, None]
-    upper = s.per_doc((s.data >= 65) & (s.data <= 90))
-    out[:, -3] = 1 - each / np.maximum(n, 1)
-    out[:, -2] = upper / np.maximum(np.diff(s.off), 1)
-    out[:, -1] = np.log1p(n) / 10
     return out
 
 
@@ -147,7 +170,7 @@ def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, o: VectorOptions) -
     rng = np.random.default_rng(o.seed)
     if len(y) == 0 or y.min() == y.max():
         share = 0.5 if len(y) == 0 else min(max(float(y.mean()), 1e-6), 1 - 1e-6)
-        k = 2 * o.dims + 3
+        k = x.shape[1]
         return Model(vectors, np.zeros(k, np.float32), np.ones(k, np.float32), np.zeros((k, o.hidden), np.float32), np.zeros(o.hidden, np.float32), np.zeros(o.hidden, np.float32), float(np.log(share / (1 - share))), 1.0)
     order = rng.permutation(len(y))
     hold, fit = order[::5], np.delete(order, np.s_[::5])
@@ -177,9 +200,9 @@ def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, o: VectorOptions) -
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, options: VectorOptions = VectorOptions(), label: str = "quality") -> Model:
-    """labels: doc_id and the label (0/1) of the rows to learn from. The word vectors use all documents, no labels."""
-    vectors = word_vectors(docs, options)
+def fit(docs: DataFrame, labels: DataFrame, options: VectorOptions = VectorOptions(), label: str = "quality", vectors: np.ndarray | None = None) -> Model:
+    """labels: doc_id and the label (0/1) of the rows to learn from. The word vectors use all documents, no labels (others may be given)."""
+    vectors = word_vectors(docs, options) if vectors is None else vectors
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, options: VectorOptions = VectorOptio
             x = np.concatenate([pooled(s, shared.value, options) for s in X.slices(batch.column("text"))])
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("y")], names=["x", "y"])
 
-    got = sample(docs, labels, label, options.fit_rows).mapInArrow(run, "x binary, y int").orderBy("y", "x").toArrow()  # fit_rows rows at most
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(got.num_rows, 2 * options.dims + 3)
-    return train(vectors, x, np.asarray(got["y"]).astype(np.float32), options)
+    got = sample(docs, labels, label, options.fit_rows).mapInArrow(run, "x binary, y int").toArrow()  # fit_rows rows at most
+    rows = sorted(zip(got["y"].to_pylist(), got["x"].to_pylist()))  # an order that doesn't depend on partitions
+    x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(len(rows), 2 * options.dims)
+    return train(vectors, x, np.array([r[0] for r in rows], np.float32), options)
 
 
 def score(docs: DataFrame, model: Model, options: VectorOptions = VectorOptions(), name: str = "quality_model", drop_text: bool = False) -> DataFrame:

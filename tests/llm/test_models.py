@@ -144,6 +144,59 @@ def test_pooled_vectors_equal_plain_means():
                 assert np.allclose(got[i, : o.dims], v[own].mean(0), atol=1e-5) and np.allclose(got[i, o.dims : 2 * o.dims], v[sorted(set(own))].mean(0), atol=1e-5)
 
 
+def test_word_vectors_equal_plain_sums(spark):
+    texts = ["a b a c", "", None, "b c d e f a", "zz"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    o = quality_model.VectorOptions(buckets=64, dims=16)
+    index = quality_model.index_vectors(o).astype(int)
+    assert (np.abs(index).sum(1) == o.signs).all()
+    want = np.zeros((64, 16))
+    for t in texts:
+        if not t:
+            continue
+        (s,) = X.slices(pa.array([t]))
+        w = quality_model.tokens(s, o)[0].tolist()
+        for i, b in enumerate(w):
+            for j in range(max(0, i - 2), min(len(w), i + 3)):
+                if j != i:
+                    want[b] += index[w[j]]
+    want /= np.maximum(np.sqrt((want**2).sum(1, keepdims=True)), 1e-12)
+    assert np.allclose(quality_model.word_vectors(docs, o), want, atol=1e-6)
+
+
+def test_learned_vectors_beat_fixed_random_ones(spark):
+    """Good and bad texts share their function words; their topic words differ, and most topic words of new texts are in no labelled one. What unlabelled
+    texts say about them reaches the classifier through word vectors alone."""
+    import random
+
+    r = random.Random(9)
+    made = sorted({"".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(700)})
+    r.shuffle(made)
+    topics, near, shared = {0: made[:300], 1: made[300:600]}, {0: made[600:606], 1: made[606:612]}, made[612:652]
+
+    def text(y, words, cue):
+        out = []
+        for _ in range(12):
+            out += [r.choice(shared), r.choice(words), *([r.choice(near[y])] if cue else [r.choice(shared)])]
+        return " ".join(out)
+
+    rows = [(i, text(i % 2, topics[i % 2], True), None) for i in range(3000)]  # unlabelled: topics beside their cues
+    rows += [(3000 + i, text(i % 2, topics[i % 2][:40], False), i % 2) for i in range(300)]  # labelled: few topic words, no cues
+    rows += [(9000 + i, text(i % 2, topics[i % 2][150:], False), i % 2) for i in range(300)]  # held out: other topic words
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None and i < 9000], "doc_id long, quality int")
+    o = quality_model.VectorOptions()
+
+    def accuracy(vectors):
+        m = quality_model.fit(docs, labels, o, vectors=vectors)
+        got = {x.doc_id: x.quality_model.score for x in quality_model.score(docs.filter("doc_id >= 9000"), m, o).collect()}
+        return np.mean([(got[i] >= 0.5) == (y == 1) for i, _, y in rows if i >= 9000])
+
+    index = quality_model.index_vectors(o).astype(np.float32)
+    fixed, learned = accuracy(index / np.sqrt(o.signs)), accuracy(None)
+    assert learned > 0.9 and learned > fixed + 0.2
+
+
 def plain_tokens(t):
     return [*SPACE.findall((t or "").translate(LOWER)), None]
 
