@@ -1,19 +1,25 @@
 """LM scoring: a log-bilinear model trained in numpy with noise-contrastive estimation, normalised, beside an exact unigram base.
 
 Tokens are the words [^\\x20\\x09-\\x0D]+ of the text (A-Z lower-cased), then one end token. All training tokens are counted, by 64-bit
-hash; the counts stay a distributed table. The `classes` - 1 most frequent words (and the end) are classes of their own, all other words
-form the class "rare". Log-bilinear model over classes: with r the vectors of the two classes before a token,
-    s(w) = (r[w-1] C1 + r[w-2] C2) . q[w] + b[w],      P(w | context) = exp s(w) / sum over classes of exp s.
-A rare word's probability is P(rare | context) * (count + 1) / (rare tokens + rare words + 1), so the whole distribution sums to 1.
-
-Training: every task runs minibatch NCE (noise: class frequencies, shared by a batch, so that scores are matrix products) over all
-training tokens of its partition, from one starting point; the parameters are averaged on the executors, weighted by tokens.
-Scoring: as s is a sum over the two context positions, the normaliser of every context (classes + 1)**2 is made once by matrix
-products; a token then costs three look-ups. Counts of the `hot` most frequent words are broadcast (a bound, 16 bytes each); the other words
-of the documents meet the count table in a join, so nothing is left out.
-
-Defined cases: null and empty texts are one end token; repeated rows are counted and scored as often as they come; a null key is scored and not
-held out, and is learned from only if `train` says so; without any training row counts are 0 and the model is uniform.
+hash; the counts stay a distributed table. The `words` most frequent tokens (of `least_count` or more, the end among them) have vectors of their own, as targets and as contexts; any
+other word is a context by one of `tail` vectors that its hash picks, and a target in the class "rare". The words are dealt in order of frequency
+into `classes` classes of equal mass. With r the vectors of the two tokens before a token, h = r[w-1] C1 + r[w-2] C2:
+    P(class | context) = softmax of h . u[class] + a[class] over all classes and "rare",
+    P(word | class, context) = softmax of h . q[word] + b[word] over the words of the class,
+and a rare word has P(rare | context) * (count + 1) / (rare tokens + rare words + 1), so the whole distribution sums to 1. As classes have equal mass a token costs
+classes + words / classes scores on average.
+
+Training: every task runs minibatch NCE over all training tokens of its partition, from one starting point: noise classes by their frequencies, noise words by
+theirs within a class, shared by a batch, so that scores are matrix products. The parameters are averaged on the executors: a word's by the tokens that
+each task has learned it from, so that tasks which never met it do not count; the others' by all tokens. So the model depends on how the input is split
+into tasks (as any average of local passes does); with the same splits it is the same.
+Scoring: tokens are sorted by class; matrix products give the scores of all classes and of the words of each token's class, and so exactly
+normalised log-probabilities. Counts of the `hot` most frequent words are broadcast (a bound, 16 bytes each); the other words of the documents
+meet the count table in a join, so nothing is left out.
+
+Defined cases: null and empty texts are one end token; very long texts are scored whole; of equally frequent words those with the lesser hash have vectors; repeated
+rows are counted and scored as often as they come; a null key is scored and not held out, and is learned from only if `train` says so; without any training row counts
+are 0 and every token is in the rare class; an empty table gives no rows. Only the four columns named at lm_scores are read.
 """
 
 from __future__ import annotations
@@ -33,13 +39,21 @@ from ravel.llm.common import cut
 
 @dataclass(frozen=True)
 class LmOptions:
-    classes: int = 512
+    words: int = 1 << 15
+    #: Least count of a word with vectors of its own.
+    least_count: int = 5
+    classes: int = 256
+    tail: int = 4096
     dims: int = 32
     hot: int = 1 << 17
-    batch: int = 1024
+    batch: int = 4096
+    #: Noise classes of a batch, noise words of a class in it, and how many of them count for a token.
     noise: int = 64
+    word_noise: int = 16
     noise_per_token: float = 16.0
-    rate: float = 0.15
+    rate: float = 0.25
+    #: The biases begin at the unigram's values, so they move by smaller steps.
+    bias_rate: float = 0.02
     seed: int = 5
 
 
@@ -84,20 +98,43 @@ def counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """n, v: all tokens and distinct ones. h, c: the hot words, sorted by hash, with counts. least: all words with that count or more are hot."""
+    """n, v: all tokens and distinct ones. h, c: the hot words, sorted by hash, with counts; own: the number of those with vectors, -1 for the others.
+    counts: of the words with vectors, by number; begin: the first number of each class, one more at the end. least: all words with that count or more are hot."""
 
     n: int
     v: int
     h: np.ndarray
     c: np.ndarray
-    cls: np.ndarray
-    class_counts: np.ndarray
+    own: np.ndarray
+    counts: np.ndarray
+    begin: np.ndarray
     least: int
 
+    @property
+    def rare_tokens(self) -> float:
+        return float(self.n - self.counts.sum())
+
     @property
     def rare_total(self) -> float:
         """Tokens and distinct words of the rare class, and 1."""
-        return float(self.class_counts[0] + self.v - (len(self.class_counts) - 1) + 1)
+        return float(self.rare_tokens + self.v - len(self.counts) + 1)
+
+    @property
+    def classes(self) -> int:
+        """Without the rare one, which comes after them."""
+        return len(self.begin) - 1
+
+    def class_of(self) -> np.ndarray:
+        return np.repeat(np.arange(self.classes), np.diff(self.begin)).astype(np.int32)
+
+
+def dealt(counts: np.ndarray, classes: int) -> np.ndarray:
+    """The first number of each class of about equal mass, and the number of words."""
+    if not len(counts):
+        return np.zeros(1, np.int64)
+    middle = (np.cumsum(counts) - counts / 2) / counts.sum()
+    cls = np.minimum((middle * classes).astype(np.int64), classes - 1)
+    return np.append(np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])), len(counts))
 
 
 def vocabulary(table: DataFrame, o: LmOptions) -> Vocabulary:
@@ -114,11 +151,10 @@ def vocabulary(table: DataFrame, o: LmOptions) -> Vocabulary:
     h, c = np.asarray(got["h"]).view(np.uint64), np.asarray(got["c"])
     order = np.argsort(h)
     h, c = h[order], c[order]
-    first = np.lexsort((h, -c, h != END))[: o.classes - 1]
-    cls = np.zeros(len(h), np.int32)
-    cls[first] = np.arange(1, len(first) + 1)
-    own = c[first]
-    return Vocabulary(n, v, h, c, cls, np.concatenate([[n - own.sum()], own]).astype(np.float64), least)
+    first = np.lexsort((h, -c))[: min(o.words, int((c >= o.least_count).sum()))]
+    own = np.full(len(h), -1, np.int32)
+    own[first] = np.arange(len(first))
+    return Vocabulary(n, v, h, c, own, c[first].astype(np.float64), dealt(c[first], o.classes), least)
 
 
 def look_up(v: Vocabulary, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +165,17 @@ def look_up(v: Vocabulary, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, v.h[at] == t
 
 
+def numbers(v: Vocabulary, t: np.ndarray, before: np.ndarray, o: LmOptions) -> tuple[np.ndarray, ...]:
+    """Of each token: place among the hot words, whether it is hot, its number (-1: rare), and the context vectors one and two tokens back."""
+    at, hot = look_up(v, t)
+    own = np.where(hot, v.own[at] if len(v.own) else -1, -1).astype(np.int32)
+    w = len(v.counts)
+    as_context = np.where(own >= 0, own, w + (t % np.uint64(o.tail)).astype(np.int32)).astype(np.int32)
+    return at, hot, own, *contexts(as_context, before, w + o.tail)
+
+
 def contexts(cls: np.ndarray, before: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The classes one and two tokens back; `start` at a document's beginning."""
+    """What stands one and two tokens back; `start` at a document's beginning."""
     one, two = np.full(len(cls), start, np.int32), np.full(len(cls), start, np.int32)
     one[1:], two[2:] = cls[:-1], cls[:-2]
     begin = before[:-1]
@@ -142,30 +187,59 @@ def contexts(cls: np.ndarray, before: np.ndarray, start: int) -> tuple[np.ndarra
 
 
 def begin(v: Vocabulary, o: LmOptions) -> list[np.ndarray]:
-    """r, C1, C2, q, b before training: b is the smoothed log frequency, so the model starts as a normalised unigram."""
-    k = len(v.class_counts)
+    """r, C1, C2, q, b, u, a before training: b and a are smoothed log frequencies, so the model starts as the base."""
+    w, k = len(v.counts), v.classes + 1
     rng = np.random.default_rng(o.seed)
-    p = (v.class_counts + 1) / (v.class_counts.sum() + k)
+    mass = class_mass(v)
     one = np.eye(o.dims, dtype=np.float32)
-    return [(0.1 * rng.standard_normal((k + 1, o.dims))).astype(np.float32), one.copy(), 0.5 * one, (0.1 * rng.standard_normal((k, o.dims))).astype(np.float32), np.log(p).astype(np.float32)]
+    small = lambda n: (0.1 * rng.standard_normal((n, o.dims))).astype(np.float32)
+    return [small(w + o.tail + 1), one.copy(), 0.5 * one, small(w), np.log(v.counts + 1).astype(np.float32), small(k), np.log(mass).astype(np.float32)]
+
+
+def class_mass(v: Vocabulary) -> np.ndarray:
+    """Shares of the classes, the rare one last, with one more for each word and for what is unseen, as in the base."""
+    total = np.append(np.add.reduceat(v.counts + 1, v.begin[:-1]) if len(v.counts) else [], v.rare_total)
+    return total / total.sum()
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    out = np.clip(x, -30, 30)
+    np.negative(out, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
+
+
+#: Parameters with a row for each word: context vectors, target vectors, biases.
+_BY_WORD = (0, 3, 4)
 
 
 class Trainer:
     """NCE with Adagrad on one task's tokens."""
 
     def __init__(self, v: Vocabulary, o: LmOptions, seed: int):
-        self.o, self.rng = o, np.random.default_rng(seed)
+        self.v, self.o, self.rng = v, o, np.random.default_rng(seed)
         self.p = begin(v, o)
-        self.g2 = [np.full_like(a, 1e-4) for a in self.p]
-        noise = (v.class_counts + 1) / (v.class_counts + 1).sum()
-        self.edges = np.cumsum(noise)
-        self.log_kp = np.log(o.noise_per_token * noise).astype(np.float32)
+        mass = class_mass(v)
+        # a gradient is a sum over a batch: what is often in it begins with as much damping as it will have
+        word = o.batch * v.counts / max(1, v.n)
+        often = [np.concatenate([word, np.full(o.tail + 1, 1.0)]), np.full(o.dims, 0.05 * o.batch), np.full(o.dims, 0.05 * o.batch), word, word, o.batch * mass, o.batch * mass]
+        self.g2 = [(np.zeros_like(a) + (0.1 * (1 + n * n)).reshape(-1, *[1] * (a.ndim - 1))).astype(np.float32) for a, n in zip(self.p, often)]
+        self.edges = np.cumsum(mass)
+        self.log_kp = np.log(o.noise_per_token * mass).astype(np.float32)
+        self.class_of = v.class_of()
+        more = v.counts + 1
+        self.word_edges = np.concatenate([[0.0], np.cumsum(more)])
+        within = np.add.reduceat(more, v.begin[:-1]) if len(more) else np.zeros(0)
+        self.word_kp = np.log(o.noise_per_token * more / np.repeat(within, np.diff(v.begin))).astype(np.float32)
         self.seen = 0
+        self.met = [np.zeros(len(self.p[i]), np.int64) for i in _BY_WORD]
 
     def _step(self, i: int, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
+        rate = self.o.bias_rate if self.p[i].ndim == 1 else self.o.rate
         if rows is None:
             self.g2[i] += grad * grad
-            self.p[i] -= self.o.rate * grad / np.sqrt(self.g2[i])
+            self.p[i] -= rate * grad / np.sqrt(self.g2[i])
             return
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
@@ -173,98 +247,191 @@ class Trainer:
         grad, rows = np.add.reduceat(grad[order], at, axis=0), rows[at]
         g2 = self.g2[i][rows] + grad * grad
         self.g2[i][rows] = g2
-        self.p[i][rows] -= self.o.rate * grad / np.sqrt(g2)
+        self.p[i][rows] -= rate * grad / np.sqrt(g2)
 
     def learn(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> None:
-        r, c1, c2, q, b = self.p
-        n = len(w)
-        noise = np.minimum(np.searchsorted(self.edges, self.rng.random(self.o.noise)), len(b) - 1)
+        """One step on the tokens w (numbers, -1: rare) after the contexts one and two."""
+        r, c1, c2, q, b, u, a = self.p
+        o, k = self.o, self.v.classes
+        cls = np.where(w >= 0, self.class_of[w] if k else 0, k)
+        order = np.argsort(cls, kind="stable")
+        one, two, w, cls = one[order], two[order], w[order], cls[order]
         x1, x2 = r[one], r[two]
         h = x1 @ c1 + x2 @ c2
-        qw, qn = q[w], q[noise]
-        up = (h * qw).sum(1) + b[w] - self.log_kp[w]
-        un = h @ qn.T + (b[noise] - self.log_kp[noise])
-        dp = (1 / (1 + np.exp(-np.clip(up, -30, 30))) - 1).astype(np.float32) / n
-        dn = (1 / (1 + np.exp(-np.clip(un, -30, 30)))).astype(np.float32) * np.float32(self.o.noise_per_token / self.o.noise / n)
-        dh = dp[:, None] * qw + dn @ qn
-        self._step(3, np.concatenate([dp[:, None] * h, dn.T @ h]), np.concatenate([w, noise]))
-        self._step(4, np.concatenate([dp, dn.sum(0)]), np.concatenate([w, noise]))
+        # classes
+        scale = np.float32(o.noise_per_token / o.noise)
+        noise = np.minimum(np.searchsorted(self.edges, self.rng.random(o.noise)), k)
+        uc, un = u[cls], u[noise]
+        dp = (sigmoid((h * uc).sum(1) + a[cls] - self.log_kp[cls]) - 1).astype(np.float32)
+        dn = sigmoid(h @ un.T + (a[noise] - self.log_kp[noise])).astype(np.float32) * scale
+        dh = dp[:, None] * uc + dn @ un
+        at = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        gu, ga = np.zeros_like(u), np.zeros_like(a)
+        gu[cls[at]], ga[cls[at]] = np.add.reduceat(dp[:, None] * h, at, axis=0), np.add.reduceat(dp, at)
+        np.add.at(gu, noise, dn.T @ h)
+        np.add.at(ga, noise, dn.sum(0))
+        # words within classes of two or more
+        ends = np.append(at[1:], len(cls))
+        loops = [(int(c), x, y) for c, x, y in zip(cls[at], at.tolist(), ends.tolist()) if c < k and self.v.begin[c + 1] - self.v.begin[c] > 1]
+        if loops:
+            base, top = self.word_edges[self.v.begin[:-1]], self.word_edges[self.v.begin[1:]]
+            drawn = np.searchsorted(self.word_edges, base[:, None] + self.rng.random((k, o.word_noise)) * (top - base)[:, None], "right") - 1
+            drawn = np.minimum(drawn, self.v.begin[1:, None] - 1)
+            scale = np.float32(o.noise_per_token / o.word_noise)
+            q_drawn, off = q[drawn], b[drawn] - self.word_kp[drawn]
+            known = w[: loops[-1][2]]
+            qw = q[known]
+            dw = (sigmoid((h[: len(known)] * qw).sum(1) + b[known] - self.word_kp[known]) - 1).astype(np.float32)
+            # the tokens of a class in rows of `width`, so that all classes are one stack of matrix products
+            width = 32
+            c, x, y = (np.array(z) for z in zip(*loops))
+            alone = np.ones(len(known), bool)
+            alone[X.runs_gather(x, y - x)] = False
+            parts = -(-(y - x) // width)
+            c, stop, x = np.repeat(c, parts), np.repeat(y, parts), X.runs_gather(np.zeros(len(parts), np.int64), parts) * width + np.repeat(x, parts)
+            at = x[:, None] + np.arange(width)
+            real = at < stop[:, None]
+            hs, qs = h[np.where(real, at, 0)], q_drawn[c]
+            d = sigmoid(hs @ qs.transpose(0, 2, 1) + off[c][:, None, :]).astype(np.float32) * (real[:, :, None] * scale)
+            dh[at[real]] += (d @ qs)[real]
+            rows, grads, bias = [drawn[c].ravel()], [(d.transpose(0, 2, 1) @ hs).reshape(-1, o.dims)], [d.sum(1).ravel()]
+            dw[alone] = 0
+            dh[: len(known)] += dw[:, None] * qw
+            rows, grads, bias = np.concatenate([known, *rows]), np.concatenate([dw[:, None] * h[: len(known)], *grads]), np.concatenate([dw, *bias])
+            self._step(3, grads, rows)
+            self._step(4, bias, rows)
+            self.met[1] += np.bincount(known, minlength=len(q))
+        self._step(5, gu)
+        self._step(6, ga)
         self._step(0, np.concatenate([dh @ c1.T, dh @ c2.T]), np.concatenate([one, two]))
         self._step(1, x1.T @ dh)
         self._step(2, x2.T @ dh)
-        self.seen += n
+        self.met[0] += np.bincount(one, minlength=len(r)) + np.bincount(two, minlength=len(r))
+        self.seen += len(w)
 
 
 def train(docs: DataFrame, v: Vocabulary, o: LmOptions) -> list[np.ndarray]:
     """The averaged parameters after one pass of every task over its own documents (text)."""
     shared = docs.sparkSession.sparkContext.broadcast(v)
-    shapes = [a.shape for a in begin(v, o)]
+    first = begin(v, o)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = shared.value
-        t = Trainer(voc, o, o.seed + TaskContext.get().partitionId())
-        k = len(voc.class_counts)
+        t = Trainer(shared.value, o, o.seed + TaskContext.get().partitionId())
         for batch in batches:
             for s in X.slices(batch.column("text")):
                 h, before = tokens(s)
-                at, hot = look_up(voc, h)
-                cls = np.where(hot, voc.cls[at] if len(voc.cls) else 0, 0).astype(np.int32)
-                one, two = contexts(cls, before, k)
-                order = t.rng.permutation(len(cls))
-                for lo in range(0, len(cls), o.batch):
+                _, _, own, one, two = numbers(t.v, h, before, o)
+                order = t.rng.permutation(len(own))
+                for lo in range(0, len(own), o.batch):
                     i = order[lo : lo + o.batch]
-                    t.learn(one[i], two[i], cls[i])
+                    t.learn(one[i], two[i], own[i])
         if t.seen:
-            flat = np.concatenate([a.ravel() for a in t.p]).astype(np.float64) * t.seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(np.concatenate([[float(t.seen)], flat]))], names=["i", "x"])
-
-    got = docs.select("text").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    if not got.num_rows:
-        return begin(v, o)
-    flat = np.zeros(got.num_rows)
-    flat[np.asarray(got["i"]) + 1] = np.asarray(got["x"])
-    flat = flat[1:] / flat[0]
-    at = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
-    return [flat[a:b].reshape(s) for a, b, s in zip(at, at[1:], shapes)]
+            t.met[2] = t.met[1]
+            for i, x in enumerate(t.p):
+                x = x.reshape(len(x), -1) if i in _BY_WORD else x.reshape(1, -1)
+                weight = t.met[_BY_WORD.index(i)] if i in _BY_WORD else np.array([t.seen])
+                at = np.flatnonzero(weight)
+                for lo in range(0, len(at), 4096):
+                    some = at[lo : lo + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int32)), pa.array(some.astype(np.int32)), pa.array(weight[some].astype(np.float64)), pa.array([y.tobytes() for y in x[some]], pa.binary())], names=["i", "row", "n", "x"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for i, row, n, x in zip(*(c.to_pylist() for c in batch.columns)):
+                own = total.setdefault((i, row), [0.0, 0.0])
+                own[0] += n
+                own[1] = own[1] + n * np.frombuffer(x, np.float32).astype(np.float64)
+        if total:
+            keys = list(total)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k][0] for k in keys], pa.float64()), pa.array([(total[k][1] / total[k][0]).astype(np.float32).tobytes() for k in keys], pa.binary())], names=["i", "row", "n", "x"])
+
+    schema = "i int, row int, n double, x binary"
+    got = docs.select("text").mapInArrow(run, schema).repartition("i", "row").sortWithinPartitions("i", "row", "n", "x").mapInArrow(add, schema).toArrow()
+    out = [a.copy() for a in first]  # words that no task has met stay as they were
+    which, row = np.asarray(got["i"]), np.asarray(got["row"])
+    for i, a in enumerate(out):
+        at = np.flatnonzero(which == i)
+        if len(at):
+            x = np.frombuffer(b"".join(got["x"].take(pa.array(at)).to_pylist()), np.float32)
+            if i in _BY_WORD:
+                a[row[at]] = x.reshape(len(at), *a.shape[1:])
+            else:
+                a[...] = x.reshape(a.shape)
+    return out
 
 
 @dataclass
 class Scorer:
-    """Natural-log pieces: log P(w | one, two) = s1[one, w] + s2[two, w] - norm[one, two]."""
+    """The vocabulary, the two context tables r C1 and r C2, and q, b, u, a."""
 
     v: Vocabulary
-    s1: np.ndarray
-    s2: np.ndarray
-    norm: np.ndarray
+    r1: np.ndarray
+    r2: np.ndarray
+    q: np.ndarray
+    b: np.ndarray
+    u: np.ndarray
+    a: np.ndarray
+
+    def log_probability(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Natural logarithms of P(w | one, two); for rare tokens (w = -1) of P(rare | one, two)."""
+        k, begin = self.v.classes, self.v.begin
+        cls = np.where(w >= 0, self.v.class_of()[w] if k else 0, k)
+        order = np.argsort(cls, kind="stable")
+        cls, own = cls[order], w[order]
+        out = np.empty(len(w))
+        for lo in range(0, len(w), 8192):  # so that the scores of a block stay small
+            i = order[lo : lo + 8192]
+            h, c = self.r1[one[i]] + self.r2[two[i]], cls[lo : lo + 8192]
+            lp = _log_softmax(h, self.u, self.a, c)
+            at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])).tolist()
+            for x, y in zip(at, [*at[1:], len(c)]):
+                g = int(c[x])
+                if g < k and begin[g + 1] - begin[g] > 1:
+                    words = slice(begin[g], begin[g + 1])
+                    lp[x:y] += _log_softmax(h[x:y], self.q[words], self.b[words], own[lo + x : lo + y] - begin[g])
+            out[i] = lp
+        return out
+
+
+def _log_softmax(h: np.ndarray, m: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the normalised scores h . m + bias at one place in each row, some rows at a time."""
+    out = np.empty(len(h))
+    # a bound on all scores: where it is small nothing need be taken off before exp
+    most = np.sqrt((h * h).sum(1).max() * (m * m).sum(1).max()) + np.abs(bias).max()
+    rows = max(64, (1 << 18) // len(m))
+    for lo in range(0, len(h), rows):
+        s = h[lo : lo + rows] @ m.T
+        s += bias
+        own = s[np.arange(len(s)), at[lo : lo + rows]].astype(np.float64)
+        if most > 60:
+            top = s.max(1)
+            s -= top[:, None]
+            own -= top
+        np.exp(s, out=s)
+        out[lo : lo + rows] = own - np.log(s.sum(1).astype(np.float64))
+    return out
 
 
 def scorer(v: Vocabulary, p: list[np.ndarray]) -> Scorer:
-    r, c1, c2, q, b = p
-    s1, s2 = (r @ c1) @ q.T + b, (r @ c2) @ q.T
-    norm = np.empty((len(r), len(r)))
-    for i in range(len(r)):
-        s = s2 + s1[i]
-        top = s.max(1, keepdims=True)
-        norm[i] = top[:, 0] + np.log(np.exp(s - top).sum(1))
-    return Scorer(v, s1.astype(np.float32), s2.astype(np.float32), norm.astype(np.float32))
+    r, c1, c2, q, b, u, a = p
+    return Scorer(v, r @ c1, r @ c2, q, b, u, a)
 
 
-def score_hot(docs: DataFrame, m: Scorer) -> DataFrame:
+def score_hot(docs: DataFrame, m: Scorer, o: LmOptions) -> DataFrame:
     """A written table: rid, doc_id, held_out and the sums over the hot words; others: the hashes of the words that are not hot."""
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        v, k = model.v, len(model.v.class_counts)
+        v = model.v
         rid = TaskContext.get().partitionId() << 40
         lift = np.log10(v.c + 1.0)
         for batch in batches:
             for s in X.slices(batch.column("text")):
                 h, before = tokens(s)
-                at, hot = look_up(v, h)
-                cls = np.where(hot, v.cls[at] if len(v.cls) else 0, 0).astype(np.int32)
-                one, two = contexts(cls, before, k)
-                lp = (model.s1[one, cls] + model.s2[two, cls] - model.norm[one, two]).astype(np.float64) / np.log(10)
+                at, hot, word, one, two = numbers(v, h, before, o)
+                lp = model.log_probability(one, two, word) / np.log(10)
                 own = np.where(hot, lift[at] if len(lift) else 0.0, 0.0)
 
                 def total(x: np.ndarray) -> np.ndarray:
@@ -273,7 +440,7 @@ def score_hot(docs: DataFrame, m: Scorer) -> DataFrame:
 
                 cold = np.concatenate([[0], np.cumsum(~hot)])[before].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid + np.arange(s.docs, dtype=np.int64)), batch.column("doc_id").slice(s.lo, s.docs), batch.column("held_out").slice(s.lo, s.docs), pa.array(np.diff(before).astype(np.int64)), pa.array(total(hot.astype(np.int64))), pa.array(total(own)), pa.array(total(lp)), pa.array(total(np.where(cls == 0, own, 0.0))), pa.array(total((cls == 0).astype(np.int64))), pa.ListArray.from_arrays(pa.array(cold), pa.array(X.signed(h[~hot])))],
+                    [pa.array(rid + np.arange(s.docs, dtype=np.int64)), batch.column("doc_id").slice(s.lo, s.docs), batch.column("held_out").slice(s.lo, s.docs), pa.array(np.diff(before).astype(np.int64)), pa.array(total(hot.astype(np.int64))), pa.array(total(own)), pa.array(total(lp)), pa.array(total(np.where(word < 0, own, 0.0))), pa.array(total((word < 0).astype(np.int64))), pa.ListArray.from_arrays(pa.array(cold), pa.array(X.signed(h[~hot])))],
                     names=["rid", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "class_score", "rare_hot", "n_rare", "others"],
                 )
                 rid += s.docs
@@ -288,7 +455,7 @@ def lm_scores(docs: DataFrame, options: LmOptions = LmOptions()) -> DataFrame:
     table = counts(learn)
     v = vocabulary(table, options)
     m = scorer(v, train(learn, v, options))
-    rows = score_hot(docs.select("doc_id", "text", "held_out"), m)
+    rows = score_hot(docs.select("doc_id", "text", "held_out"), m, options)
     cold = rows.select("rid", F.explode("others").alias("h")).join(table.filter(F.col("c") < v.least), "h")
     cold = cold.groupBy("rid").agg(F.count(F.lit(1)).alias("n_cold"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("cold"))
     out = rows.drop("others").join(cold, "rid", "left")

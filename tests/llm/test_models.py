@@ -220,32 +220,90 @@ def test_lm_base_is_exact_and_score_beats_it(spark):
 
 def test_lm_join_of_rare_words_equals_broadcast(spark, sf_dir):
     docs = text_and_id(read(spark, sf_dir, "documents")).withColumn("held_out", F.lit(False)).withColumn("train", F.lit(True))
-    few, all_ = ({r.doc_id: r for r in neural_lm.lm_scores(docs, neural_lm.LmOptions(hot=h, classes=16)).collect()} for h in (600, 1 << 17))
+    few, all_ = ({r.doc_id: r for r in neural_lm.lm_scores(docs, neural_lm.LmOptions(hot=h, words=200, classes=16)).collect()} for h in (600, 1 << 17))
     assert all(few[i].n_known == all_[i].n_known and abs(few[i].base_score - all_[i].base_score) < 1e-6 for i in all_)
 
 
-def test_lm_probabilities_sum_to_one():
-    v = neural_lm.Vocabulary(100, 8, np.arange(3, dtype=np.uint64), np.array([9, 8, 7]), np.array([1, 2, 3], np.int32), np.array([76.0, 9, 8, 7]), 7)
-    o = neural_lm.LmOptions(dims=4)
+def small_vocabulary(counts, classes, rare=76, more=5):
+    c = np.array(counts)
+    return neural_lm.Vocabulary(int(c.sum()) + rare, len(c) + more, np.arange(len(c), dtype=np.uint64), c, np.arange(len(c), dtype=np.int32), c.astype(float), neural_lm.dealt(c, classes), 1)
+
+
+def test_classes_have_equal_mass():
+    c = np.array([400, 300, 90, 80, 70, 60, *[10] * 60])
+    begin = neural_lm.dealt(c, 8)
+    mass = np.add.reduceat(c, begin[:-1])
+    assert begin[0] == 0 and begin[-1] == len(c) and (np.diff(begin) > 0).all() and mass.max() <= 400 and mass[-1] < 2 * c.sum() / 8
+    assert neural_lm.dealt(np.zeros(0, np.int64), 8).tolist() == [0]
+
+
+@pytest.mark.parametrize("counts,classes", [([9, 8, 7], 2), ([30, 9, 9, 8, 5, 5, 4, 3, 2, 1], 4), ([], 3)])
+def test_lm_probabilities_sum_to_one(counts, classes):
+    v = small_vocabulary(counts, classes)
+    o = neural_lm.LmOptions(dims=4, tail=3, batch=100)
     t = neural_lm.Trainer(v, o, 1)
     rng = np.random.default_rng(0)
-    w = rng.integers(0, 4, 500).astype(np.int32)
+    k = len(counts)
     for _ in range(20):
-        t.learn(np.roll(w, 1), np.roll(w, 2), w)
+        w = rng.integers(-1, k, 100).astype(np.int32)
+        t.learn(rng.integers(0, k + 4, 100), rng.integers(0, k + 4, 100), w)
     m = neural_lm.scorer(v, t.p)
-    for i in range(5):
-        for j in range(5):
-            assert abs(np.exp(m.s1[i] + m.s2[j] - m.norm[i, j]).sum() - 1) < 1e-4
+    ctx = np.arange(k + 4)
+    for i in ctx:
+        total = sum(np.exp(m.log_probability(np.full(len(ctx), i), ctx, np.full(len(ctx), w))) for w in range(-1, k))
+        assert np.allclose(total, 1, atol=1e-4)
+
+
+def plain_log10(m, one, two, w):
+    """log10 P(w | one, two) by sums over all classes and all words of the class, one at a time."""
+    h = [a + b for a, b in zip(m.r1[one].tolist(), m.r2[two].tolist())]
+    dot = lambda x: math.exp(sum(i * j for i, j in zip(h, x)))
+    classes = [math.exp(float(a)) * dot(u.tolist()) for u, a in zip(m.u, m.a)]
+    cls = next((g for g in range(m.v.classes) if m.v.begin[g] <= w < m.v.begin[g + 1]), m.v.classes)
+    out = classes[cls] / sum(classes)
+    if w >= 0:
+        words = {j: math.exp(float(m.b[j])) * dot(m.q[j].tolist()) for j in range(m.v.begin[cls], m.v.begin[cls + 1])}
+        out *= words[w] / sum(words.values())
+    return math.log10(out)
+
+
+def test_lm_scores_equal_a_plain_sum_from_the_same_parameters(spark, sf_dir):
+    docs = text_and_id(read(spark, sf_dir, "documents")).limit(60).withColumn("held_out", F.lit(False)).withColumn("train", F.lit(True)).coalesce(1)
+    rows = docs.collect()
+    docs = spark.createDataFrame(rows, docs.schema).coalesce(1)
+    o = neural_lm.LmOptions(words=300, classes=12, tail=16, hot=900, dims=8, batch=256)
+    got = {r.doc_id: r for r in neural_lm.lm_scores(docs, o).collect()}
+    table = neural_lm.counts(docs)
+    v = neural_lm.vocabulary(table, o)
+    m = neural_lm.scorer(v, neural_lm.train(docs, v, o))
+    count = {r.h: r.c for r in table.collect()}
+    assert len(v.h) < len(count) and len(v.counts) == 300
+    for r in rows[:25]:
+        (s,) = X.slices(pa.array([r.text or ""]))
+        t, _ = neural_lm.tokens(s)
+        number, total = [], 0.0
+        for x in t:
+            at = np.flatnonzero(v.h == x)
+            number.append(int(v.own[at[0]]) if len(at) else -1)
+        start = len(v.counts) + o.tail
+        ctx = [start, start] + [k if k >= 0 else len(v.counts) + int(x) % o.tail for k, x in zip(number, t)]
+        for i, (x, k) in enumerate(zip(t, number)):
+            total += plain_log10(m, ctx[i + 1], ctx[i], k)
+            if k < 0:
+                total += math.log10((count[int(np.uint64(x).view(np.int64))] + 1) / v.rare_total)
+        assert abs(got[r.doc_id].score - total) < 1e-3 * len(t)
 
 
 def test_nce_learns_a_pattern():
-    v = neural_lm.Vocabulary(4000, 4, np.arange(3, dtype=np.uint64), np.array([1000, 1000, 1000]), np.array([1, 2, 3], np.int32), np.array([1000.0, 1000, 1000, 1000]), 7)
-    t = neural_lm.Trainer(v, neural_lm.LmOptions(dims=8), 1)
-    w = np.tile(np.arange(4, dtype=np.int32), 250)
-    for _ in range(60):
-        t.learn(np.roll(w, 1), np.roll(w, 2), w)
+    v = small_vocabulary([1000] * 6, 3, rare=1000, more=1)
+    t = neural_lm.Trainer(v, neural_lm.LmOptions(dims=8, tail=2), 1)
+    w = np.tile(np.arange(-1, 6, dtype=np.int32), 150)
+    ctx = np.where(w < 0, 6, w)
+    for _ in range(150):
+        t.learn(np.roll(ctx, 1), np.roll(ctx, 2), w)
     m = neural_lm.scorer(v, t.p)
-    assert all(np.exp(m.s1[(k - 1) % 4, k] + m.s2[(k - 2) % 4, k] - m.norm[(k - 1) % 4, (k - 2) % 4]) > 0.8 for k in range(4))
+    lp = m.log_probability(np.roll(ctx, 1)[:7], np.roll(ctx, 2)[:7], w[:7])
+    assert (np.exp(lp) > 0.8).all()
 
 
 def test_passes_of_the_quality_network_do_not_depend_on_rows(monkeypatch):
