@@ -13,8 +13,11 @@ Plan
 
 Defined cases: words as in benchmark decontamination (A-Z lower-cased); a text of 1 to 4 words is one shingle; null texts and those without
 words have the empty set, are copies of each other and link to nothing else; repeated rows are copies of each other; class_id is the
-least doc_id of the class (null ids only if all are); an empty table gives an empty result. n_links of a document counts the other documents
-with similarity >= threshold, copies included.
+least doc_id of the class (null ids only if all are); an empty table gives an empty result; a similarity of exactly the threshold is a link; very long texts are
+shingled whole. n_links of a document counts the other documents with similarity >= threshold, copies included. Other columns pass through keep_one whatever their names.
+
+Hot groups: copies are one digest from the start. A group of m near copies of different text is m / block rows of shingles for each of them, and m * m / 2 pairs,
+each compared step by step, in (m / block)**2 / 2 tasks' groups; the pairs are what exact links of different texts cost.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,7 +229,8 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def links(docs: DataFrame, table: DataFrame, name: str, o: JoinOptions) -> tuple[DataFrame, DataFrame]:
     """For each digest its first document and number of documents; and for each linked digest its links and a star edge."""
     digest = table.select(F.col(f"{name}.d1").alias("d1"), F.col(f"{name}.d2").alias("d2"), F.col("doc_id"), F.col(f"{name}.bands").alias("bands"))
-    reps = cut(digest.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands")), "digests")
+    reps = digest.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands"))
+    reps = cut(reps.withColumn("node", _node("first_doc", "d1", "d2")), "digests")
     bands = reps.select("d1", "d2", F.posexplode("bands").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("d1", "d2")).alias("x1"), F.bit_xor(F.xxhash64("d2", "d1", F.lit(1))).alias("x2")).filter("m > 1")
     kept = buckets.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m")
@@ -254,13 +258,13 @@ def links(docs: DataFrame, table: DataFrame, name: str, o: JoinOptions) -> tuple
 
     found = docs.select("text").mapInArrow(sets, "d1 long, d2 long, sig binary, sh binary")
     found = found.groupBy("d1", "d2").agg(F.first("sig").alias("sig"), F.first("sh").alias("sh"))
-    found = found.join(masks, ["d1", "d2"]).join(reps.select("d1", "d2", "n_docs"), ["d1", "d2"])
+    found = found.join(masks, ["d1", "d2"]).join(reps.select("d1", "d2", "n_docs", "node"), ["d1", "d2"])
     blocks = F.ceil(F.col("m") / o.block).cast("int")
     rows = (
         members.join(found, ["d1", "d2"])
         .withColumn("own", F.pmod(F.xxhash64("d1", "d2"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "d1", "d2", "mask", "n_docs", "sig", "sh")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "d1", "d2", "mask", "n_docs", "node", "sig", "sh")
     )
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "d1", "d2")
     steps = least_matches(o)
@@ -280,26 +284,27 @@ def links(docs: DataFrame, table: DataFrame, name: str, o: JoinOptions) -> tuple
                 add = np.bincount(i, all_["docs"][j], n) + np.bincount(j, all_["docs"][i], n)
                 root = stars(n, i, j)
                 at = np.flatnonzero(add)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (all_["d1"][at], all_["d2"][at], add[at].astype(np.int64), all_["d1"][root[at]], all_["d2"][root[at]])], names=["d1", "d2", "links", "r1", "r2"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (all_["d1"][at], all_["d2"][at], add[at].astype(np.int64), all_["node"][at], all_["node"][root[at]])], names=["d1", "d2", "links", "u", "v"])
 
-    return reps, cut(rows.mapInArrow(run, "d1 long, d2 long, links long, r1 long, r2 long"), "links")
+    return reps, cut(rows.mapInArrow(run, "d1 long, d2 long, links long, u string, v string"), "links")
 
 
 def _side(t: pa.Table) -> dict:
     t = t.combine_chunks()
     sh = [np.frombuffer(x, np.uint64) for x in t["sh"].to_pylist()]
-    return {"d1": np.asarray(t["d1"]), "d2": np.asarray(t["d2"]), "docs": np.asarray(t["n_docs"]), "mask": np.asarray(t["mask"]), "n": np.array([len(x) for x in sh], np.int64), "sig": np.stack([np.frombuffer(x, np.uint32) for x in t["sig"].to_pylist()]), "sh": sh}
+    return {"d1": np.asarray(t["d1"]), "d2": np.asarray(t["d2"]), "docs": np.asarray(t["n_docs"]), "node": np.array(t["node"].to_pylist(), object), "mask": np.asarray(t["mask"]), "n": np.array([len(x) for x in sh], np.int64), "sig": np.stack([np.frombuffer(x, np.uint32) for x in t["sig"].to_pylist()]), "sh": sh}
 
 
 def _pick(side: dict, at: np.ndarray) -> dict:
     return {k: [v[i] for i in at] if isinstance(v, list) else v[at] for k, v in side.items()}
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, root: the least node of each component, for edges (u, v) of strings."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the least node of each component, for edges (u, v) of strings. Rounds go on until nothing changes; their number is logarithmic in the
+    longest path, and each is a written table."""
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -310,31 +315,34 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
 
 
-def _node(a: str, b: str):
-    return F.concat_ws(":", F.hex(a), F.hex(b))
+def _node(first_doc: str, a: str, b: str) -> Column:
+    """A digest's name; names sort by the first document's id (null last), so that the least name of a class has its class_id in it."""
+    known = F.concat(F.lpad(F.hex(F.col(first_doc).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit(":"), F.col(first_doc).cast("string"))
+    return F.concat_ws(":", F.coalesce(known, F.lit("none:")), F.hex(a), F.hex(b))
+
+
+def _first_doc(node: str) -> Column:
+    return F.expr(f"try_cast(split_part({node}, ':', 2) as long)")
 
 
 def classes(docs: DataFrame, table: DataFrame, name: str, o: JoinOptions) -> DataFrame:
-    """d1, d2, root (null without links), first_doc, n_docs, links of every digest."""
+    """d1, d2, node, root (the digest's own node without links), n_docs, links of every digest."""
     reps, made = links(docs, table, name, o)
-    node = components(made.select(_node("d1", "d2").alias("u"), _node("r1", "r2").alias("v")))
-    total = made.groupBy("d1", "d2").agg(F.sum("links").alias("links")).withColumn("node", _node("d1", "d2")).join(node, "node").drop("node")
-    return reps.select("d1", "d2", "first_doc", "n_docs").join(total, ["d1", "d2"], "left")
+    node = components(made.select("u", "v")).select(F.col("node").alias("u"), "root")
+    total = made.groupBy("d1", "d2", "u").agg(F.sum("links").alias("links")).join(node, "u").drop("u")
+    return reps.select("d1", "d2", "node", "n_docs").join(total, ["d1", "d2"], "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def similarity_join(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     """doc_id, class_id, n_links: a row for each row of docs (doc_id, text)."""
     docs = text_and_id(docs)
     table = signatures(docs, options, "near", drop_text=True)
-    each = cut(classes(docs, table, "near", options), "classes")
-    root = each.filter("root is not null").groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    each = each.join(root, "root", "left").select("d1", "d2", F.coalesce("class_id", "first_doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    each = classes(docs, table, "near", options)
+    each = cut(each.select("d1", "d2", _first_doc("root").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links")), "classes")
     rows = table.select("doc_id", F.col("near.d1").alias("d1"), F.col("near.d2").alias("d2"))
     return rows.join(each, ["d1", "d2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -344,7 +352,7 @@ def keep_one(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame
     name = fresh(docs.columns, "near_join")
     table = signatures(docs, options, name, drop_text=False)
     slim = table.select("doc_id", "text", name)
-    each = classes(slim, slim, name, options).select("d1", "d2", F.coalesce("root", _node("d1", "d2")).alias("root"))
+    each = classes(slim, slim, name, options).select("d1", "d2", "root")
     rows = slim.select(F.struct("doc_id", f"{name}.rid").alias("who"), F.col(f"{name}.d1").alias("d1"), F.col(f"{name}.d2").alias("d2"))
     # copies first, with partial sums, so that a large group of copies is a few rows before the classes meet
     first = rows.groupBy("d1", "d2").agg(F.min("who").alias("who")).join(each, ["d1", "d2"]).groupBy("root").agg(F.min("who").alias("who"))
