@@ -6,7 +6,7 @@ A FASTA record is cut at "\\n>", so multi-line sequences need no window over the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravel.functions.dna import reverse_complement, upper_bases
@@ -17,22 +17,27 @@ def _records(spark: SparkSession, path: str, sep: str) -> DataFrame:
     return spark.read.option("lineSep", sep).text(path)
 
 
-def read_fasta(spark: SparkSession, path: str, most: int = 1_000_000) -> DataFrame:
-    """read_id (the name up to the first blank), seq (upper case, U as T, at most `most` bases), read_len."""
+def _cut(seq: Column, most: int | None) -> Column:
+    return seq if most is None else F.left(seq, F.lit(most))
+
+
+def read_fasta(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """read_id (the name up to the first blank), seq (upper case, U as T), read_len. Records are whole, unless `most` says how many bases
+    of each to keep."""
     rows = _records(spark, path, "\n>").select(F.regexp_replace("value", "^>", "").alias("v"))
     parts = F.split("v", "\r?\n", 2)
     seq = upper_bases(F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "\\s", ""))
-    out = rows.select(F.split(parts[0], "\\s")[0].alias("read_id"), F.left(seq, F.lit(most)).alias("seq")).filter("read_id <> ''")
+    out = rows.select(F.split(parts[0], "\\s")[0].alias("read_id"), _cut(seq, most).alias("seq")).filter("read_id <> ''")
     return out.withColumn("read_len", F.length("seq").cast("bigint"))
 
 
-def read_fastq(spark: SparkSession, path: str, most: int = 1_000_000) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """As read_fasta, from four-line records; qualities are dropped. A quality line that begins with @ is told from a name by the form of
     the record: name, bases, a line with +, and as many signs as bases."""
     lines = F.split(F.regexp_replace("value", "^@", ""), "\r?\n")
     rows = _records(spark, path, "\n@").select(lines.alias("l"))
     rows = rows.filter((F.size("l") >= 3) & F.get("l", F.lit(2)).startswith("+"))
-    out = rows.select(F.split(F.col("l")[0], "\\s")[0].alias("read_id"), F.left(upper_bases(F.col("l")[1]), F.lit(most)).alias("seq"))
+    out = rows.select(F.split(F.col("l")[0], "\\s")[0].alias("read_id"), _cut(upper_bases(F.col("l")[1]), most).alias("seq"))
     return out.withColumn("read_len", F.length("seq").cast("bigint"))
 
 
@@ -41,9 +46,9 @@ def write_fasta(reads: DataFrame, path: str) -> None:
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
-    """chr, length, in the file's order of rows (column ord)."""
+    """chr, length and ord, a number that grows in the file's order of rows."""
     rows = spark.read.option("sep", "\t").schema("chr string, length bigint, a bigint, b bigint, c bigint").csv(path)
-    return rows.select("chr", "length")
+    return rows.select("chr", "length", F.monotonically_increasing_id().alias("ord"))
 
 
 def contig_offsets(contigs: DataFrame) -> DataFrame:

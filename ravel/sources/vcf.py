@@ -73,20 +73,21 @@ def numbered(calls: DataFrame) -> DataFrame:
 
 
 def records(calls: DataFrame, o: CallOptions = CallOptions(), ref: Column | None = None, alt: Column | None = None) -> DataFrame:
-    """The ten columns of each call. ref and alt: sequences instead of the symbols."""
+    """The ten columns of each call. ref and alt: sequences instead of the symbols, which stand where one is null."""
     rows = numbered(calls)
     c = {k: F.col(k) for k in rows.columns}
     symbol = F.when(c["sv_type"] == "BND", c["alt"]).otherwise(F.concat(F.lit("<"), c["sv_type"], F.lit(">")))
     return rows.select(
         c["chr"].alias("CHROM"), (c["pos"] + 1).alias("POS"), F.concat_ws(".", F.lit(o.id_prefix), c["sv_type"], c["n"].cast("string")).alias("ID"),
-        (F.lit("N") if ref is None else ref).alias("REF"), (symbol if alt is None else F.coalesce(alt, symbol)).alias("ALT"),
+        (F.lit("N") if ref is None else F.coalesce(ref, F.lit("N"))).alias("REF"), (symbol if alt is None else F.coalesce(alt, symbol)).alias("ALT"),
         V.dot(c["qual"]).alias("QUAL"), V.filter_label(c["qual"]).alias("FILTER"), V.info(c, o.report_readid).alias("INFO"), F.lit("GT:DR:DV:PL:GQ").alias("FORMAT"), V.sample_column(c).alias("SAMPLE"),
     )
 
 
-def write(calls: DataFrame, contigs: DataFrame, path: str, o: CallOptions = CallOptions(), **kw) -> None:
-    """One text file: header, then the records by (CHROM, POS, ID). Calls are few, so one sorted task writes them."""
-    body = records(calls, o)
+def write(calls: DataFrame, contigs: DataFrame, path: str, o: CallOptions = CallOptions(), ref: Column | None = None, alt: Column | None = None, **kw) -> None:
+    """One text file: header, then the records by (CHROM, POS, ID). Calls are few, so one sorted task writes them. ref and alt: sequences
+    of calls, as in records."""
+    body = records(calls, o, ref, alt)
     lines = header(contigs, o.sample, **kw).select(F.lit(0).alias("a"), F.col("line_no").alias("b"), F.lit("").alias("c"), F.lit(0).cast("bigint").alias("d"), "line")
     lines = lines.union(body.select(F.lit(1), F.lit(0).cast("bigint"), "CHROM", "POS", F.concat_ws("\t", *(F.col(x).cast("string") for x in COLUMNS))))
     lines.orderBy("a", "b", "c", "d", "line").coalesce(1).select("line").write.text(path)

@@ -1,5 +1,7 @@
 """Readers and writers on small files."""
 
+from pyspark.sql import functions as F
+
 from ravel import adapters as D
 from ravel.operators import evaluate as E
 from ravel.plans.call import call
@@ -38,7 +40,7 @@ def test_svseg_round_trip(spark, tmp_path, sf_dir):
 
 def test_fai_truth_and_genotypes(spark, tmp_path):
     fai = put(tmp_path, "a.fai", "chr1\t1000\t6\t60\t61\nchr2\t500\t7\t60\t61\n")
-    assert [tuple(r) for r in sequences.read_fai(spark, fai).collect()] == [("chr1", 1000), ("chr2", 500)]
+    assert [tuple(r) for r in sequences.read_fai(spark, fai).orderBy("ord").select("chr", "length").collect()] == [("chr1", 1000), ("chr2", 500)]
     bed = put(tmp_path, "t.bed", "chr2\t10\t60\tdeletion\tNone\t0\nchr1\t5\t9\tinsertion\tACGT\t0\nchr1\t100\t200\treciprocal translocation\th1:chr3:900:forward:reverse\t0\n")
     got = {tuple(r) for r in truth.explode_truth(truth.read_bed(spark, bed)).collect()}
     assert got == {
@@ -49,6 +51,27 @@ def test_fai_truth_and_genotypes(spark, tmp_path):
     assert {tuple(r) for r in truth.read_genotypes(spark, gt).collect()} == {("chr1", "hom"), ("chr2", "het"), ("chr3", "None")}
 
 
+def test_fasta_keeps_records_of_any_length(spark, tmp_path):
+    fa = put(tmp_path, "long.fa", ">c\n" + "ACGTACGTAC" * 150_000 + "\n")
+    assert [r.n for r in sequences.read_fasta(spark, fa).selectExpr("length(seq) as n").collect()] == [1_500_000]
+    assert [r.read_len for r in sequences.read_fasta(spark, fa, most=7).collect()] == [7]
+
+
+def test_header_has_the_contigs_in_the_order_of_the_fai(spark, tmp_path):
+    names = [f"chr{i}" for i in (*range(1, 13), "X", "M")]
+    fai = put(tmp_path, "a.fai", "".join(f"{n}\t{100 + i}\t{6 + i}\t60\t61\n" for i, n in enumerate(names)))
+    lines = [r.line for r in vcf.header(sequences.read_fai(spark, fai)).orderBy("line_no").collect()]
+    assert [x for x in lines if x.startswith("##contig")] == [f"##contig=<ID={n},length={100 + i}>" for i, n in enumerate(names)]
+
+
+def test_records_with_allele_sequences(spark, tmp_path, sf_dir):
+    calls = call(D.planted_segments(D.table(spark, sf_dir, "orders")))
+    dels = F.col("sv_type") == "DEL"
+    vcf.write(calls, D.contigs_view(spark), str(tmp_path / "v"), ref=F.when(dels, F.lit("ACG")), alt=F.when(dels, F.lit("A")))
+    got = {(r.ID.split(".")[-2], r.REF, r.ALT) for r in vcf.read(spark, str(tmp_path / "v")).collect()}
+    assert {x for x in got if x[0] == "DEL"} == {("DEL", "ACG", "A")} and all(r == "N" for t, r, _ in got if t != "DEL") and ("INS", "N", "<INS>") in got
+
+
 def test_vcf_written_and_evaluated(spark, tmp_path, sf_dir):
     orders = D.table(spark, sf_dir, "orders")
     calls = call(D.planted_segments(orders))
