@@ -60,6 +60,8 @@ class LmOptions:
 END = np.uint64(0x6A09E667F3BCC909)
 #: Words counted together before they are handed to Spark.
 _HELD = 2_000_000
+#: Tokens scored together; the scores of a block of them are made some rows at a time.
+_BLOCK = 1 << 16
 
 
 def tokens(s: X.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -210,6 +212,31 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(out, out=out)
 
 
+def sorted_order(x: np.ndarray, size: int) -> np.ndarray:
+    """The stable order of numbers from 0 to size - 1; numbers of two bytes are sorted by digits, which is faster."""
+    return np.argsort(x.astype(np.uint16) if size <= 1 << 16 else x, kind="stable")
+
+
+def sums_by_row(grad: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of grad over each distinct row, and the distinct rows in order. Long runs are summed each, the others by their first, second, ... members at once."""
+    order = sorted_order(rows, size)
+    rows = rows.take(order)
+    at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    length = np.diff(np.append(at, len(rows)))
+    out = grad.take(order.take(at), axis=0)
+    left = np.flatnonzero(length > 1)
+    long = left[length[left] > 8]
+    left = left[length[left] <= 8]
+    for j in range(1, 8):
+        out[left] += grad.take(order.take(at[left] + j), axis=0)
+        left = left[length[left] > j + 1]
+        if not len(left):
+            break
+    for i, x, y in zip(long.tolist(), at[long].tolist(), (at[long] + length[long]).tolist()):
+        out[i] = grad.take(order[x:y], axis=0).sum(0)
+    return out, rows.take(at)
+
+
 #: Parameters with a row for each word: context vectors, target vectors, biases.
 _BY_WORD = (0, 3, 4)
 
@@ -227,7 +254,8 @@ class Trainer:
         self.g2 = [(np.zeros_like(a) + (0.1 * (1 + n * n)).reshape(-1, *[1] * (a.ndim - 1))).astype(np.float32) for a, n in zip(self.p, often)]
         self.edges = np.cumsum(mass)
         self.log_kp = np.log(o.noise_per_token * mass).astype(np.float32)
-        self.class_of = v.class_of()
+        self.size_of = np.append(np.diff(v.begin), 0)
+        self.class_of = np.append(v.class_of(), v.classes).astype(np.int32)
         more = v.counts + 1
         self.word_edges = np.concatenate([[0.0], np.cumsum(more)])
         within = np.add.reduceat(more, v.begin[:-1]) if len(more) else np.zeros(0)
@@ -241,75 +269,90 @@ class Trainer:
             self.g2[i] += grad * grad
             self.p[i] -= rate * grad / np.sqrt(self.g2[i])
             return
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        grad, rows = np.add.reduceat(grad[order], at, axis=0), rows[at]
-        g2 = self.g2[i][rows] + grad * grad
+        grad, rows = sums_by_row(grad, rows, len(self.p[i]))
+        g2 = self.g2[i].take(rows, axis=0)
+        g2 += grad * grad
         self.g2[i][rows] = g2
-        self.p[i][rows] -= rate * grad / np.sqrt(g2)
+        np.sqrt(g2, out=g2)
+        grad /= g2
+        grad *= rate
+        self.p[i][rows] = self.p[i].take(rows, axis=0) - grad
 
     def learn(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> None:
         """One step on the tokens w (numbers, -1: rare) after the contexts one and two."""
         r, c1, c2, q, b, u, a = self.p
         o, k = self.o, self.v.classes
-        cls = np.where(w >= 0, self.class_of[w] if k else 0, k)
-        order = np.argsort(cls, kind="stable")
-        one, two, w, cls = one[order], two[order], w[order], cls[order]
-        x1, x2 = r[one], r[two]
-        h = x1 @ c1 + x2 @ c2
+        cls = self.class_of[w]  # -1 takes the last: the rare class
+        order = sorted_order(cls, k + 1)
+        w, cls = w[order], cls[order]
+        both = np.concatenate([one[order], two[order]])
+        x = r.take(both, axis=0)
+        x1, x2 = x[: len(w)], x[len(w) :]
+        h = x1 @ c1
+        h += x2 @ c2
         # classes
         scale = np.float32(o.noise_per_token / o.noise)
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(o.noise)), k)
-        uc, un = u[cls], u[noise]
-        dp = (sigmoid((h * uc).sum(1) + a[cls] - self.log_kp[cls]) - 1).astype(np.float32)
-        dn = sigmoid(h @ un.T + (a[noise] - self.log_kp[noise])).astype(np.float32) * scale
-        dh = dp[:, None] * uc + dn @ un
+        uc, un = u.take(cls, axis=0), u[noise]
+        dp = sigmoid(np.einsum("ij,ij->i", h, uc) + (a - self.log_kp)[cls]) - np.float32(1)
+        dn = h @ un.T
+        dn += a[noise] - self.log_kp[noise]
+        dn = sigmoid(dn)
+        dn *= scale
+        dh = dn @ un
+        uc *= dp[:, None]
+        dh += uc
         at = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
         gu, ga = np.zeros_like(u), np.zeros_like(a)
         gu[cls[at]], ga[cls[at]] = np.add.reduceat(dp[:, None] * h, at, axis=0), np.add.reduceat(dp, at)
         np.add.at(gu, noise, dn.T @ h)
         np.add.at(ga, noise, dn.sum(0))
-        # words within classes of two or more
-        ends = np.append(at[1:], len(cls))
-        loops = [(int(c), x, y) for c, x, y in zip(cls[at], at.tolist(), ends.tolist()) if c < k and self.v.begin[c + 1] - self.v.begin[c] > 1]
-        if loops:
-            base, top = self.word_edges[self.v.begin[:-1]], self.word_edges[self.v.begin[1:]]
-            drawn = np.searchsorted(self.word_edges, base[:, None] + self.rng.random((k, o.word_noise)) * (top - base)[:, None], "right") - 1
-            drawn = np.minimum(drawn, self.v.begin[1:, None] - 1)
-            scale = np.float32(o.noise_per_token / o.word_noise)
-            q_drawn, off = q[drawn], b[drawn] - self.word_kp[drawn]
-            known = w[: loops[-1][2]]
-            qw = q[known]
-            dw = (sigmoid((h[: len(known)] * qw).sum(1) + b[known] - self.word_kp[known]) - 1).astype(np.float32)
-            # the tokens of a class in rows of `width`, so that all classes are one stack of matrix products
-            width = 32
-            c, x, y = (np.array(z) for z in zip(*loops))
-            alone = np.ones(len(known), bool)
-            alone[X.runs_gather(x, y - x)] = False
-            parts = -(-(y - x) // width)
-            c, stop, x = np.repeat(c, parts), np.repeat(y, parts), X.runs_gather(np.zeros(len(parts), np.int64), parts) * width + np.repeat(x, parts)
-            at = x[:, None] + np.arange(width)
-            real = at < stop[:, None]
-            hs, qs = h[np.where(real, at, 0)], q_drawn[c]
-            d = sigmoid(hs @ qs.transpose(0, 2, 1) + off[c][:, None, :]).astype(np.float32) * (real[:, :, None] * scale)
-            dh[at[real]] += (d @ qs)[real]
-            rows, grads, bias = [drawn[c].ravel()], [(d.transpose(0, 2, 1) @ hs).reshape(-1, o.dims)], [d.sum(1).ravel()]
-            dw[alone] = 0
-            dh[: len(known)] += dw[:, None] * qw
-            rows, grads, bias = np.concatenate([known, *rows]), np.concatenate([dw[:, None] * h[: len(known)], *grads]), np.concatenate([dw, *bias])
+        # words within classes of two or more: the tokens of a class stand together, so each class is a slice
+        have, ends = cls[at], np.append(at[1:], len(cls))
+        many = (have < k) & (self.size_of[have] > 1)
+        have, begins, ends = have[many], at[many], ends[many]
+        if len(have):
+            low, top = self.word_edges[self.v.begin[have]], self.word_edges[self.v.begin[have + 1]]
+            drawn = np.searchsorted(self.word_edges, low[:, None] + self.rng.random((k, o.word_noise))[have] * (top - low)[:, None], "right") - 1
+            drawn = np.minimum(drawn, self.v.begin[have + 1, None] - 1)
+            tokens = X.runs_gather(begins, ends - begins)
+            q_drawn, known, hk = q.take(drawn, axis=0), w[tokens], h.take(tokens, axis=0)
+            stop = np.cumsum(ends - begins)
+            spans = [slice(x, y) for x, y in zip((stop - (ends - begins)).tolist(), stop.tolist())]
+            d = np.repeat(b[drawn] - self.word_kp[drawn], ends - begins, axis=0)
+            for i, span in enumerate(spans):
+                d[span] += hk[span] @ q_drawn[i].T
+            d = sigmoid(d)
+            d *= np.float32(o.noise_per_token / o.word_noise)
+            qw = q.take(known, axis=0)
+            dw = sigmoid(np.einsum("ij,ij->i", hk, qw) + (b - self.word_kp)[known]) - np.float32(1)
+            qw *= dw[:, None]
+            grads = np.empty((len(known) + drawn.size, o.dims), np.float32)
+            noise_grads = grads[len(known) :].reshape(len(have), o.word_noise, o.dims)
+            for i, span in enumerate(spans):
+                qw[span] += d[span] @ q_drawn[i]
+                np.matmul(d[span].T, hk[span], out=noise_grads[i])
+            dh[tokens] = dh.take(tokens, axis=0) + qw
+            np.multiply(hk, dw[:, None], out=grads[: len(known)])
+            rows = np.concatenate([known, drawn.ravel()])
             self._step(3, grads, rows)
-            self._step(4, bias, rows)
-            self.met[1] += np.bincount(known, minlength=len(q))
+            self._step(4, np.concatenate([dw, np.add.reduceat(d, stop - (ends - begins), axis=0).ravel()]), rows)
         self._step(5, gu)
         self._step(6, ga)
-        self._step(0, np.concatenate([dh @ c1.T, dh @ c2.T]), np.concatenate([one, two]))
+        self._step(0, np.concatenate([dh @ c1.T, dh @ c2.T]), both)
         self._step(1, x1.T @ dh)
         self._step(2, x2.T @ dh)
-        self.met[0] += np.bincount(one, minlength=len(r)) + np.bincount(two, minlength=len(r))
+        self.met[0] += np.bincount(both, minlength=len(r))
+        self.met[1] += np.bincount(w[w >= 0], minlength=len(q))
         self.seen += len(w)
 
 
+def summed(row: np.ndarray, n: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n and x over equal neighbours in row."""
+    at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    return row[at], np.add.reduceat(n, at), np.add.reduceat(x, at, axis=0)
+
+
 def train(docs: DataFrame, v: Vocabulary, o: LmOptions) -> list[np.ndarray]:
     """The averaged parameters after one pass of every task over its own documents (text)."""
     shared = docs.sparkSession.sparkContext.broadcast(v)
@@ -336,15 +379,18 @@ def train(docs: DataFrame, v: Vocabulary, o: LmOptions) -> list[np.ndarray]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int32)), pa.array(some.astype(np.int32)), pa.array(weight[some].astype(np.float64)), pa.array([y.tobytes() for y in x[some]], pa.binary())], names=["i", "row", "n", "x"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], list] = {}
+        """Rows come in order of (i, row); the weighted sums of each, then their means."""
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for i, row, n, x in zip(*(c.to_pylist() for c in batch.columns)):
-                own = total.setdefault((i, row), [0.0, 0.0])
-                own[0] += n
-                own[1] = own[1] + n * np.frombuffer(x, np.float32).astype(np.float64)
-        if total:
-            keys = list(total)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k][0] for k in keys], pa.float64()), pa.array([(total[k][1] / total[k][0]).astype(np.float32).tobytes() for k in keys], pa.binary())], names=["i", "row", "n", "x"])
+            which, row, n = (np.asarray(batch.column(c)) for c in ("i", "row", "n"))
+            for i in np.unique(which).tolist():
+                at = np.flatnonzero(which == i)
+                x = np.frombuffer(b"".join(batch.column("x").take(pa.array(at)).to_pylist()), np.float32).reshape(len(at), -1)
+                held.setdefault(i, []).append(summed(row[at], n[at], x * n[at][:, None]))
+        for i, parts in held.items():
+            row, n, x = summed(*(np.concatenate(z) for z in zip(*parts)))
+            x = (x / n[:, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), i, np.int32)), pa.array(row), pa.array(n), pa.array([y.tobytes() for y in x], pa.binary())], names=["i", "row", "n", "x"])
 
     schema = "i int, row int, n double, x binary"
     got = docs.select("text").mapInArrow(run, schema).repartition("i", "row").sortWithinPartitions("i", "row", "n", "x").mapInArrow(add, schema).toArrow()
@@ -377,12 +423,13 @@ class Scorer:
         """Natural logarithms of P(w | one, two); for rare tokens (w = -1) of P(rare | one, two)."""
         k, begin = self.v.classes, self.v.begin
         cls = np.where(w >= 0, self.v.class_of()[w] if k else 0, k)
-        order = np.argsort(cls, kind="stable")
+        order = sorted_order(cls, k + 1)
         cls, own = cls[order], w[order]
         out = np.empty(len(w))
-        for lo in range(0, len(w), 8192):  # so that the scores of a block stay small
-            i = order[lo : lo + 8192]
-            h, c = self.r1[one[i]] + self.r2[two[i]], cls[lo : lo + 8192]
+        for lo in range(0, len(w), _BLOCK):  # so that the scores of a block stay small
+            i = order[lo : lo + _BLOCK]
+            h, c = self.r1.take(one[i], axis=0), cls[lo : lo + _BLOCK]
+            h += self.r2.take(two[i], axis=0)
             lp = _log_softmax(h, self.u, self.a, c)
             at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])).tolist()
             for x, y in zip(at, [*at[1:], len(c)]):
