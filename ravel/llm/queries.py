@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravel.llm import collocations as op12
 from ravel.llm import decontaminate as op5
+from ravel.llm import hyper_minhash as op13
 from ravel.llm import line_chunks as op4
 from ravel.llm import near_join as op3
 from ravel.llm import neural_lm as op6
@@ -16,6 +18,7 @@ from ravel.llm import packing as op8
 from ravel.llm import quality_rules as op1
 from ravel.llm import quality_model as op7
 from ravel.llm import sharding as op10
+from ravel.llm import spelling as op11
 from ravel.llm import token_files as op9
 from ravel.llm import toxicity as op2
 from ravel.llm.common import crc_mod, read, shared_dir, text_and_id
@@ -84,9 +87,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes"), "lang", "source")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and "_" in k and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": op3.ORACLE, "op4_line_dedup": op4.ORACLE, "op5_benchmark_decontamination": op5.ORACLE, "op10_sharding": op10.ORACLE}
+    out = {"op3_ngram_jaccard_join": op3.ORACLE, "op4_line_dedup": op4.ORACLE, "op5_benchmark_decontamination": op5.ORACLE, "op10_sharding": op10.ORACLE}
+    return out | {"op11_spelling_variants": op11.ORACLE, "op12_collocations": op12.ORACLE, "op13_hyper_minhash": op13.ORACLE}

@@ -16,10 +16,12 @@ def test_query_on_empty_and_odd_tables(spark, tables, name):
     f = Q.queries()[name]
     assert f(spark, tables["none"]).count() == 0
     rows = f(spark, tables["full"]).collect()
+    if name in ("op11_spelling_variants", "op12_collocations"):  # rows are words and phrases
+        return
     assert len(rows) >= 16
     if name not in ("op8_best_fit_packing",):
         assert len(rows) == 16
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in Q.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in Q.queries()) == list(range(1, 14))
