@@ -1,18 +1,19 @@
 """Collocations: phrases of 2 to 4 words by hierarchical pair naming.
 
 Plan
-1. Tasks cut their texts into blocks of about `block` words. A block is a row of small local codes, one a word, 0 where a piece ends, and a row for each of its
-   distinct words with the times it stands there.
-2. Naming: equal words (later: equal pairs) of all blocks meet in one window, at most a row a block each. Those found `least` times or more get one id, the
-   least of (block, code) of their rows, which only depends on the blocks' contents. The ids go back to the blocks they came from.
-3. In each block the ids of adjacent (k-1)-grams make pairs, and a pair stands for the k-gram that both overlap in; its rows (left id, right id, times) are named
+1. Tasks cut their texts into blocks of about `block` words. A block is a row of small local codes, one a word, 0 where a piece ends, and its distinct words with
+   the times they stand there, dealt over buckets by hash. What a block has in one bucket is one row of packed arrays.
+2. Naming: a bucket's rows of all blocks meet in one task, at most a row a block for each of its words (later: pairs), so no word is hot. Those found `least`
+   times or more get an id, (bucket, rank in order), which only depends on the contents. The ids go back, packed, to the blocks they came from.
+3. In each block the ids of adjacent (k-1)-grams make pairs, and a pair stands for the k-gram that both overlap in; its (left id, right id, times) are named
    in turn. A k-gram is as frequent as its least part at most, so nothing that counts is lost by going on with frequent ones only.
 4. The named tables are a hierarchy: left and right are the two (k-1)-grams of a phrase. Cuts and their counts come from the parents (first word, first pair,
    last pair, ...), texts too, and a phrase's most frequent longer neighbour is the largest count among its children. (A four-word phrase around a
    pair has a three-word one around it that is at least as frequent, so the next level is enough.)
 5. The first `top` of each lang: first of each of many salted shares, then of what they leave.
 
-No id is a hash, so counts are exact. Scores are whole numbers in decimal arithmetic of 38 digits, as 2,000,000 times a count can pass 64 bits.
+No id is a hash, so counts are exact. Scores are whole numbers in decimal arithmetic of 38 digits, as 2,000,000 times a count can pass 64 bits. The number of buckets
+follows the bytes and words of the input, so that a bucket fits in a task.
 
 Defined cases: null texts have no words; a null lang is `und`, together with a lang of that name; repeated rows count as often as they stand there; ties go by count, then the
 phrase's UTF-8 bytes; a very long text is read in windows and may span blocks, the next block then begins with the last three words before
@@ -21,6 +22,8 @@ it, which count only as the beginning of phrases; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravel.llm import textcore as X
 from ravel.llm.common import cut, small_batches
 
 
@@ -42,16 +46,49 @@ class CollocationOptions:
     longest: int = 4
     block: int = 1 << 19
     window: int = 1 << 20
+    #: Bytes of text, and words, for which there is a bucket.
+    bucket_bytes: int = 8 << 20
+    bucket_words: int = 2 << 20
 
 
 #: A-Z to a-z, tab to space, the ends of pieces to newline.
 BYTES = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BREAK = b"\n"
-#: Bits of a local code in an id, and of a block's number within its task.
-CODE_BITS, BLOCK_BITS = 28, 15
+#: Bits of a rank in an id, and of a block's number within its task.
+RANK_BITS, BLOCK_BITS = 40, 20
 SALTS = 64
-_BLOCKS = "block long, codes binary, skip int, j int, lang string, word string, n long"
-_PAIRS = "block long, codes binary, skip int, j int, left long, right long, n long"
+#: A block's codes, or what it has in one bucket: words (by lang) or pairs, the local codes of which begin with `first`.
+_PARTS = "block long, skip int, codes binary, bucket int, lang string, first int, words binary, data binary"
+#: Ids for codes of a block, or one named word or pair.
+_NAMED = "block long, first int, data binary, id long, f long, lang string, word string, left long, right long"
+_CODEC = pa.Codec("zstd", 1)
+
+
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length and type as planes of bytes, compressed: the high bytes of small numbers cost nothing."""
+    return squeeze(b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays))
+
+
+def unpack(data: bytes, k: int, dtype: type = np.int64) -> list[np.ndarray]:
+    size = np.dtype(dtype).itemsize
+    raw = np.frombuffer(unsqueeze(data), np.uint8).reshape(k, size, -1)
+    return [np.ascontiguousarray(x.T).view(dtype).ravel() for x in raw]
+
+
+def _rows(schema: str, **columns: list) -> pa.RecordBatch:
+    """A batch of the schema; columns that are not given are null."""
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    n = len(next(iter(columns.values())))
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], types[t]) if c in columns else pa.nulls(n, types[t]) for c, t in fields], names=[c for c, _ in fields])
 
 
 class Names(dict):
@@ -82,16 +119,26 @@ class Block:
         self.codes.append(codes[codes >= 0])
         self.size += len(self.codes[-1])
 
-    def rows(self) -> pa.RecordBatch:
-        codes = np.concatenate(self.codes)
-        n = np.bincount(codes[self.skip :], minlength=len(self.words) + 1)[1:]
-        langs, words = zip(*self.words) if self.words else ((), ())
-        m = len(words)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([self.number] * (m + 1), pa.int64()), pa.array([codes.tobytes()] + [None] * m, pa.binary()), pa.array([self.skip] + [None] * m, pa.int32()), pa.array([None, *range(1, m + 1)], pa.int32())]
-            + [pa.array([None, *langs], pa.string()), pa.array([None, *words], pa.binary()).cast(pa.string()), pa.array([None, *n.tolist()], pa.int64())],
-            names=["block", "codes", "skip", "j", "lang", "word", "n"],
-        )
+    def rows(self, buckets: int) -> pa.RecordBatch:
+        codes, m = np.concatenate(self.codes), len(self.words)
+        n = np.bincount(codes[self.skip :], minlength=m + 1)[1:]
+        langs = {x: i for i, x in enumerate(self.names)}
+        lang = np.array([langs[x] for x, _ in self.words], np.int64)
+        bucket = np.array([zlib.crc32(w) % buckets for _, w in self.words], np.int64)
+        order = np.lexsort((lang, bucket))
+        new = np.zeros(m + 1, np.int32)
+        new[order + 1] = np.arange(1, m + 1)
+        lang, bucket = lang[order], bucket[order]
+        at = [*np.flatnonzero(np.concatenate([[m > 0], (lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1])])).tolist(), m]
+        names, order = list(self.names), order.tolist()
+        spans = list(zip(at, at[1:]))
+        k = len(spans)
+        words = [squeeze(b"\n".join([self.words[i][1] for i in order[a:b]])) for a, b in spans]
+        data = [pack(n[order[a:b]]) for a, b in spans]
+        return _rows(
+            _PARTS, block=[self.number] * (k + 1), skip=[self.skip] + [None] * k, codes=[pack(new[codes])] + [None] * k, bucket=[None, *bucket[at[:-1]].tolist()],
+            lang=[None, *(names[lang[a]] for a, _ in spans)], first=[None, *(a + 1 for a, _ in spans)], words=[None, *words], data=[None, *data],
+        )
 
 
 def tokens_of(text: bytes, window: int) -> Iterator[list[bytes]]:
@@ -107,8 +154,10 @@ def tokens_of(text: bytes, window: int) -> Iterator[list[bytes]]:
 
 
 def blocks(docs: DataFrame, o: CollocationOptions) -> DataFrame:
-    """The blocks of docs (lang, text) as a written table: a row with codes for each, and a row for each of its words."""
+    """The blocks of docs (lang, text) as a written table: their codes and, by bucket and lang, their words."""
     small_batches(docs.sparkSession)
+    rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("string").alias("text"))
+    buckets = _buckets(rows.agg(F.sum(F.octet_length("text"))).first()[0], o.bucket_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << BLOCK_BITS
@@ -120,75 +169,142 @@ def blocks(docs: DataFrame, o: CollocationOptions) -> DataFrame:
                 last: list[bytes] = []
                 for tokens in tokens_of(text.as_buffer().to_pybytes(), o.window):
                     if now.size >= o.block:
-                        yield now.rows()
-                        if now.number + 1 >> BLOCK_BITS << BLOCK_BITS != part:
-                            raise ValueError("too many blocks in a task")
+                        yield now.rows(buckets)
                         now = Block(now.number + 1, lang, last)
                     now.add(lang, tokens)
                     last = ([*last, *(t for t in tokens[-2 * o.longest :] if t)])[-(o.longest - 1) :]
                 now.add(lang, [BREAK])
         if now.size:
-            yield now.rows()
-
-    rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("string").alias("text"))
-    return cut(rows.mapInArrow(run, _BLOCKS), "blocks")
-
-
-def named(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The rows (block, j, keys, n) whose keys are found `least` times or more in all, with f, id and `first` (one row of each id), as a written table; keys
-    stay on the first row only."""
-    w = Window.partitionBy(*keys)
-    own = F.shiftleft("block", CODE_BITS).bitwiseOR(F.col("j").cast("long"))
-    rows = rows.withColumn("own", own).withColumn("f", F.sum("n").over(w)).withColumn("id", F.min("own").over(w)).filter(F.col("f") >= least)
-    first = F.col("own") == F.col("id")
-    return cut(rows.select("block", "j", "id", first.alias("first"), F.when(first, F.col("f")).alias("f"), *(F.when(first, F.col(k)).alias(k) for k in keys)), "named")
-
-
-def _pairs(codes: np.ndarray, skip: int, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The new codes by place, and left id, right id and times of each new code from 1."""
+            yield now.rows(buckets)
+
+    return cut(rows.mapInArrow(run, _PARTS), "blocks")
+
+
+def _buckets(size: int | None, each: int) -> int:
+    return max(32, math.ceil((size or 0) / each))
+
+
+def name_words(parts: DataFrame, least: int) -> DataFrame:
+    """Ids for the words of a bucket's rows, and the named words, as a written table."""
+
+    def work(t: pa.Table) -> pa.Table:
+        rows = [(block, lang, first, unsqueeze(words).split(b"\n"), unpack(n, 1)[0].tolist()) for block, lang, first, words, n in zip(*(t[c].to_pylist() for c in ("block", "lang", "first", "words", "data")))]
+        total: dict[str, dict[bytes, int]] = {}
+        for _, lang, _, words, n in rows:
+            f = total.setdefault(lang, {})
+            for w, c in zip(words, n):
+                f[w] = f.get(w, 0) + c
+        entries = [(lang, w, n) for lang, f in sorted(total.items()) for w, n in sorted(f.items()) if n >= least]
+        base = t["bucket"][0].as_py() << RANK_BITS
+        ids: dict[str, dict[bytes, int]] = {lang: {} for lang in total}
+        for i, (lang, w, _) in enumerate(entries, 1):
+            ids[lang][w] = base | i
+        back = []
+        for block, lang, first, words, _ in rows:
+            got = np.fromiter((ids[lang].get(w, 0) for w in words), np.int64, len(words))
+            back.append((block, first, np.flatnonzero(got), got))
+        langs, words, f = (list(x) for x in zip(*entries)) if entries else ([], [], [])
+        return pa.Table.from_batches([_back(back), _rows(_NAMED, id=[base | i for i in range(1, len(entries) + 1)], f=f, lang=langs, word=pa.array(words, pa.binary()).cast(pa.string()))])
+
+    return cut(parts.groupBy("bucket").applyInArrow(work, _NAMED), "named")
+
+
+def _back(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(block, first code, places, ids by place) as rows for the blocks, without rows that name nothing."""
+    rows = [r for r in rows if len(r[2])]
+    return _rows(_NAMED, block=[r[0] for r in rows], first=[r[1] for r in rows], data=[pack(np.diff(at, prepend=0), np.diff(got[at], prepend=0)) for _, _, at, got in rows])
+
+
+def name_pairs(parts: DataFrame, least: int, last: bool) -> DataFrame:
+    """Ids for the pairs of a bucket's rows (not for the last level, whose ids nobody asks for), and the named pairs, as a written table."""
+
+    def work(t: pa.Table) -> pa.Table:
+        each = [unpack(x, 3) for x in t["data"].to_pylist()]
+        size = np.array([len(x[0]) for x in each])
+        left, right, n = np.concatenate([np.cumsum(x[0]) for x in each]), np.concatenate([x[1] for x in each]), np.concatenate([x[2] for x in each])
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        at = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+        f = np.add.reduceat(n[order], at)
+        often = f >= least
+        base = t["bucket"][0].as_py() << RANK_BITS
+        names = np.where(often, base | np.cumsum(often), 0)
+        out = [_rows(_NAMED, id=names[often], f=f[often], left=left[at[often]], right=right[at[often]])]
+        if not last:
+            got = np.empty(len(order), np.int64)
+            got[order] = np.repeat(names, np.diff(np.append(at, len(order))))
+            begin = np.cumsum(size) - size
+            rows = []
+            for block, first, a, k in zip(t["block"].to_pylist(), t["first"].to_pylist(), begin.tolist(), size.tolist()):
+                own = got[a : a + k]
+                rows.append((block, first, np.flatnonzero(own), own))
+            out.append(_back(rows))
+        return pa.Table.from_batches(out)
+
+    return cut(parts.groupBy("bucket").applyInArrow(work, _NAMED), "named")
+
+
+def _pairs(codes: np.ndarray, skip: int, ids: np.ndarray, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of k-grams by place, and bucket, left id, right id and times of each code from 1, in order of these."""
     new = np.zeros(max(len(codes) - 1, 0), np.int32)
     known = ids[codes] > 0
     at = np.flatnonzero(known[:-1] & known[1:])
-    key = codes[at].astype(np.int64) << 32 | codes[at + 1]
-    key, inverse = np.unique(key, return_inverse=True)
-    new[at] = inverse + 1
+    key, inverse = np.unique(codes[at].astype(np.int64) << 32 | codes[at + 1], return_inverse=True)
+    left, right = ids[key >> 32], ids[key & 0xFFFFFFFF]
     n = np.bincount(inverse[at + k > skip], minlength=len(key))
-    return new, ids[key >> 32], ids[key & 0xFFFFFFFF], n
+    bucket = (X.mix(X.mix(left) ^ right.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((right, left, bucket))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(1, len(order) + 1)
+    new[at] = rank[inverse]
+    return new, bucket[order], left[order], right[order], n[order]
 
 
-def pairs(sequences: DataFrame, names: DataFrame, k: int) -> DataFrame:
-    """The k-grams of blocks whose (k-1)-grams are named: a row with the new codes for each block, and a row for each of its k-grams."""
+def pairs(sequences: DataFrame, names: DataFrame, k: int, buckets: int) -> DataFrame:
+    """The k-grams of blocks whose (k-1)-grams are named: their codes and, by bucket, their pairs, as a written table."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        j, got = np.asarray(right["j"]), np.asarray(right["id"])
-        for block, codes, skip in zip(left["block"].to_pylist(), left["codes"].to_pylist(), left["skip"].to_pylist()):
-            codes = np.frombuffer(codes, np.int32)
-            ids = np.zeros(int(max(codes.max(initial=0), j.max(initial=0))) + 1, np.int64)
-            ids[j] = got
-            new, a, b, n = _pairs(codes, skip, ids, k)
-            m = len(a)
-            head = [pa.array([block] * (m + 1), pa.int64()), pa.array([new.tobytes()] + [None] * m, pa.binary()), pa.array([skip] + [None] * m, pa.int32())]
-            out.append(pa.table([*head, *(pa.concat_arrays([pa.array([None], t), pa.array(x, t)]) for x, t in ((np.arange(1, m + 1, dtype=np.int32), pa.int32()), (a, pa.int64()), (b, pa.int64()), (n, pa.int64())))], names=["block", "codes", "skip", "j", "left", "right", "n"]))
-        return pa.concat_tables(out)
+        for block, skip, codes in zip(left["block"].to_pylist(), left["skip"].to_pylist(), left["codes"].to_pylist()):
+            (codes,) = unpack(codes, 1, np.int32)
+            ids = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
+            for first, data in zip(right["first"].to_pylist(), right["data"].to_pylist()):
+                at, got = unpack(data, 2)
+                ids[first + np.cumsum(at)] = np.cumsum(got)
+            new, bucket, a, b, n = _pairs(codes, skip, ids, k, buckets)
+            if not len(a):
+                continue
+            at = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(a)]
+            data = [pack(np.diff(a[x:y], prepend=0), b[x:y], n[x:y]) for x, y in zip(at, at[1:])]
+            m = len(data)
+            out.append(_rows(_PARTS, block=[block] * (m + 1), skip=[skip] + [None] * m, codes=[pack(new)] + [None] * m, bucket=[None, *bucket[at[:-1]].tolist()], first=[None, *(x + 1 for x in at[:-1])], data=[None, *data]))
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_rows(_PARTS, block=[])])
+
+    return cut(sequences.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(work, _PARTS), "pairs")
+
+
+def _counted(parts: DataFrame) -> DataFrame:
+    """lang and n, the occurrences of all words of a row's packed counts."""
 
-    return cut(sequences.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(work, _PAIRS), "pairs")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([int(unpack(x, 1)[0].sum()) for x in b.column("data").to_pylist()], pa.int64())], names=["lang", "n"])
+
+    return parts.select("lang", "data").mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def hierarchy(docs: DataFrame, o: CollocationOptions) -> tuple[DataFrame, dict[int, DataFrame]]:
     """Occurrences of words by lang, and for each k the named k-grams: id, f, and lang and word (k = 1) or left and right."""
     rows = blocks(docs, o)
-    per_lang = rows.filter("j is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+    per_lang = cut(_counted(rows.filter("bucket is not null")), "langs")
+    buckets = _buckets(per_lang.agg(F.sum("n")).first()[0], o.bucket_words)
     levels = {}
     for k in range(1, o.longest + 1):
-        keys = ["lang", "word"] if k == 1 else ["left", "right"]
-        parts = rows.filter("j is not null").drop("codes", "skip")
-        if k == o.longest:  # nobody asks for these ids in the blocks
-            levels[k] = cut(parts.groupBy(*keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= o.least), "named")
-            break
-        names = named(parts, keys, o.least)
-        levels[k] = names.filter("first").select("id", "f", *keys)
-        rows = pairs(rows.filter("codes is not null").select("block", "codes", "skip"), names.select("block", "j", "id"), k + 1)
+        parts = rows.filter("bucket is not null").drop("codes", "skip")
+        names = name_words(parts, o.least) if k == 1 else name_pairs(parts.drop("lang", "words"), o.least, k == o.longest)
+        levels[k] = names.filter("id is not null").select("id", "f", *(("lang", "word") if k == 1 else ("left", "right")))
+        if k < o.longest:
+            rows = pairs(rows.filter("codes is not null").select("block", "codes", "skip"), names.filter("block is not null").select("block", "first", "data"), k + 1, buckets)
     return per_lang, levels
 
 
