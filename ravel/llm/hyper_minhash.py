@@ -6,8 +6,8 @@ Plan
    bucket at any set size. Documents with one digest have one set; from here on each digest counts once.
 2. Banding: `rows` registers make a band's key. An empty register borrows from the first filled one in an order of its own, so that two sets still agree there with
    the probability of their similarity. At 0.85 two sets meet in none of 32 bands of 4 with probability 6e-11.
-3. Stars first: in each bucket of a band the member of least digest is the leader, and everyone is compared with leaders only, each pair once whatever the number
-   of common bands. A leader's members are dealt over shares of `block` rows. What is confirmed makes components; a large group of near
+3. Stars first: in each bucket of a band the member of least digest is the leader, and everyone is compared with the `leaders` least of its leaders only, each pair
+   once whatever the number of common bands. A leader's members are dealt over shares of `block` rows. What is confirmed makes components; a large group of near
    copies, whatever its size, comes down to a few of them at a cost in proportion to its rows.
 4. The rest exactly: buckets whose members lie in two components or more are looked at again. Their largest component and the others are cut into blocks; blocks of
    others meet each other and those of the largest, never those of one component with itself. In a task, pairs of one component are passed over, and each confirmed
@@ -15,7 +15,7 @@ Plan
 5. Before confirmation a pair's registers give an estimate: the share of equal ones among those filled in either, less the expected chance collisions of
    compressed registers of such loads. It is dropped if a pair at the threshold would fall so low with a probability under `tolerance`.
    Confirmation counts the common shingles of both full sets, as 64-bit hashes (as many of a set collide with probability n * n / 4e19).
-6. Components of all links by rounds over written tables; the least doc_id of a component is its name.
+6. Components of all links (graph.py); the least doc_id of a component is its name.
 
 Defined cases: words are [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased; a text of one or two words is one shingle; null texts and those without words have an empty set
 and are linked with nothing, copies neither; repeated rows have one digest; a null doc_id is never the least unless there is no other, kept is then true as both are
@@ -32,13 +32,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravel.llm import textcore as X
-from ravel.llm.common import annotate, bits_of, cut, groups, text_and_id
-from ravel.llm.near_join import components, digests
+from ravel.llm.common import annotate, bits_of, cut, groups, marked_by, text_and_id
+from ravel.llm.graph import components
+from ravel.llm.near_join import digests
 
 U = np.uint64
 
@@ -52,6 +53,7 @@ class HyperOptions:
     rows: int = 4
     mantissa: int = 10
     tolerance: float = 1e-9
+    leaders: int = 3
     block: int = 256
     #: A set of more shingles counts as several in a block.
     heavy: int = 4096
@@ -249,9 +251,8 @@ def star_links(pairs: DataFrame, sets: DataFrame, o: HyperOptions) -> DataFrame:
     """Confirmed links of pairs (a1, a2: a leader's digest; d1, d2: a member's; m: the size of their bucket). A leader's members are dealt over shares, and a
     task holds the leader and a batch of members at a time."""
     pairs = cut(pairs.withColumn("share", F.pmod(F.xxhash64("d1", "d2"), F.ceil(F.col("m") / o.block)).cast("int")).drop("m"), "stars")
-    leaders = pairs.select("a1", "a2", "share").distinct().join(sets.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), "node", "reg", "sh"), ["a1", "a2"])
-    members = pairs.join(sets, ["d1", "d2"]).drop("d1", "d2")
-    rows = leaders.withColumn("side", F.lit(0)).unionByName(members.withColumn("side", F.lit(1)))
+    leaders = pairs.select("a1", "a2", F.col("a1").alias("d1"), F.col("a2").alias("d2"), "share", F.lit(0).alias("side")).distinct()
+    rows = pairs.withColumn("side", F.lit(1)).select(*leaders.columns).unionByName(leaders).join(sets, ["d1", "d2"]).drop("d1", "d2")
     rows = rows.repartition("a1", "a2", "share").sortWithinPartitions("a1", "a2", "share", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,14 +276,16 @@ def star_links(pairs: DataFrame, sets: DataFrame, o: HyperOptions) -> DataFrame:
 
 
 def rest_links(members: DataFrame, sets: DataFrame, known: DataFrame, o: HyperOptions) -> DataFrame:
-    """Links between components (known: node, root) that share a bucket. members: key, node, n (the set's size)."""
+    """Links between components (known: node, root) that share a bucket. members: key, d1, node, n (the set's size)."""
     rows = members.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = cut(rows.select("key", "d1", "node", "n", "root"), "labelled")
     # the weight of a set in a block grows with its size, so that a block's sets fit in a task
     weight = F.greatest(F.lit(1.0), F.col("n") / o.heavy)
     parts = rows.groupBy("key", "root").agg(F.sum(weight).alias("w"))
     mixed = parts.groupBy("key").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("w", "root")).alias("most")).filter("parts > 1")
     mixed = cut(mixed.select("key", F.col("most.root").alias("most"), F.ceil(F.col("most.w") / o.block).cast("int").alias("big"), F.ceil((F.col("all") - F.col("most.w")) / o.block).cast("int").alias("small")), "mixed")
-    rows = rows.join(mixed, "key")
+    rows = cut(rows.join(mixed, "key"), "mixed")
+    sets = sets.filter(marked_by(bits_of(rows.select("d1").distinct(), "d1"), F.col("d1"), sets.sparkSession))
     large = F.col("root") == F.col("most")
     own = F.when(large, F.pmod(F.xxhash64("node"), "big") + F.col("small")).otherwise(F.pmod(F.xxhash64("node"), "small")).cast("int")
     # blocks 0 .. small-1 are the others, small .. small+big-1 the largest component
@@ -323,13 +326,19 @@ def near_duplicates(docs: DataFrame, o: HyperOptions = HyperOptions()) -> DataFr
     reps = table.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = cut(reps.select("d1", "d2", _node("first_doc", "d1", "d2").alias("node"), "first_doc", "n", "bands"), "digests")
     bands = reps.select("d1", "d2", "node", "n", F.explode("bands").alias("key"))
+    # most keys stand alone and go no further than this count
+    again = bits_of(cut(bands.groupBy("key").count().filter("count > 1").select("key"), "keys"), "key")
+    bands = cut(bands.filter(marked_by(again, F.col("key"), docs.sparkSession)), "bands")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("d1", "d2")).alias("x1"), F.bit_xor(F.xxhash64("d2", "d1", F.lit(1))).alias("x2"), F.min(F.struct("d1", "d2")).alias("leader")).filter("m > 1")
     # buckets with the same members are one
     shared = shared.groupBy("m", "x1", "x2").agg(F.min(F.struct("key", "leader")).alias("b")).select("b.key", "m", F.col("b.leader.d1").alias("a1"), F.col("b.leader.d2").alias("a2"))
     members = cut(bands.join(shared, "key"), "buckets")
     sets = _sets(docs, cut(members.select("d1", "d2", "node").distinct(), "wanted"), o)
-    links = star_links(members.filter("d1 <> a1 OR d2 <> a2").groupBy("a1", "a2", "d1", "d2").agg(F.max("m").alias("m")), sets, o)
-    more = rest_links(members.select("key", "node", "n"), sets, components(links), o)
+    pairs = members.filter("d1 <> a1 OR d2 <> a2").groupBy("a1", "a2", "d1", "d2").agg(F.max("m").alias("m"))
+    # a digest has as many leaders as bands at most
+    pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("d1", "d2").orderBy("a1", "a2"))).filter(F.col("k") <= o.leaders).drop("k")
+    links = star_links(pairs, sets, o)
+    more = rest_links(members.select("key", "d1", "node", "n"), sets, components(links), o)
     known = components(links.union(more))
     named = reps.join(known, "node", "left").select("d1", "d2", F.coalesce(F.expr("try_cast(split_part(root, ':', 2) as long)"), "first_doc").alias("component_id"))
     rows = table.join(cut(named, "components"), ["d1", "d2"], "left")

@@ -12,6 +12,7 @@ import pytest
 from ravel.llm import collocations as C
 from ravel.llm import hyper_minhash as H
 from ravel.llm import spelling as S
+from ravel.llm.graph import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -212,7 +213,25 @@ def near_rows():
     return rows + [(900, None, "en"), (901, "", None), (902, " \n", "en"), rows[0], rows[1], (None, rows[0][1], "en"), (None, "only null here", "en"), (None, "only null here", "en"), (903, "y", "en"), (903, "z", "en")]
 
 
-@pytest.mark.parametrize("o", [H.HyperOptions(), H.HyperOptions(block=3, heavy=10)])
+@pytest.mark.parametrize("most", [1, 5, 40, 1 << 20])
+def test_components_of_links(spark, most):
+    r = random.Random(most)
+    links = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("hub", f"h{i:03}") for i in range(60)] + [(f"h{i:03}", f"n{i:03}") for i in (7, 9)]
+    links += [("x", "x"), ("a", "b"), ("b", "a"), ("a", "b"), ("q", "p")]
+    r.shuffle(links)
+    group = {x: x for e in links for x in e}
+    for u, v in links:
+        a, b = sorted((group[u], group[v]))
+        group = {k: a if g == b else g for k, g in group.items()}
+    least = {g: min(k for k, x in group.items() if x == g) for g in group.values()}
+    got = components(spark.createDataFrame(links, "u string, v string").repartition(3), most).collect()
+    got = {r.node: r.root for r in got}
+    want = {k: least[g] for k, g in group.items()}
+    # a node that is only linked with itself may be left out
+    assert {k: v for k, v in want.items() if k != "x"} == {k: v for k, v in got.items() if k != "x"}
+
+
+@pytest.mark.parametrize("o", [H.HyperOptions(), H.HyperOptions(block=3, heavy=10), H.HyperOptions(leaders=1)])
 def test_components_equal_plain_version(spark, o):
     rows = near_rows()
     got = H.near_duplicates(documents(spark, rows), o).collect()
