@@ -8,7 +8,8 @@ Plan
    the probability of their similarity. At 0.85 two sets meet in none of 32 bands of 4 with probability 6e-11.
 3. Stars first: in each bucket of a band the member of least digest is the leader, and everyone is compared with the `leaders` least of its leaders only, each pair
    once whatever the number of common bands. A leader's members are dealt over shares of `block` rows. What is confirmed makes components; a large group of near
-   copies, whatever its size, comes down to a few of them at a cost in proportion to its rows.
+   copies, whatever its size, comes down to a few of them at a cost in proportion to its rows. In buckets of more than `block` members that still lie in several
+   components, whoever is not in the largest is compared with `leaders` members of it, chosen by hash, `rounds` times.
 4. The rest exactly: buckets whose members lie in two components or more are looked at again. Their largest component and the others are cut into blocks; blocks of
    others meet each other and those of the largest, never those of one component with itself. In a task, pairs of one component are passed over, and each confirmed
    link joins two on the spot, so that few pairs of a dense group are confirmed one by one. Pairs are never rows: a task yields a tree of links.
@@ -54,7 +55,8 @@ class HyperOptions:
     mantissa: int = 10
     tolerance: float = 1e-9
     leaders: int = 3
-    block: int = 256
+    rounds: int = 2
+    block: int = 1024
     #: A set of more shingles counts as several in a block.
     heavy: int = 4096
 
@@ -275,15 +277,37 @@ def star_links(pairs: DataFrame, sets: DataFrame, o: HyperOptions) -> DataFrame:
     return cut(rows.mapInArrow(run, _LINKS), "links")
 
 
+def _labelled(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members with root, the least node of what is known of their component, as a written table."""
+    return cut(members.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+
+
+def _mixed(rows: DataFrame, weight: Column) -> DataFrame:
+    """key, all (the weight of a bucket), most (its largest component) and w (the weight of that) of buckets with several components."""
+    parts = rows.groupBy("key", "root").agg(F.sum(weight).alias("w"))
+    mixed = parts.groupBy("key").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("w", "root")).alias("most")).filter("parts > 1")
+    return mixed.select("key", "all", F.col("most.root").alias("most"), F.col("most.w").alias("w"))
+
+
+def second_pairs(members: DataFrame, known: DataFrame, o: HyperOptions, turn: int) -> DataFrame:
+    """Pairs for star_links: in large buckets with several components the members outside the largest, and some members of that by a hash of the turn."""
+    rows = _labelled(members, known)
+    large = cut(_mixed(rows, F.lit(1)).filter(F.col("all") > o.block).select("key", "most", F.col("all").cast("long").alias("m")), "mixed")
+    rows = rows.join(large, "key")
+    pick = Window.partitionBy("key").orderBy(F.xxhash64("d1", "key", F.lit(turn)), "d1", "d2")
+    leaders = rows.filter("root = most").withColumn("k", F.row_number().over(pick)).filter(F.col("k") <= o.leaders).select("key", F.col("d1").alias("a1"), F.col("d2").alias("a2"))
+    pairs = rows.filter("root <> most").join(leaders, "key").groupBy("a1", "a2", "d1", "d2").agg(F.max("m").alias("m"))
+    # a digest lies in as many buckets as bands at most
+    mine = Window.partitionBy("d1", "d2").orderBy(F.xxhash64("a1", F.lit(turn)), "a1", "a2")
+    return pairs.withColumn("k", F.row_number().over(mine)).filter(F.col("k") <= 2 * o.leaders).drop("k")
+
+
 def rest_links(members: DataFrame, sets: DataFrame, known: DataFrame, o: HyperOptions) -> DataFrame:
     """Links between components (known: node, root) that share a bucket. members: key, d1, node, n (the set's size)."""
-    rows = members.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = cut(rows.select("key", "d1", "node", "n", "root"), "labelled")
+    rows = _labelled(members, known)
     # the weight of a set in a block grows with its size, so that a block's sets fit in a task
-    weight = F.greatest(F.lit(1.0), F.col("n") / o.heavy)
-    parts = rows.groupBy("key", "root").agg(F.sum(weight).alias("w"))
-    mixed = parts.groupBy("key").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("w", "root")).alias("most")).filter("parts > 1")
-    mixed = cut(mixed.select("key", F.col("most.root").alias("most"), F.ceil(F.col("most.w") / o.block).cast("int").alias("big"), F.ceil((F.col("all") - F.col("most.w")) / o.block).cast("int").alias("small")), "mixed")
+    mixed = _mixed(rows, F.greatest(F.lit(1.0), F.col("n") / o.heavy))
+    mixed = cut(mixed.select("key", "most", F.ceil(F.col("w") / o.block).cast("int").alias("big"), F.ceil((F.col("all") - F.col("w")) / o.block).cast("int").alias("small")), "mixed")
     rows = cut(rows.join(mixed, "key"), "mixed")
     sets = sets.filter(marked_by(bits_of(rows.select("d1").distinct(), "d1"), F.col("d1"), sets.sparkSession))
     large = F.col("root") == F.col("most")
@@ -338,8 +362,16 @@ def near_duplicates(docs: DataFrame, o: HyperOptions = HyperOptions()) -> DataFr
     # a digest has as many leaders as bands at most
     pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("d1", "d2").orderBy("a1", "a2"))).filter(F.col("k") <= o.leaders).drop("k")
     links = star_links(pairs, sets, o)
-    more = rest_links(members.select("key", "d1", "node", "n"), sets, components(links), o)
-    known = components(links.union(more))
+    known = components(links)
+    for turn in range(o.rounds):
+        pairs = cut(second_pairs(members.select("key", "d1", "d2", "node"), known, o, turn), "pairs")
+        if pairs.isEmpty():
+            break
+        near = sets.filter(marked_by(bits_of(pairs.select("d1").union(pairs.select("a1")).distinct(), "d1"), F.col("d1"), docs.sparkSession))
+        links = links.union(star_links(pairs, near, o))
+        known = components(links)
+    links = links.union(rest_links(members.select("key", "d1", "node", "n"), sets, known, o))
+    known = components(links)
     named = reps.join(known, "node", "left").select("d1", "d2", F.coalesce(F.expr("try_cast(split_part(root, ':', 2) as long)"), "first_doc").alias("component_id"))
     rows = table.join(cut(named, "components"), ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
