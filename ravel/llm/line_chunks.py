@@ -8,7 +8,7 @@ Two rules say what goes; both keep the first place (by doc_id, then the text's h
 1. chunks of `min_lines` lines or more that have a word;
 2. passages: a shared run of lines may begin or end inside a chunk, or lie on one line. Each line with words, up to the next line with words, is a
    pair; neighbouring repeated pairs make a run, which goes if it has `run_words` words or more. A repeated line of `passage_words` words or more goes by itself.
-   (With `run_words` 0, as in the pipeline, every shared run of two lines or more goes, so that rule 2 takes what rule 1 does and more.)
+   So two neighbouring common lines stay, unless they are a chunk or belong to a passage.
 Each line that goes has an equal one at an earlier place; the first of all equal lines always stays.
 
 Plan: the 64-bit hashes of all chunks, pairs and long lines are counted (partial sums first); those found twice go into a bit filter
@@ -264,7 +264,7 @@ def line_dedup(docs: DataFrame, options: ChunkOptions = ChunkOptions(), name: st
     return annotate(met, name, FIELDS, work, drop_text=True).drop(cuts).unionByName(rest)
 
 
-def dedup_text(docs: DataFrame, options: ChunkOptions = ChunkOptions(run_words=0)) -> DataFrame:
+def dedup_text(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
     """docs with repeated chunks and runs of lines taken out of the texts; n_chars, where there is one, follows."""
     name = fresh(docs.columns, "line_chunks")
     made = line_dedup(docs, options, name)

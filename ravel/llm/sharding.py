@@ -1,6 +1,7 @@
 """Sharding: size-tiered compaction of immutable shards under a versioned manifest, with DataFrame operations only.
 
-A store is a folder: data/<run>/ holds Parquet files that are never changed, manifests/v<number>.json lists the files of a version. append() writes
+A store is a folder: data/<run>/ holds Parquet files that are never changed, manifests/v<number>.json says what a version adds to and takes from the one before,
+and every `snapshot`th lists all files, so that a commit writes what has changed and a reader opens `snapshot` manifests at most. append() writes
 arrivals as small shards, as many as the input has tasks, without a shuffle. compact() sorts shards below the target into tiers by size (each tier
 `ratio` times the one below), and merges the run of every tier that has `fan_in` shards or more into files of about the target size; a
 merge reads its files and writes them through coalesce(), so no row is shuffled or seen by Python. Each step ends in one commit: the manifest
@@ -9,8 +10,8 @@ version or the one before. Files of lost tasks and lost races are in no manifest
 
 The driver holds a line per shard (path, bytes, rows), nothing per row.
 
-Defined cases: an empty table commits a version without new shards; nulls, repeated rows and extra columns are kept as they are; the schema of
-the first append holds, and later ones must have it.
+Defined cases: an empty table commits a version without new shards; nulls, repeated rows, extra columns of any name and very long texts (a row is never cut) are kept as they
+are; shards of one size and one path order are merged in the order of their paths; the schema of the first append holds, and later ones must have it.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ class StoreOptions:
     ratio: int = 4
     fan_in: int = 4
     compression: str = "zstd"
+    snapshot: int = 16
 
 
 class Conflict(RuntimeError):
@@ -58,12 +60,7 @@ class ShardStore:
         names = (x.getPath().getName() for x in self.fs.listStatus(at))
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict:
-        """The given version, or the newest; version 0 is the empty store."""
-        if version is None:
-            version = max(self.versions(), default=0)
-        if not version:
-            return {"version": 0, "schema": None, "shards": []}
+    def _load(self, version: int) -> dict:
         stream = self.fs.open(self._path(f"{self.root}/manifests/v{version:012d}.json"))
         try:
             text = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -71,15 +68,36 @@ class ShardStore:
             stream.close()
         return json.loads(text)
 
+    def manifest(self, version: int | None = None) -> dict:
+        """The given version, or the newest; version 0 is the empty store."""
+        if version is None:
+            version = max(self.versions(), default=0)
+        shards: dict[str, dict] = {}
+        later = []
+        for v in range(version, 0, -1):
+            m = self._load(v)
+            later.append(m)
+            if "shards" in m:
+                break
+        for m in reversed(later):
+            shards.update((s["path"], s) for s in m.get("shards", m["add"]))
+            for path in m["remove"]:
+                shards.pop(path, None)
+        return {"version": version, "schema": later[0]["schema"] if later else None, "shards": [shards[p] for p in sorted(shards)]}
+
     def commit(self, base: dict, shards: list[dict], schema: str | None) -> dict:
         """Make the next version after base; Conflict if there is one."""
         new = {"version": base["version"] + 1, "schema": schema, "shards": sorted(shards, key=lambda s: s["path"])}
+        had, has = ({s["path"] for s in x["shards"]} for x in (base, new))
+        line = {"version": new["version"], "schema": schema, "add": [s for s in new["shards"] if s["path"] not in had], "remove": sorted(had - has)}
+        if new["version"] % self.o.snapshot == 0:
+            line["shards"] = new["shards"]
         side = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
         final = self._path(f"{self.root}/manifests/v{new['version']:012d}.json")
         self.fs.mkdirs(side.getParent())
         out = self.fs.create(side, False)
         try:
-            out.write(json.dumps(new).encode())
+            out.write(json.dumps(line).encode())
         finally:
             out.close()
         none = self.spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
@@ -164,4 +182,5 @@ class ShardStore:
         return n
 
 
-ORACLE = "SELECT doc_id, md5(text) AS text_md5, CAST(strlen(text) AS BIGINT) AS n_bytes, lang, source FROM documents"
+#: A store that merged nothing has merged = false.
+ORACLE = "SELECT doc_id, md5(text) AS text_md5, CAST(strlen(text) AS BIGINT) AS n_bytes, lang, source, true AS merged, count(*) OVER () AS manifest_rows FROM documents"

@@ -50,3 +50,24 @@ def test_tiers_group_like_sizes(spark, tmp_path):
     sizes = [900, 1100, 3900, 4100, 9000, 70_000, 600_000]
     assert [s.tier(x) for x in sizes] == [0, 0, 0, 1, 1, 3, 4]
     assert [[x["bytes"] for x in r] for r in s.runs([{"path": str(x), "bytes": x} for x in sizes])] == [[900, 1100, 3900], [4100, 9000]]
+
+
+def test_deltas_and_snapshots_give_the_same_versions(spark, odd, tmp_path):
+    s = ShardStore(spark, str(tmp_path / "s"), StoreOptions(snapshot=3, fan_in=2))
+    want = {0: []}
+    for k in range(5):
+        m = s.append(odd.filter(F.coalesce("doc_id", F.lit(0)) % 5 == k))
+        want[m["version"]] = m["shards"]
+    m = s.compact()
+    want[m["version"]] = m["shards"]
+    assert [s.manifest(v)["shards"] for v in sorted(want)] == [want[v] for v in sorted(want)]
+    assert ["shards" in s._load(v) for v in (1, 2, 3)] == [False, False, True]
+    assert len(s._load(m["version"])["remove"]) > 0 and rows(s.read()) == rows(odd)
+
+
+def test_the_query_shows_whether_anything_was_merged(spark, sf_dir, monkeypatch):
+    from ravel.llm import queries as Q
+
+    assert Q.op10_sharding(spark, sf_dir).select("merged").distinct().collect() == [(True,)]
+    monkeypatch.setattr(ShardStore, "compact", lambda self: self.manifest())
+    assert Q.op10_sharding(spark, sf_dir).select("merged").distinct().collect() == [(False,)]
