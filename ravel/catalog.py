@@ -12,6 +12,8 @@ from ravel import adapters as D
 from ravel.functions import dna
 from ravel.functions import vcf_format as V
 from ravel.operators import align as A
+from ravel.operators import extension as X
+from ravel.operators import seeding as SD
 from ravel.operators import cluster as K
 from ravel.operators import evaluate as E
 from ravel.operators import genotype as G
@@ -139,6 +141,27 @@ def merged_segments(spark, d):
     return A.merge_segments(chain_top_n(spark, d))
 
 
+def _plain_texts(df, name):
+    """Texts with one sign for each one beyond ASCII, so that letters are bytes."""
+    return df.withColumn(name, F.regexp_replace(name, "[^\\x00-\\x7F]", "~"))
+
+
+def seed_walk(spark, d):
+    reference = D.bench_reference(D.table(spark, d, "benchmark"))
+    reads = D.doc_reads(D.table(spark, d, "documents")).withColumn("strand", F.lit("+"))
+    genome = float(reference.agg(F.sum(F.length("seq"))).first()[0] or 1)
+    out = SD.seed_walk(reads, A.frequency_prune(_text_index(spark, d), 5), reference, genome, clean=False)
+    return out.select("read_id", "chr", "seed", "rd_l", "rd_r", "rf_l", "rf_r")
+
+
+def bounded_extension(spark, d):
+    reference = _plain_texts(D.bench_reference(D.table(spark, d, "benchmark")), "seq")
+    reads = _plain_texts(D.doc_reads(D.table(spark, d, "documents")), "seq")
+    index = A.frequency_prune(A.kmer_index(reference, 22, clean=False), 5)
+    anchors = A.diagonal_merge(A.seed_join(A.seeds(reads, AlignOptions(), clean=False), index), 22)
+    return X.bounded_extension(anchors, reads, reference, ["read_id"], 2, 40, bases=False)
+
+
 def strand_select(spark, d):
     o = D.table(spark, d, "orders")
     rows = o.groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("read_id"), F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise("+").alias("strand")).agg(F.max(F.col("o_orderkey") % 400).alias("score"))
@@ -249,6 +272,18 @@ def capped_reference_reads(spark, d):
     return rows.filter(cap).groupBy("call_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sampled_coverage(spark, d):
+    e = D.table(spark, d, "events")
+    wins = D.event_windows(e, 1).withColumn("cap", G.ref_cap(F.col("call_id").cast("bigint") % 20 + 1))
+    return G.sampled_reads(D.event_spans(e), wins).groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("read_id").alias("first_read"))
+
+
+def linear_coverage(spark, d):
+    e = D.table(spark, d, "events")
+    wins = D.event_windows(e).withColumn("cap", G.ref_cap(F.col("call_id").cast("bigint") % 20 + 1))
+    return G.first_reads(D.event_spans(e), wins).drop("site")
+
+
 def _genotyped(spark, d, o=O):
     return P.call(_segments(spark, d), o)
 
@@ -378,10 +413,10 @@ def sv_calls_end_to_end(spark, d):
 def queries() -> dict[str, Query]:
     own = [
         scan_svseg_roundtrip, write_svseg, usable_segments, signature_partitions, contig_offsets, allele_sequence, inserted_sequence,
-        read_eligibility, kmer_index, kmer_frequency_prune, seed_sampling, seed_join, mem_diagonal_merge, anchor_score, chain_top_n, merged_segments, strand_select, overlap_suppress, revcomp,
+        read_eligibility, kmer_index, kmer_frequency_prune, seed_sampling, seed_join, seed_walk, bounded_extension, mem_diagonal_merge, anchor_score, chain_top_n, merged_segments, strand_select, overlap_suppress, revcomp,
         orient_pairs, ins_pair, del_pair, tra_pair, tra_ins_dup, merge_ins_in_read, merge_del_in_read,
         best_per_read, length_alleles, allele_summary, ins_representative, cluster_inv, cluster_dup_trimmed, cluster_tra_top2, bnd_alt,
-        spanning_reads, capped_reference_reads, reference_reads, both_ends_spanning, read_span_fold, read_span_unstranded, ref_cap, rescale_counts, genotype_likelihood, missing_genotype, filter_label,
+        spanning_reads, capped_reference_reads, sampled_coverage, linear_coverage, reference_reads, both_ends_spanning, read_span_fold, read_span_unstranded, ref_cap, rescale_counts, genotype_likelihood, missing_genotype, filter_label,
         vcf_records, vcf_sorted, vcf_header, info_parse, truth_explode, truth_genotypes, truth_match_ins, truth_match_bnd, truth_match_overlap, precision_recall, deletion_calls, sv_calls_end_to_end,
     ]
     named: dict[str, Query] = {f.__name__: f for f in own}

@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravel.functions.dna import clean_runs, kmers_of, reverse_complement
+from ravel.functions.dna import clean_runs, kmer_code, kmers_of, reverse_complement
+from ravel.operators.extension import tiles
 from ravel.operators.islands import islands
+from ravel.operators.seeding import seed_walk
 from ravel.operators.streams import by_key
 from ravel.schema import AlignOptions
 
@@ -98,44 +100,11 @@ def diagonal_merge(hits: DataFrame, k: int, reach: int = 0) -> DataFrame:
     return out.withColumn("len", F.col("rd_r") - F.col("rd_l") + 1).drop("diag", "island")
 
 
-def tiles(reference: DataFrame, core: int = 8192, margin: int = 6000) -> DataFrame:
-    """chr, tile, at, seq: overlapping pieces of reference (chr, seq); a position p (from 1) is in the core of tile (p - 1) div core, and at is
-    the number of bases before the piece."""
-    n = F.length("seq")
-    t = reference.select("chr", "seq", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / core).cast("int"))).alias("tile"))
-    at = F.greatest(F.lit(0), F.col("tile") * core - margin)
-    end = (F.col("tile") + 1) * core + margin
-    return t.select("chr", "tile", at.cast("bigint").alias("at"), F.substring("seq", (at + 1).cast("int"), (end - at).cast("int")).alias("seq"))
-
-
 def _with_tile(rows: DataFrame, pieces: DataFrame, position: str, name: str, core: int) -> DataFrame:
     t = pieces.select("chr", F.col("tile").alias("_t"), F.col("at").alias(f"{name}_at"), F.col("seq").alias(f"{name}_seq"))
     return rows.withColumn("_t", F.floor((F.col(position) - 1) / core).cast("int")).join(t, ["chr", "_t"]).drop("_t")
 
 
-def extend_exact(anchors: DataFrame, reads: DataFrame, pieces: DataFrame, o: AlignOptions = AlignOptions(), core: int = 8192) -> DataFrame:
-    """Anchors grown to maximal exact matches, at most extend_mx letters each way. reads: read_id, strand, seq."""
-    keys = ["read_id", "strand"]
-    rows = _with_tile(anchors.join(reads.select(*keys, "seq"), keys), pieces, "rf_l", "ref", core)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i, (seq, ref, at, a, z, c) in enumerate(zip(b["seq"], b["ref_seq"], b["ref_at"], b["rd_l"], b["rd_r"], b["rf_l"])):
-                p, q = a - 1, c - 1 - at
-                left = 0
-                while left < o.extend_mx and p - left > 0 and q - left > 0 and seq[p - left - 1] == ref[q - left - 1]:
-                    left += 1
-                n = z - a + 1
-                right = 0
-                while right < o.extend_mx and p + n + right < len(seq) and q + n + right < len(ref) and seq[p + n + right] == ref[q + n + right]:
-                    right += 1
-                b.loc[b.index[i], ["rd_l", "rd_r", "rf_l", "rf_r"]] = [a - left, z + right, c - left, c - left + n + left + right - 1]
-            yield b[["read_id", "strand", "chr", "rd_l", "rd_r", "rf_l", "rf_r"]]
-
-    out = rows.mapInPandas(run, "read_id string, strand string, chr string, rd_l bigint, rd_r bigint, rf_l bigint, rf_r bigint")
-    return out.distinct().withColumn("len", F.col("rd_r") - F.col("rd_l") + 1)
-
-
 def anchor_score(length: Column, errors: Column, genome: float, o: AlignOptions = AlignOptions()) -> Column:
     """Log-odds (times 10) that a match of that length with that many errors is no chance hit in a genome of that size."""
     hit = sum(o.errors())
@@ -341,12 +310,10 @@ def align(reads: DataFrame, reference: DataFrame, o: AlignOptions = AlignOptions
     both = reads.withColumn("strand", F.lit("+")).unionByName(reads.withColumn("seq", reverse_complement(F.col("seq"))).withColumn("strand", F.lit("-")))
     reference = reference.select("chr", F.upper("seq").alias("seq"))
     genome = float(reference.agg(F.sum(F.length("seq"))).first()[0] or 1)
-    pieces = tiles(reference)
-    index = frequency_prune(kmer_index(tiles(reference, 1024, o.k).select("chr", "at", "seq"), o.k), o.max_copies)
-    oriented = both.select(F.concat_ws("\t", "read_id", "strand").alias("read_id"), "seq")
-    hits = seed_join(seeds(oriented, o), index)
-    anchors = diagonal_merge(hits, o.k).withColumn("strand", F.substring_index("read_id", "\t", -1)).withColumn("read_id", F.substring_index("read_id", "\t", 1))
-    anchors = good_anchors(extend_exact(anchors, both, pieces, o), genome, o)
+    pieces = tiles(reference, 8192, 6000)
+    index = kmer_index(tiles(reference, 1024, o.k).select("chr", "at", "seq"), o.k)
+    index = frequency_prune(index.withColumn("kmer", kmer_code(F.col("kmer"))), o.max_copies)
+    anchors = seed_walk(both, index, reference, genome, o)
     chains = chain_top_n(anchors, o)
     best = strand_select(chains.groupBy("read_id", "strand").agg(F.max("score").alias("score")), o).select("read_id", "strand", "primary")
     segments = merge_segments(extend_blocks(merge_segments(chains, o), both, pieces, o), o)

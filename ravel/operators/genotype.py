@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravel.operators.rangejoin import containing
+from ravel.operators.ranks import ranks
+from ravel.plans.tables import materialise
 from ravel.schema import CallOptions
 
 _NEAR = 50_000
@@ -74,6 +76,58 @@ def spanning_reads(spans: DataFrame, wins: DataFrame, width: int = 10_000) -> Da
     return containing(spans, wins, "chr", width).select("call_id", "site", "read_id").distinct()
 
 
+def ranked_spans(spans: DataFrame) -> DataFrame:
+    """spans with rank (from 0) within their chr by (start, end, read_id), and of, how many the chr has."""
+    out = ranks(spans.select("chr", "start", "end", "read_id"), ["chr"], ["start", "end", "read_id"], "rank")
+    return out.join(out.groupBy("chr").agg(F.count(F.lit(1)).alias("of")), "chr")
+
+
+def _probes(of: Column, upto: Column) -> Column:
+    """The ranks that a search by halves looks at in `of` sorted rows if it never finds what it is looking for: right of a rank below `upto`, left of others."""
+    state = F.struct(F.lit(0).cast("bigint").alias("low"), (of - 1).cast("bigint").alias("high"), F.array().cast("array<bigint>").alias("seen"))
+
+    def step(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["low"] + a["high"], 1)
+        open_ = a["low"] <= a["high"]
+        left = mid >= upto
+        return F.struct(F.when(open_ & ~left, mid + 1).otherwise(a["low"]).alias("low"), F.when(open_ & left, mid - 1).otherwise(a["high"]).alias("high"), F.when(open_, F.concat(a["seen"], F.array(mid))).otherwise(a["seen"]).alias("seen"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(of + 1)).cast("int"))
+    return F.aggregate(steps, state, step, lambda a: a["seen"])
+
+
+def sampled_reads(spans: DataFrame, wins: DataFrame) -> DataFrame:
+    """call_id, site, read_id: reads that span a window, of a sample by position. wins: call_id, site, chr, win_start, win_end, cap.
+
+    A search by halves over the contig's spans in order of start finds one that overlaps the window; of the cap / 2 spans before it and the cap / 2
+    from it on (the contig's very last is left out), those that begin by the window's end are looked at. All that the search can look at follows from how many spans
+    begin by the window's end, so its ranks are joined at once; so are those of the sample. No contig is one task, whatever its depth."""
+    table = materialise(ranked_spans(spans), "ranked")
+    keys = ["call_id", "site"]
+    # how many spans begin by each window's end: the rank of the window among the starts, without the windows before it
+    both = table.select("chr", F.col("start").alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("int").alias("site"))
+    both = both.unionByName(wins.select("chr", F.col("win_end").alias("pos"), F.lit(1).alias("kind"), F.col("call_id").cast("string").alias("call_id"), F.col("site").cast("int").alias("site")))
+    upto = ranks(both, ["chr"], ["pos", "kind", "call_id", "site"], "before", F.col("kind") == 0).filter("kind = 1").select("call_id", "site", "chr", "before")
+    w = wins.select(F.col("call_id").cast("string").alias("call_id"), F.col("site").cast("int").alias("site"), "chr", "win_start", "win_end", "cap").join(upto, [*keys, "chr"])
+    w = materialise(w.join(table.groupBy("chr").agg(F.first("of").alias("of")), "chr"), "windows")
+    looks = w.select(*keys, "chr", "win_start", "win_end", F.posexplode(_probes(F.col("of"), F.col("before"))).alias("k", "rank"))
+    hit = looks.join(table, ["chr", "rank"]).filter((F.col("start") <= F.col("win_end")) & (F.col("end") >= F.col("win_start")))
+    mid = hit.groupBy(*keys).agg(F.min_by("rank", "k").alias("mid"))
+    half = F.expr("cap div 2")
+    lo = F.greatest(F.col("mid") - half, F.lit(0))
+    hi = F.least(F.when(F.col("mid") + half >= F.col("of"), F.col("of") - 1).otherwise(F.col("mid") + half), F.col("before"))
+    at = w.join(mid, keys).withColumn("lo", lo).withColumn("hi", hi).filter("lo < hi").select(*keys, "chr", "win_start", "win_end", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("rank"))
+    got = at.join(table, ["chr", "rank"]).filter((F.col("start") < F.col("win_start")) & (F.col("end") > F.col("win_end")))
+    return got.select(*keys, "read_id").distinct()
+
+
+def first_reads(spans: DataFrame, wins: DataFrame, width: int = 10_000) -> DataFrame:
+    """call_id, site, reads, full: how many of the reads that span a window come before its cap is reached, in order of start. wins as in sampled_reads."""
+    rows = containing(spans, wins, "chr", width).groupBy("call_id", "site", "cap", "read_id").agg(F.min(F.struct("start", "end")).alias("at"))
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("call_id", "site").orderBy("at", "read_id"))).filter(F.col("k") <= F.col("cap"))
+    return ranked.groupBy("call_id", "site").agg(F.count(F.lit(1)).alias("reads"), (F.count(F.lit(1)) >= F.first("cap")).alias("full"))
+
+
 def both_sites(spanning: DataFrame, wins: DataFrame) -> DataFrame:
     """call_id, read_id of the reads that span all sites of a call."""
     need = wins.groupBy("call_id").agg(F.count(F.lit(1)).alias("_need"))
@@ -81,12 +135,8 @@ def both_sites(spanning: DataFrame, wins: DataFrame) -> DataFrame:
     return got.join(need, "call_id").filter("_got = _need").select("call_id", "read_id")
 
 
-def reference_reads(calls: DataFrame, spanning: DataFrame, o: CallOptions = CallOptions()) -> DataFrame:
-    """call_id, dr: spanning reads that don't support the call (of all, or of the first ref_cap() by read_id)."""
-    if o.capped:
-        cap = calls.select("call_id", ref_cap(F.size("read_ids")).alias("_cap"))
-        ranked = spanning.withColumn("_k", F.row_number().over(Window.partitionBy("call_id").orderBy("read_id")))
-        spanning = ranked.join(cap, "call_id").filter("_k <= _cap").select("call_id", "read_id")
+def reference_reads(calls: DataFrame, spanning: DataFrame) -> DataFrame:
+    """call_id, dr: spanning reads that don't support the call."""
     support = calls.select("call_id", F.explode("read_ids").alias("read_id"))
     against = spanning.join(support, ["call_id", "read_id"], "left_anti")
     return against.groupBy("call_id").agg(F.count(F.lit(1)).alias("dr"))
@@ -125,6 +175,10 @@ def genotyped(calls: DataFrame, spans: DataFrame, o: CallOptions = CallOptions()
         missing = {"dr": F.lit(None).cast("bigint"), "gt": F.lit("./."), "pl": F.lit(".,.,."), "gq": F.lit(None).cast("bigint"), "qual": F.lit(None).cast("double")}
         return calls.select("*", *(c.alias(k) for k, c in missing.items()))
     wins = windows(calls, o)
-    spanning = both_sites(spanning_reads(spans, wins, width), wins)
-    out = calls.join(reference_reads(calls, spanning, o), "call_id", "left").withColumn("dr", F.coalesce("dr", F.lit(0)).cast("bigint"))
+    if o.capped:
+        caps = calls.select("call_id", ref_cap(F.size("read_ids")).alias("cap"))
+        found = sampled_reads(spans, wins.join(caps, "call_id"))
+    else:
+        found = spanning_reads(spans, wins, width)
+    out = calls.join(reference_reads(calls, both_sites(found, wins)), "call_id", "left").withColumn("dr", F.coalesce("dr", F.lit(0)).cast("bigint"))
     return out.withColumn("_g", likelihoods(F.col("dr"), F.size("read_ids"))).select(*out.columns, "_g.*")

@@ -230,6 +230,50 @@ m0 AS (SELECT *, CASE WHEN rd - lag(rd) OVER (PARTITION BY read_id, chr, rf - rd
 m1 AS (SELECT *, sum(brk) OVER (PARTITION BY read_id, chr, rf - rd ORDER BY rd ROWS UNBOUNDED PRECEDING) AS isl FROM m0),
 mem AS (SELECT read_id, chr, min(rd) AS rd_l, max(rd) + 21 AS rd_r, min(rf) AS rf_l, max(rf) + 21 AS rf_r, max(rd) + 22 - min(rd) AS len FROM m1 GROUP BY read_id, chr, rf - rd, isl)"""
 
+#: The search by halves step by step, then the ranks around what it finds.
+_SAMPLE = """
+rk AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY start, "end", read_id) - 1 AS rank, count(*) OVER (PARTITION BY chr) AS of FROM spans),
+wa AS (SELECT call_id, chr, ws, we, %s AS cap FROM (SELECT CAST(event_id AS VARCHAR) AS call_id, event_type AS chr, greatest(date_diff('second', TIMESTAMP '1970-01-01', ts) - 1704067200 - 500, 0) AS ws, date_diff('second', TIMESTAMP '1970-01-01', ts) - 1704067200 + 500 AS we, event_id %% 20 + 1 AS n FROM events)),
+bs AS (SELECT call_id, wa.chr, ws, we, cap, of, CAST(0 AS BIGINT) AS low, of - 1 AS high, CAST(-1 AS BIGINT) AS hit FROM wa JOIN (SELECT DISTINCT chr, of FROM rk) USING (chr)
+  UNION ALL SELECT call_id, b.chr, ws, we, cap, b.of, CASE WHEN we >= start AND ws > "end" THEN rank + 1 ELSE low END, CASE WHEN we < start THEN rank - 1 ELSE high END, CASE WHEN we >= start AND ws <= "end" THEN rank ELSE -1 END
+  FROM bs b JOIN rk ON rk.chr = b.chr AND rk.rank = (low + high) >> 1 WHERE hit < 0 AND low <= high),
+sp AS (SELECT DISTINCT call_id, read_id FROM bs b JOIN rk ON rk.chr = b.chr AND rank >= greatest(hit - cap // 2, 0) AND rank < CASE WHEN hit + cap // 2 >= b.of THEN b.of - 1 ELSE hit + cap // 2 END
+  WHERE hit >= 0 AND start <= we AND start < ws AND "end" > we)""" % "CASE WHEN n <= 2 THEN 10 * n WHEN n <= 5 THEN 5 * n WHEN n <= 15 THEN 4 * n ELSE 3 * n END"
+_LINEAR = """
+ln AS (SELECT w.call_id, cap, read_id, row_number() OVER (PARTITION BY w.call_id ORDER BY start, "end", read_id) AS k FROM (SELECT *, %s AS cap FROM (SELECT *, CAST(call_id AS BIGINT) %% 20 + 1 AS n FROM wins)) w JOIN spans s ON s.chr = w.chr AND start < ws AND "end" > we)""" % "CASE WHEN n <= 2 THEN 10 * n WHEN n <= 5 THEN 5 * n WHEN n <= 15 THEN 4 * n ELSE 3 * n END"
+_PM = "(-10 * log10(0.25 / (1 - 0.01727)))"
+#: Maximal exact matches from the hits of all positions, the seeds of the grid with their match, and the walk, a place a step.
+_WALK = f"""
+size AS (SELECT sum(length(text)) AS g FROM benchmark),
+dk AS (SELECT 'd' || doc_id AS read_id, length(text) AS n, i AS rd, substring(text, CAST(i AS BIGINT), 22) AS kmer FROM (SELECT doc_id, text, unnest(range(1, length(text) - 22 + 2)) AS i FROM documents WHERE length(text) >= 22)),
+ah AS (SELECT read_id, n, chr, rd, ix.pos AS rf, kmer FROM dk JOIN ix USING (kmer)),
+a1 AS (SELECT *, rd - row_number() OVER (PARTITION BY read_id, chr, rf - rd ORDER BY rd) AS isl FROM ah),
+a2 AS (SELECT *, min(rd) OVER w - 1 AS a, max(rd) OVER w + 20 AS z FROM a1 WINDOW w AS (PARTITION BY read_id, chr, rf - rd, isl)),
+hl AS (SELECT read_id, n, rd - 1 AS j, list({{'chr': chr, 'd': rf - rd, 'a': a, 'z': z}}) AS hs FROM a2 JOIN rare USING (kmer) WHERE rd > 20 AND (rd - 21) % 10 = 0 GROUP BY read_id, n, rd),
+wk AS (SELECT DISTINCT read_id, n, CASE WHEN n >= 300 THEN 0 ELSE 1 END AS zone, CAST(20 AS BIGINT) AS place, CAST(0 AS BIGINT) AS cnt, CAST(0 AS BIGINT) AS covered, CAST(NULL AS BIGINT) AS seed, CAST([] AS STRUCT(chr VARCHAR, d BIGINT, l BIGINT, r BIGINT)[]) AS kept FROM hl
+  UNION ALL SELECT read_id, n, CASE WHEN done THEN zone + 1 ELSE zone END, CASE WHEN done THEN place ELSE place + stride END, CASE WHEN done THEN 0 ELSE cnt + CASE WHEN len(k) > 0 THEN 1 ELSE 0 END END,
+    greatest(covered, coalesce(list_max(list_transform(k, lambda x: x.r)), 0)), place, k
+  FROM (SELECT *, list_filter(list_transform(CASE WHEN done OR place + 22 < covered THEN [] ELSE coalesce(hs, []) END,
+      lambda h: {{'chr': h.chr, 'd': h.d, 'l': least(place, greatest(h.a, CASE WHEN covered > 0 THEN covered + 1 ELSE 0 END, place - 5000)), 'r': least(h.z, place + 21 + 5000)}}),
+      lambda x: x.r - x.l + 1 >= 29 AND (x.r - x.l + 1) * {_PM} - 10 * log10(g) >= 29) AS k
+    FROM (SELECT w.*, hl.hs, g, cnt >= CASE WHEN zone <> 1 THEN 3 WHEN w.n >= 300 THEN (w.n - 200) // 20 ELSE w.n // 20 END OR place + 22 >= CASE zone WHEN 0 THEN 100 WHEN 1 THEN CASE WHEN w.n >= 300 THEN w.n - 100 ELSE w.n END ELSE w.n END AS done,
+        CASE zone WHEN 1 THEN 20 ELSE 10 END AS stride
+      FROM (SELECT read_id, n, zone, place, cnt, covered FROM wk WHERE zone < CASE WHEN n >= 300 THEN 3 ELSE 2 END) w CROSS JOIN size LEFT JOIN hl ON hl.read_id = w.read_id AND hl.j = w.place)))"""
+#: Each side's reach as the best of all pairs of beginnings that differ by two edits at most.
+_REACH = """
+docs_a AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g') AS text FROM documents),
+bench_a AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g') AS text FROM benchmark)"""
+_SIDES = """
+an AS (SELECT mem.*, row_number() OVER () AS no, d.text AS p, b.text AS q FROM mem JOIN docs_a d ON mem.read_id = 'd' || d.doc_id JOIN bench_a b ON mem.chr = 'b' || b.item_id),
+sd AS (SELECT no, 'l' AS side, reverse(substring(p, greatest(1, rd_l - 40), rd_l - greatest(1, rd_l - 40))) AS p, reverse(substring(q, greatest(1, rf_l - 40), rf_l - greatest(1, rf_l - 40))) AS q FROM an
+  UNION ALL SELECT no, 'r', substring(p, rd_r + 1, 40), substring(q, rf_r + 1, 40) FROM an),
+ab AS (SELECT no, side, a, b, levenshtein(substring(p, 1, a), substring(q, 1, b)) AS e FROM (SELECT *, unnest(range(greatest(0, a - 2), least(length(q), a + 2) + 1)) AS b FROM (SELECT *, unnest(range(0, length(p) + 1)) AS a FROM sd))),
+re AS (SELECT * FROM ab WHERE e <= 2 QUALIFY row_number() OVER (PARTITION BY no, side ORDER BY a DESC, e, b DESC) = 1)"""
+
+
+def _plain(*parts: str) -> tuple[str, ...]:
+    return tuple(p.replace("FROM documents", "FROM docs_a").replace("FROM benchmark", "FROM bench_a") for p in parts)
+
 
 def q(select: str, *parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{','.join(parts)}\n{select}" if parts else select
@@ -252,6 +296,8 @@ ORACLES = {
     "kmer_frequency_prune": q("SELECT chr, CAST(pos AS BIGINT) AS pos, kmer, copies FROM ix JOIN rare USING (kmer)", _KMERS),
     "seed_sampling": q("SELECT read_id, zone, pos, cap, kmer FROM sk", _SEEDS),
     "seed_join": q("SELECT * FROM hits", _KMERS, _SEEDS, _HITS),
+    "seed_walk": q("SELECT read_id, x.chr AS chr, seed + 1 AS seed, x.l + 1 AS rd_l, x.r + 1 AS rd_r, x.l + x.d + 1 AS rf_l, x.r + x.d + 1 AS rf_r FROM (SELECT read_id, seed, unnest(kept) AS x FROM wk)", _KMERS, _WALK, recursive=True),
+    "bounded_extension": q("SELECT an.read_id, an.chr, rd_l - l.a AS rd_l, rd_r + r.a AS rd_r, rf_l - l.b AS rf_l, rf_r + r.b AS rf_r, l.e + r.e AS edits FROM an JOIN re l ON l.no = an.no AND l.side = 'l' JOIN re r ON r.no = an.no AND r.side = 'r'", _REACH, *_plain(_KMERS, _SEEDS), _HITS, _MEM, _SIDES),
     "mem_diagonal_merge": q("SELECT * FROM mem", _KMERS, _SEEDS, _HITS, _MEM),
     "anchor_score": q("SELECT *, round(len * (-10 * log10(0.25 / (1 - 0.01727))) - 10 * log10(1000000.0), 6) AS score FROM mem WHERE len >= 29 AND len * (-10 * log10(0.25 / (1 - 0.01727))) - 10 * log10(1000000.0) >= 29", _KMERS, _SEEDS, _HITS, _MEM),
     "strand_select": "WITH s AS (SELECT 'c' || o_custkey AS read_id, CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '+' END AS strand, max(o_orderkey % 400) AS score FROM orders GROUP BY 1, 2), t AS (SELECT *, max(score) OVER (PARTITION BY read_id) AS top, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, strand = '-' DESC) AS k FROM s) SELECT read_id, strand, score, k = 1 AS \"primary\" FROM t WHERE top >= 100",
@@ -282,6 +328,8 @@ ORACLES = {
     "read_span_fold": q("SELECT chr, start, \"end\", read_id FROM spans", _LINES, _FOLD, recursive=True),
     "read_span_unstranded": q("""SELECT chr, a AS start, z AS "end", read_id FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY z - a DESC, isl) AS rk FROM (SELECT read_id, isl, min(chr) AS chr, arg_min(rf_l, k) AS a, arg_max(rf_r, k) AS z FROM (SELECT *, sum(brk) OVER (PARTITION BY read_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, CASE WHEN chr = lag(chr) OVER w AND rf_l - lag(rf_r) OVER w < 50000 THEN 0 ELSE 1 END AS brk FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY chr, rf_l, rf_r, seg_idx) AS k FROM seg) WHERE k = 1 OR seg_len >= 300 WINDOW w AS (PARTITION BY read_id ORDER BY k))) GROUP BY read_id, isl)) WHERE rk = 1""", _LINES),
     "ref_cap": "SELECT DISTINCT n, CASE WHEN n <= 2 THEN 10 * n WHEN n <= 5 THEN 5 * n WHEN n <= 15 THEN 4 * n ELSE 3 * n END AS cap FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)",
+    "sampled_coverage": q("SELECT call_id, count(*) AS n, min(read_id) AS first_read FROM sp GROUP BY 1", _SPANS, _SAMPLE, recursive=True),
+    "linear_coverage": q("SELECT call_id, count(*) AS reads, count(*) >= first(cap) AS \"full\" FROM ln WHERE k <= cap GROUP BY 1", _SPANS, _LINEAR),
     "capped_reference_reads": q("SELECT w.call_id, count(*) AS n FROM (SELECT w.call_id, s.read_id, row_number() OVER (PARTITION BY w.call_id ORDER BY s.read_id) AS k FROM wins w JOIN spans s ON s.chr = w.chr AND s.start < w.ws AND s.\"end\" > w.we) w WHERE k <= 10 GROUP BY 1", _SPANS),
     "rescale_counts": "SELECT DISTINCT c0, c1, CASE WHEN c0 + c1 > 100 THEN CAST(floor(100 * (c0 / (c0 + c1))) AS BIGINT) ELSE c0 END AS a, CASE WHEN c0 + c1 > 100 THEN 100 - CAST(floor(100 * (c0 / (c0 + c1))) AS BIGINT) ELSE c1 END AS b FROM (SELECT o_orderkey % 121 AS c0, 1 + o_custkey % 120 AS c1 FROM orders)",
     "genotype_likelihood": q("SELECT dr, dv, gt, pl, gq, qual FROM lk", "cc AS (SELECT DISTINCT o_orderkey % 121 AS dr, 1 + o_custkey % 120 AS dv FROM orders)", likelihood("cc", "lk")),

@@ -44,7 +44,7 @@ class CallOptions:
     ratio_ins: float = 0.9
     ratio_del: float = 0.5
     ratio_tra: float = 0.6
-    #: None: all spanning reads count; else the cap of ref_cap() is applied per call, by position.
+    #: False: all spanning reads count; True: those of a sample of ref_cap() spans around the site, by position.
     capped: bool = False
     id_prefix: str = "ravel"
 
@@ -79,6 +79,7 @@ class AlignOptions:
     error_model: int = 1
     min_read_len: int = 100
     max_predecessors: int = 51
+    max_seeds: int = 25_000
     max_read_len: int = 1_000_000
 
     def errors(self) -> tuple[float, float, float]:

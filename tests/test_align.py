@@ -77,14 +77,6 @@ def test_chains_equal_full_search_on_small_inputs():
         assert A.best_chains(arr, np.array(["c"] * len(a)), o)[0][0] == best
 
 
-def test_tiles_hold_every_window(spark):
-    g = genome(5000, 7)
-    t = {r.tile: (r.at, r.seq) for r in A.tiles(spark.createDataFrame([("c", g)], "chr string, seq string"), 512, 100).collect()}
-    for p in range(1, 5001):
-        at, s = t[(p - 1) // 512]
-        assert s[p - 1 - at] == g[p - 1]
-
-
 def test_suppression_order():
     assert A.suppressed([(0, 100)], [(10, 90), (95, 300)]) == ([True], [False, True])
     assert A.suppressed([(0, 100), (5, 100)], []) == ([False, True], [])
