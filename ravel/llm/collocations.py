@@ -44,7 +44,7 @@ class CollocationOptions:
     share: int = 80
     top: int = 2000
     longest: int = 4
-    block: int = 1 << 19
+    block: int = 1 << 17
     window: int = 1 << 20
     #: Bytes of text, and words, for which there is a bucket.
     bucket_bytes: int = 8 << 20
