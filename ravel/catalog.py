@@ -14,6 +14,7 @@ from ravel.functions import vcf_format as V
 from ravel.operators import align as A
 from ravel.operators import extension as X
 from ravel.operators import seeding as SD
+from ravel.operators import unipaths as U
 from ravel.operators import cluster as K
 from ravel.operators import evaluate as E
 from ravel.operators import genotype as G
@@ -117,6 +118,14 @@ def kmer_frequency_prune(spark, d):
     return A.frequency_prune(_text_index(spark, d), 5).select("chr", "pos", "kmer", "copies")
 
 
+def unipath_index(spark, d):
+    return U.unipaths(U.unipath_kmers(D.bench_reference(D.table(spark, d, "benchmark")), 22, clean=False)).drop("unipath")
+
+
+def kmer_limits(spark, d):
+    return U.lookup_table(D.bench_reference(D.table(spark, d, "benchmark")), 22, 8, AlignOptions.max_unipath, AlignOptions.max_copies, clean=False)
+
+
 def seed_sampling(spark, d):
     return _text_seeds(spark, d).select("read_id", "zone", "pos", "cap", "kmer")
 
@@ -413,7 +422,7 @@ def sv_calls_end_to_end(spark, d):
 def queries() -> dict[str, Query]:
     own = [
         scan_svseg_roundtrip, write_svseg, usable_segments, signature_partitions, contig_offsets, allele_sequence, inserted_sequence,
-        read_eligibility, kmer_index, kmer_frequency_prune, seed_sampling, seed_join, seed_walk, bounded_extension, mem_diagonal_merge, anchor_score, chain_top_n, merged_segments, strand_select, overlap_suppress, revcomp,
+        read_eligibility, kmer_index, kmer_frequency_prune, unipath_index, kmer_limits, seed_sampling, seed_join, seed_walk, bounded_extension, mem_diagonal_merge, anchor_score, chain_top_n, merged_segments, strand_select, overlap_suppress, revcomp,
         orient_pairs, ins_pair, del_pair, tra_pair, tra_ins_dup, merge_ins_in_read, merge_del_in_read,
         best_per_read, length_alleles, allele_summary, ins_representative, cluster_inv, cluster_dup_trimmed, cluster_tra_top2, bnd_alt,
         spanning_reads, capped_reference_reads, sampled_coverage, linear_coverage, reference_reads, both_ends_spanning, read_span_fold, read_span_unstranded, ref_cap, rescale_counts, genotype_likelihood, missing_genotype, filter_label,

@@ -20,6 +20,7 @@ from ravel.operators.extension import tiles
 from ravel.operators.islands import islands
 from ravel.operators.seeding import seed_walk
 from ravel.operators.streams import by_key
+from ravel.operators.unipaths import lookup_table
 from ravel.schema import AlignOptions
 
 
@@ -303,16 +304,16 @@ def interleave(rows: DataFrame) -> DataFrame:
     return rows.select("read_id", "read_len", (F.row_number().over(w) - 1).cast("bigint").alias("seg_idx"), "chr", "strand", "rd_l", "rd_r", "rf_l", "rf_r", (F.col("rd_r") + 1 - F.col("rd_l")).alias("seg_len"))
 
 
-def align(reads: DataFrame, reference: DataFrame, o: AlignOptions = AlignOptions()) -> DataFrame:
-    """Skeleton segments of reads (read_id, seq) on reference (chr, seq)."""
+def align(reads: DataFrame, reference: DataFrame, o: AlignOptions = AlignOptions(), index: DataFrame | None = None) -> DataFrame:
+    """Skeleton segments of reads (read_id, seq) on reference (chr, seq). index: a stored one (sources/index_store.py), else it is made for this run."""
     o = o.clamped()
     reads = eligible_reads(reads.select("read_id", F.left("seq", F.lit(o.max_read_len)).alias("seq")), o).select("read_id", F.upper("seq").alias("seq"), F.length("seq").cast("bigint").alias("read_len"))
     both = reads.withColumn("strand", F.lit("+")).unionByName(reads.withColumn("seq", reverse_complement(F.col("seq"))).withColumn("strand", F.lit("-")))
     reference = reference.select("chr", F.upper("seq").alias("seq"))
     genome = float(reference.agg(F.sum(F.length("seq"))).first()[0] or 1)
     pieces = tiles(reference, 8192, 6000)
-    index = kmer_index(tiles(reference, 1024, o.k).select("chr", "at", "seq"), o.k)
-    index = frequency_prune(index.withColumn("kmer", kmer_code(F.col("kmer"))), o.max_copies)
+    if index is None:
+        index = lookup_table(reference, max(22, o.k), o.k, o.max_unipath, o.max_copies).withColumn("kmer", kmer_code(F.col("kmer")))
     anchors = seed_walk(both, index, reference, genome, o)
     chains = chain_top_n(anchors, o)
     best = strand_select(chains.groupBy("read_id", "strand").agg(F.max("score").alias("score")), o).select("read_id", "strand", "primary")

@@ -230,6 +230,12 @@ m0 AS (SELECT *, CASE WHEN rd - lag(rd) OVER (PARTITION BY read_id, chr, rf - rd
 m1 AS (SELECT *, sum(brk) OVER (PARTITION BY read_id, chr, rf - rd ORDER BY rd ROWS UNBOUNDED PRECEDING) AS isl FROM m0),
 mem AS (SELECT read_id, chr, min(rd) AS rd_l, max(rd) + 21 AS rd_r, min(rf) AS rf_l, max(rf) + 21 AS rf_r, max(rd) + 22 - min(rd) AS len FROM m1 GROUP BY read_id, chr, rf - rd, isl)"""
 
+#: Links between k-mers, followed one after another from each head.
+_UNI = """
+nx AS (SELECT *, coalesce(lag(kmer) OVER w, '') AS p, coalesce(lead(kmer) OVER w, '') AS n FROM ix WINDOW w AS (PARTITION BY chr ORDER BY pos)),
+nb AS (SELECT kmer, count(*) AS copies, min(p) AS pa, max(p) AS pb, min(n) AS na, max(n) AS nb FROM nx GROUP BY kmer),
+lk AS (SELECT a.kmer AS u, b.kmer AS v FROM nb a JOIN nb b ON b.kmer = a.na WHERE a.na = a.nb AND b.pa = b.pb AND b.pa = a.kmer),
+up AS (SELECT kmer AS head, kmer AS last, 1 AS n FROM nb WHERE kmer NOT IN (SELECT v FROM lk) UNION ALL SELECT head, v, n + 1 FROM up JOIN lk ON u = last)"""
 #: The search by halves step by step, then the ranks around what it finds.
 _SAMPLE = """
 rk AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY start, "end", read_id) - 1 AS rank, count(*) OVER (PARTITION BY chr) AS of FROM spans),
@@ -296,6 +302,8 @@ ORACLES = {
     "kmer_frequency_prune": q("SELECT chr, CAST(pos AS BIGINT) AS pos, kmer, copies FROM ix JOIN rare USING (kmer)", _KMERS),
     "seed_sampling": q("SELECT read_id, zone, pos, cap, kmer FROM sk", _SEEDS),
     "seed_join": q("SELECT * FROM hits", _KMERS, _SEEDS, _HITS),
+    "unipath_index": q("SELECT chr, pos, kmers, copies FROM (SELECT head, max(n) AS kmers FROM up GROUP BY head) JOIN nb ON nb.kmer = head JOIN (SELECT * FROM ix QUALIFY row_number() OVER (PARTITION BY kmer ORDER BY chr, pos) = 1) f ON f.kmer = head", _KMERS, _UNI, recursive=True),
+    "kmer_limits": "WITH ix AS (SELECT 'b' || item_id AS chr, i AS pos, substring(text, CAST(i AS BIGINT), 22) AS kmer FROM (SELECT item_id, text, unnest(range(1, length(text) - 22 + 2)) AS i FROM benchmark WHERE length(text) >= 22)), c AS (SELECT kmer, substring(kmer, 1, 8) AS s, count(*) AS n FROM ix GROUP BY 1), f AS (SELECT s FROM c GROUP BY s HAVING count(*) <= 30) SELECT c.s AS kmer, chr, pos FROM ix JOIN c USING (kmer) JOIN f ON f.s = c.s WHERE n <= 5",
     "seed_walk": q("SELECT read_id, x.chr AS chr, seed + 1 AS seed, x.l + 1 AS rd_l, x.r + 1 AS rd_r, x.l + x.d + 1 AS rf_l, x.r + x.d + 1 AS rf_r FROM (SELECT read_id, seed, unnest(kept) AS x FROM wk)", _KMERS, _WALK, recursive=True),
     "bounded_extension": q("SELECT an.read_id, an.chr, rd_l - l.a AS rd_l, rd_r + r.a AS rd_r, rf_l - l.b AS rf_l, rf_r + r.b AS rf_r, l.e + r.e AS edits FROM an JOIN re l ON l.no = an.no AND l.side = 'l' JOIN re r ON r.no = an.no AND r.side = 'r'", _REACH, *_plain(_KMERS, _SEEDS), _HITS, _MEM, _SIDES),
     "mem_diagonal_merge": q("SELECT * FROM mem", _KMERS, _SEEDS, _HITS, _MEM),
