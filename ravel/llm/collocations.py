@@ -177,7 +177,7 @@ def blocks(docs: DataFrame, o: CollocationOptions) -> DataFrame:
         if now.size:
             yield now.rows(buckets)
 
-    return cut(rows.mapInArrow(run, _PARTS), "blocks")
+    return cut(rows.mapInArrow(run, _PARTS), "blocks", "uncompressed")
 
 
 def _buckets(size: int | None, each: int) -> int:
@@ -206,7 +206,7 @@ def name_words(parts: DataFrame, least: int) -> DataFrame:
         langs, words, f = (list(x) for x in zip(*entries)) if entries else ([], [], [])
         return pa.Table.from_batches([_back(back), _rows(_NAMED, id=[base | i for i in range(1, len(entries) + 1)], f=f, lang=langs, word=pa.array(words, pa.binary()).cast(pa.string()))])
 
-    return cut(parts.groupBy("bucket").applyInArrow(work, _NAMED), "named")
+    return cut(parts.groupBy("bucket").applyInArrow(work, _NAMED), "named", "uncompressed")
 
 
 def _back(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -241,7 +241,7 @@ def name_pairs(parts: DataFrame, least: int, last: bool) -> DataFrame:
             out.append(_back(rows))
         return pa.Table.from_batches(out)
 
-    return cut(parts.groupBy("bucket").applyInArrow(work, _NAMED), "named")
+    return cut(parts.groupBy("bucket").applyInArrow(work, _NAMED), "named", "uncompressed")
 
 
 def _pairs(codes: np.ndarray, skip: int, ids: np.ndarray, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -280,7 +280,7 @@ def pairs(sequences: DataFrame, names: DataFrame, k: int, buckets: int) -> DataF
             out.append(_rows(_PARTS, block=[block] * (m + 1), skip=[skip] + [None] * m, codes=[pack(new)] + [None] * m, bucket=[None, *bucket[at[:-1]].tolist()], first=[None, *(x + 1 for x in at[:-1])], data=[None, *data]))
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([_rows(_PARTS, block=[])])
 
-    return cut(sequences.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(work, _PARTS), "pairs")
+    return cut(sequences.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(work, _PARTS), "pairs", "uncompressed")
 
 
 def _counted(parts: DataFrame) -> DataFrame:

@@ -56,11 +56,12 @@ def parts_by_size(df: DataFrame) -> int | None:
     return need if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < need < 1 << 24 else None
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, and lost executors cost nothing before it."""
+def cut(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
+    """Write df as a table in the shared folder and read it again: lineage ends there, and lost executors cost nothing before it. What is packed already is best
+    written without compression."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
