@@ -88,6 +88,26 @@ def bench_reference(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("chr"), F.col("text").alias("seq"))
 
 
+def _letters(number: Column) -> Column:
+    """A letter for each number, by a fixed rule."""
+    x = number * 1103515245 + 12345
+    return F.substring(F.lit("ACGT"), (F.shiftright(x, 12) % 4 + 1).cast("int"), F.lit(1))
+
+
+def planted_reference(spark: SparkSession, size: int = 2_200_000, piece: int = 10_000) -> DataFrame:
+    """chr, at, seq: the letters of the three contigs that planted_segments lies on, in pieces."""
+    rows = spark.range(0, size // piece, 1, 64).select(F.explode(F.sequence(F.lit(1), F.lit(3))).alias("c"), (F.col("id") * piece).alias("at"))
+    seq = F.array_join(F.transform(F.sequence(F.col("at"), F.col("at") + piece - 1), lambda i: _letters(i * 3 + F.col("c"))), "")
+    return rows.select(F.concat(F.lit("chr"), F.col("c").cast("string")).alias("chr"), "at", seq.alias("seq"))
+
+
+def planted_reads(orders: DataFrame) -> DataFrame:
+    """read_id, seq: letters for the reads of planted_segments."""
+    r = F.col("o_orderkey")
+    seq = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), 6000 + 400 + ((r % 40) * 37) % 900 - 1), lambda i: _letters(i * 7 + r)), "")
+    return orders.select(F.concat(F.lit("r"), r.cast("string")).alias("read_id"), seq.alias("seq"))
+
+
 def truth_view(orders: DataFrame) -> DataFrame:
     """truth_no, sv_type, chr, start, end, sv_len, chr2, pos2: the 40 planted events, of the loci that orders has."""
     locus = orders.select((F.col("o_orderkey") % 40).cast("bigint").alias("l")).distinct()

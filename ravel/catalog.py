@@ -353,7 +353,14 @@ def vcf_records(spark, d):
 
 def vcf_sorted(spark, d):
     rows = vcf.records(_genotyped(spark, d))
-    return rows.select("CHROM", "POS", "ID", F.row_number().over(Window.orderBy("CHROM", "POS", "ID")).alias("line"))
+    return vcf.ordered(rows.select("CHROM", "POS", "ID"))
+
+
+def vcf_sequences(spark, d):
+    o = D.table(spark, d, "orders")
+    calls = P.with_sequences(_genotyped(spark, d), D.planted_reads(o), D.planted_reference(spark))
+    rows = vcf.records(calls, ref=F.col("ref_seq"), alt=F.col("alt_seq"))
+    return rows.select("ID", F.length("REF").cast("long").alias("ref_len"), F.md5(F.col("REF").cast("binary")).alias("ref_md5"), F.md5(F.col("ALT").cast("binary")).alias("alt_md5"))
 
 
 def vcf_header(spark, d):
@@ -426,7 +433,7 @@ def queries() -> dict[str, Query]:
         orient_pairs, ins_pair, del_pair, tra_pair, tra_ins_dup, merge_ins_in_read, merge_del_in_read,
         best_per_read, length_alleles, allele_summary, ins_representative, cluster_inv, cluster_dup_trimmed, cluster_tra_top2, bnd_alt,
         spanning_reads, capped_reference_reads, sampled_coverage, linear_coverage, reference_reads, both_ends_spanning, read_span_fold, read_span_unstranded, ref_cap, rescale_counts, genotype_likelihood, missing_genotype, filter_label,
-        vcf_records, vcf_sorted, vcf_header, info_parse, truth_explode, truth_genotypes, truth_match_ins, truth_match_bnd, truth_match_overlap, precision_recall, deletion_calls, sv_calls_end_to_end,
+        vcf_records, vcf_sorted, vcf_sequences, vcf_header, info_parse, truth_explode, truth_genotypes, truth_match_ins, truth_match_bnd, truth_match_overlap, precision_recall, deletion_calls, sv_calls_end_to_end,
     ]
     named: dict[str, Query] = {f.__name__: f for f in own}
     return named | {

@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravel.functions.dna import clean_runs, kmer_code, kmers_of, reverse_complement
-from ravel.operators.extension import tiles
+from ravel.operators.blocks import extend_blocks
 from ravel.operators.islands import islands
 from ravel.operators.seeding import seed_walk
 from ravel.operators.streams import by_key
 from ravel.operators.unipaths import lookup_table
+from ravel.plans.tables import materialise
 from ravel.schema import AlignOptions
 
 
@@ -101,11 +102,6 @@ def diagonal_merge(hits: DataFrame, k: int, reach: int = 0) -> DataFrame:
     return out.withColumn("len", F.col("rd_r") - F.col("rd_l") + 1).drop("diag", "island")
 
 
-def _with_tile(rows: DataFrame, pieces: DataFrame, position: str, name: str, core: int) -> DataFrame:
-    t = pieces.select("chr", F.col("tile").alias("_t"), F.col("at").alias(f"{name}_at"), F.col("seq").alias(f"{name}_seq"))
-    return rows.withColumn("_t", F.floor((F.col(position) - 1) / core).cast("int")).join(t, ["chr", "_t"]).drop("_t")
-
-
 def anchor_score(length: Column, errors: Column, genome: float, o: AlignOptions = AlignOptions()) -> Column:
     """Log-odds (times 10) that a match of that length with that many errors is no chance hit in a genome of that size."""
     hit = sum(o.errors())
@@ -216,47 +212,6 @@ def clamp_to_contig(rows: DataFrame, contigs: DataFrame) -> DataFrame:
     return j.withColumn("rd_l", F.col("rd_l") + lo).withColumn("rd_r", F.col("rd_r") - hi).withColumn("rf_l", F.col("rf_l") + lo).withColumn("rf_r", F.col("rf_r") - hi).filter("rd_l <= rd_r AND rf_l <= rf_r").drop("_len")
 
 
-def block_steps(read: str, ref: str, k: int, block: int) -> tuple[int, int]:
-    """How far (read, reference) a match goes on from the start of both, block by block: in each read block the k-mer that the reference has at the
-    least drift, at most half a block; a block without one is the end."""
-    done = (0, 0)
-    rd = rf = 0
-    while rd + k <= len(read) and rf + k <= len(ref):
-        best = None
-        for i in range(0, min(block, len(read) - rd - k + 1)):
-            for drift in range(0, block // 2 + 1):
-                for j in {i + drift, i - drift}:
-                    if 0 <= j and rf + j + k <= len(ref) and read[rd + i : rd + i + k] == ref[rf + j : rf + j + k] and (best is None or (drift, -i) < best[0]):
-                        best = ((drift, -i), i, j)
-                if best is not None and best[0][0] <= drift:
-                    break
-        if best is None:
-            break
-        done = (rd + best[1] + k, rf + best[2] + k)
-        rd, rf = done
-    return done
-
-
-def extend_blocks(rows: DataFrame, reads: DataFrame, pieces: DataFrame, o: AlignOptions = AlignOptions(), core: int = 8192) -> DataFrame:
-    """Segments (read_id, strand, chain, chr, ...) grown at both ends by block_steps, at most extend_mx letters each way."""
-    keys = ["read_id", "strand"]
-    cols = ["read_id", "strand", "chain", "chr", "rd_l", "rd_r", "rf_l", "rf_r"]
-    t = _with_tile(_with_tile(rows.select(*cols).join(reads.select(*keys, "seq"), keys), pieces, "rf_l", "a", core), pieces, "rf_r", "b", core)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                q = r.rf_l - 1 - r.a_at
-                x, y = block_steps(r.seq[max(0, r.rd_l - 1 - o.extend_mx) : r.rd_l - 1][::-1], r.a_seq[max(0, q - o.extend_mx) : q][::-1], o.hash_k, o.block)
-                p = r.rf_r - r.b_at
-                u, v = block_steps(r.seq[r.rd_r : r.rd_r + o.extend_mx], r.b_seq[p : p + o.extend_mx], o.hash_k, o.block)
-                out.append((r.read_id, r.strand, r.chain, r.chr, r.rd_l - x, r.rd_r + u, r.rf_l - y, r.rf_r + v))
-            yield pd.DataFrame(out, columns=cols)
-
-    return t.mapInPandas(run, "read_id string, strand string, chain bigint, chr string, rd_l bigint, rd_r bigint, rf_l bigint, rf_r bigint")
-
-
 def suppressed(primary: list[tuple[int, int]], other: list[tuple[int, int]]) -> tuple[list[bool], list[bool]]:
     """Which read intervals stay. In turn, each rule seeing what the ones before decided: an interval of the other strand that a valid primary one
     covers by more than 0.6 goes; a primary one that a valid one of the other strand covers by more than 0.8 goes; on each strand one
@@ -311,13 +266,12 @@ def align(reads: DataFrame, reference: DataFrame, o: AlignOptions = AlignOptions
     both = reads.withColumn("strand", F.lit("+")).unionByName(reads.withColumn("seq", reverse_complement(F.col("seq"))).withColumn("strand", F.lit("-")))
     reference = reference.select("chr", F.upper("seq").alias("seq"))
     genome = float(reference.agg(F.sum(F.length("seq"))).first()[0] or 1)
-    pieces = tiles(reference, 8192, 6000)
     if index is None:
         index = lookup_table(reference, max(22, o.k), o.k, o.max_unipath, o.max_copies).withColumn("kmer", kmer_code(F.col("kmer")))
     anchors = seed_walk(both, index, reference, genome, o)
-    chains = chain_top_n(anchors, o)
+    chains = materialise(chain_top_n(anchors, o), "chains")
     best = strand_select(chains.groupBy("read_id", "strand").agg(F.max("score").alias("score")), o).select("read_id", "strand", "primary")
-    segments = merge_segments(extend_blocks(merge_segments(chains, o), both, pieces, o), o)
+    segments = merge_segments(extend_blocks(merge_segments(chains, o), both, reference, o), o)
     segments = clamp_to_contig(segments, reference.select("chr", F.length("seq").alias("length"))).join(best, ["read_id", "strand"]).join(reads.select("read_id", "read_len"), "read_id")
     kept = overlap_suppress(forward_coordinates(segments)).join(reads.select("read_id", "read_len"), "read_id")
     return interleave(kept)

@@ -46,27 +46,40 @@ def _ci(column: str) -> Column:
 
 
 def allele_summary(rows: DataFrame, sv_type: str, o: CallOptions, keys: tuple[str, ...] = ("chr", "block", "cluster", "allele")) -> DataFrame:
-    """A call for each allele with enough support: chr, pos, sv_len, support, cipos, cilen, search_pos, read_ids, and for insertions q_start and q_read."""
+    """A call for each allele with enough support: chr, pos, sv_len, support, cipos, cilen, search_pos, read_ids, and for insertions with strands where their
+    sequence stands: q_read, q_start, q_len, q_strand."""
     mean_pos, mean_len = F.avg("pos"), F.avg("len")
     aggs = [
         mean_pos.alias("_mp"), mean_len.alias("_ml"), F.min("pos").alias("_low"), F.count(F.lit(1)).alias("support"),
         _ci("pos").alias("cipos"), _ci("len").alias("cilen"), F.array_sort(F.collect_set("read_id")).alias("read_ids"),
     ]
+    inserted = sv_type == "INS" and "strand" in rows.columns
+    if inserted:
+        rows, best = _representative(rows, keys)
+        aggs.append(best.alias("_q"))
     out = rows.groupBy(*keys).agg(*aggs).filter(F.col("support") >= o.allele_support)
+    if inserted:
+        out = out.select("*", "_q.*").drop("_q")
     pos, size = F.col("_mp").cast("bigint"), F.col("_ml").cast("bigint")
     out = out.withColumn("sv_type", F.lit(sv_type)).withColumn("pos", pos).withColumn("sv_len", -size if sv_type == "DEL" else size)
     return out.withColumn("search_pos", F.col("_low").cast("bigint") if sv_type == "DEL" else pos).drop("_mp", "_ml", "_low")
 
 
-def insertion_representative(rows: DataFrame, keys: tuple[str, ...] = ("chr", "block", "cluster", "allele")) -> DataFrame:
-    """For each allele the read that its sequence is taken from: of those within 5 of the mean length the nearest to the mean position, if
-    nearer than 2000 (the first of equals); else the first by length. keys, q_start, q_len, q_read, q_strand."""
+def _representative(rows: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """rows with a rank, and the aggregate that takes the best row's q_start, q_len, q_read, q_strand (see insertion_representative)."""
     w = Window.partitionBy(*keys)
     far = F.abs(F.col("pos") - F.avg("pos").over(w))
     near = (F.abs(F.col("len") - F.avg("len").over(w)) < 5) & (far < 2000)
     rank = F.struct(F.when(near, 0).otherwise(1).alias("a"), F.when(near, far).alias("b"), F.col("len").alias("c"), F.col("pos").alias("d"), F.col("read_id").alias("e"), F.col("q_start").alias("f"))
-    ranked = rows.withColumn("_r", rank)
-    return ranked.groupBy(*keys).agg(F.min_by(F.struct("q_start", F.col("len").alias("q_len"), F.col("read_id").alias("q_read"), F.col("strand").alias("q_strand")), "_r").alias("_b")).select(*keys, "_b.*")
+    best = F.min_by(F.struct("q_start", F.col("len").alias("q_len"), F.col("read_id").alias("q_read"), F.col("strand").alias("q_strand")), "_r")
+    return rows.withColumn("_r", rank), best
+
+
+def insertion_representative(rows: DataFrame, keys: tuple[str, ...] = ("chr", "block", "cluster", "allele")) -> DataFrame:
+    """For each allele the read that its sequence is taken from: of those within 5 of the mean length the nearest to the mean position, if
+    nearer than 2000 (the first of equals); else the first by length. keys, q_start, q_len, q_read, q_strand."""
+    ranked, best = _representative(rows, keys)
+    return ranked.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
 def indel_calls(sigs: DataFrame, sv_type: str, o: CallOptions = CallOptions()) -> DataFrame:

@@ -105,7 +105,7 @@ def tiles(reference: DataFrame, core: int, margin: int) -> DataFrame:
     return out.filter(F.col("at") + F.length("seq") > F.col("tile") * core)
 
 
-def _windows(anchors: DataFrame, reads: DataFrame, pieces: DataFrame, keys: list[str], width: int, core: int) -> DataFrame:
+def windows_around(anchors: DataFrame, reads: DataFrame, pieces: DataFrame, keys: list[str], width: int, core: int) -> DataFrame:
     """anchors with the letters around them: p_l, p_r of the read, q_l, q_r of the reference, `width` at most, and whether a read has more (more_l, more_r). Sequences
     are cut in the join, so nothing longer goes on."""
     a, z = F.col("rd_l"), F.col("rd_r")
@@ -151,13 +151,13 @@ def reach_tables(anchors: DataFrame, reads: DataFrame, reference: DataFrame, key
     first; the few anchors that reach their ends get windows of `most` letters."""
     kept = anchors.columns
     short = min(width, most)
-    first = _tables(_windows(anchors, reads, tiles(reference, core, short), keys, short, core), edits, bases, short, kept)
+    first = _tables(windows_around(anchors, reads, tiles(reference, core, short), keys, short, core), edits, bases, short, kept)
     if short == most:
         return first.drop("open")
     first = materialise(first, "reaches")
     # tiles of the wide pass only where they are asked for
     again = first.filter("open").select(*kept)
-    wide = _tables(_windows(again, reads, tiles(reference, 8 * core, most), keys, most, 8 * core), edits, bases, most, kept)
+    wide = _tables(windows_around(again, reads, tiles(reference, 8 * core, most), keys, most, 8 * core), edits, bases, most, kept)
     return first.filter(~F.col("open")).unionByName(wide).drop("open")
 
 

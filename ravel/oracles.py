@@ -191,6 +191,22 @@ vcf AS (SELECT chr AS CHROM, pos + 1 AS POS, 'ravel.' || sv_type || '.' || k AS
   || CASE WHEN sv_type IN ('DEL', 'INS') THEN ';CIPOS=' || cipos || ';CILEN=' || cilen ELSE '' END || ';RE=' || support || CASE WHEN sv_type = 'DUP' THEN ';STRAND=-+' WHEN sv_type = 'INV' THEN ';STRAND=' || orient ELSE '' END || ';RNAMES=NULL' || CASE WHEN sv_type = 'DEL' THEN ';STRAND=+-' ELSE '' END AS INFO,
   'GT:DR:DV:PL:GQ' AS FORMAT, gt || ':' || dr || ':' || support || ':' || pl || ':' || gq AS SAMPLE FROM num)"""
 
+_LET = "substr('ACGT', CAST((((%s) * 1103515245 + 12345) >> 12) % 4 + 1 AS BIGINT), 1)"
+
+
+def _letters(number: str) -> str:
+    return _LET.replace("%s", number)
+
+
+#: The letters of planted contigs and reads, by the rule of the adapters; the read that an insertion's sequence is taken from.
+_SEQ = f"""
+rep AS (SELECT * FROM (SELECT chr, cluster, allele, q_start, len AS q_len, read_id AS q_read, strand AS q_strand, row_number() OVER (PARTITION BY chr, cluster, allele ORDER BY CASE WHEN nr THEN 0 ELSE 1 END, CASE WHEN nr THEN far END NULLS FIRST, len, pos, read_id, q_start) AS rk
+  FROM (SELECT *, abs(len - avg(len) OVER g) < 5 AND abs(pos - avg(pos) OVER g) < 2000 AS nr, abs(pos - avg(pos) OVER g) AS far FROM ains WINDOW g AS (PARTITION BY chr, cluster, allele))) WHERE rk = 1),
+iq AS (SELECT c.chr, c.pos, c.sv_len, c.names, q_start, q_len, q_strand, CAST(substr(q_read, 2) AS BIGINT) AS o FROM cins c JOIN rep USING (chr, cluster, allele)),
+ii AS (SELECT chr, pos, sv_len, names, CASE WHEN q_strand = '-' THEN array_to_string(list_transform(range(0, q_len), lambda i: translate({_letters("(6400 + ((o % 40) * 37) % 900 - q_start - 1 - i) * 7 + o")}, 'ACGT', 'TGCA')), '')
+  ELSE array_to_string(list_transform(range(q_start, q_start + q_len), lambda i: {_letters("i * 7 + o")}), '') END AS ins FROM iq),
+rs AS (SELECT *, CASE WHEN sv_type IN ('DEL', 'INS') THEN greatest(pos - 1, 0) ELSE pos END AS at_, CASE WHEN sv_type = 'DEL' THEN pos - sv_len - greatest(pos - 1, 0) ELSE 1 END AS len_, CAST(substr(chr, 4) AS BIGINT) AS cn FROM num),
+rt AS (SELECT *, array_to_string(list_transform(range(at_, at_ + len_), lambda i: {_letters("i * 3 + cn")}), '') AS ref FROM rs)"""
 _TRUTH = """
 tl AS (SELECT DISTINCT o_orderkey % 40 AS l FROM orders),
 tv0 AS (SELECT l, ['DEL', 'INS', 'INV', 'DUP', 'BND'][CAST(l % 5 + 1 AS INTEGER)] AS t, 400 + (l * 37) % 900 AS n, 100000 + 50000 * l AS p, 'chr' || (l % 3 + 1) AS a, 'chr' || ((l + 1) % 3 + 1) AS b FROM tl),
@@ -344,6 +360,7 @@ ORACLES = {
     "missing_genotype": q("SELECT sv_type, chr, pos, sv_len, support, './.' AS gt, '.,.,.' AS pl, '.' AS dr, '.' AS gq, '.' AS qual, 'PASS' AS filter FROM calls", _A, recursive=True),
     "filter_label": q("SELECT dr, dv, qual, CASE WHEN qual >= 5 THEN 'PASS' ELSE 'q5' END AS filter FROM lk", "cc AS (SELECT DISTINCT o_orderkey % 121 AS dr, 1 + o_custkey % 120 AS dv FROM orders)", likelihood("cc", "lk")),
     "vcf_records": q("SELECT * FROM vcf", _A, _VCF, recursive=True),
+    "vcf_sequences": q("SELECT 'ravel.' || sv_type || '.' || k AS ID, length(ref) AS ref_len, md5(ref) AS ref_md5, md5(CASE sv_type WHEN 'DEL' THEN ref[1] WHEN 'INS' THEN ref[1] || ins WHEN 'BND' THEN alt ELSE '<' || sv_type || '>' END) AS alt_md5 FROM rt LEFT JOIN ii ON sv_type = 'INS' AND ii.chr = rt.chr AND ii.pos = rt.pos AND ii.sv_len = rt.sv_len AND ii.names = rt.names", _A, _VCF, _SEQ, recursive=True),
     "vcf_sorted": q("SELECT CHROM, POS, ID, row_number() OVER (ORDER BY CHROM, POS, ID) AS line FROM vcf", _A, _VCF, recursive=True),
     "info_parse": q("SELECT ID, abs(sv_len_) AS svlen, end_ AS \"end\", re, svtype, gtc FROM (SELECT ID, coalesce(TRY_CAST(regexp_extract(INFO, 'SVLEN=(-?[0-9]+)', 1) AS BIGINT), 0) AS sv_len_, coalesce(TRY_CAST(regexp_extract(INFO, ';END=([0-9]+)', 1) AS BIGINT), 0) AS end_, CAST(regexp_extract(INFO, ';RE=([0-9]+)', 1) AS BIGINT) AS re, regexp_extract(INFO, 'SVTYPE=(...)', 1) AS svtype, CASE WHEN SAMPLE LIKE '0/1%' THEN 'het' WHEN SAMPLE LIKE '1/1%' THEN 'hom' ELSE 'unknown' END AS gtc FROM vcf)", _A, _VCF, recursive=True),
     "truth_explode": """WITH b AS (SELECT 'chr' || (o_custkey % 3 + 1) AS chr, o_orderkey AS start, o_orderkey + 500 + o_custkey % 50 AS e, o_orderkey % 5 AS k, (o_orderkey // 5) % 4 AS s, o_custkey AS p2 FROM orders),

@@ -9,8 +9,9 @@ from ravel.operators import cluster, genotype
 from ravel.operators.signatures import signatures
 from ravel.plans.tables import materialise
 from ravel.schema import CallOptions
+from ravel.sources.sequences import bases_at, inserted_sequence
 
-COMMON = {"sv_type": "string", "chr": "string", "pos": "bigint", "sv_len": "bigint", "chr2": "string", "pos2": "bigint", "orient": "string", "alt": "string", "support": "bigint", "cipos": "string", "cilen": "string", "search_pos": "bigint", "read_ids": "array<string>"}
+COMMON = {"sv_type": "string", "chr": "string", "pos": "bigint", "sv_len": "bigint", "chr2": "string", "pos2": "bigint", "orient": "string", "alt": "string", "support": "bigint", "cipos": "string", "cilen": "string", "search_pos": "bigint", "read_ids": "array<string>", "q_read": "string", "q_start": "bigint", "q_len": "bigint", "q_strand": "string"}
 
 
 def aligned(calls: DataFrame) -> DataFrame:
@@ -34,6 +35,18 @@ def call(segments: DataFrame, o: CallOptions = CallOptions()) -> DataFrame:
     return genotype.genotyped(calls, genotype.read_spans(segments, o.min_seg_len), o)
 
 
+def with_sequences(calls: DataFrame, reads: DataFrame, reference: DataFrame) -> DataFrame:
+    """calls with ref_seq and alt_seq for vcf.records: of a deletion what goes with the letter before it, and that letter; of an insertion the letter before it, with and without
+    the stretch of its representative read (reads: read_id, seq); of others the letter at their place. reference: chr, seq, perhaps at."""
+    kind, before = F.col("sv_type"), F.greatest(F.col("pos") - 1, F.lit(0))
+    indel = kind.isin("DEL", "INS")
+    rows = calls.withColumn("_at", F.when(indel, before).otherwise(F.col("pos")) + 1).withColumn("_n", F.when(kind == "DEL", F.col("pos") - F.col("sv_len") - before).otherwise(1))
+    rows = inserted_sequence(bases_at(rows, reference, "_at", "_n", "ref_seq"), reads)
+    first = F.substring("ref_seq", 1, 1)
+    alt = F.when(kind == "DEL", first).when(kind == "INS", F.concat(first, "ins_seq"))
+    return rows.withColumn("alt_seq", alt).drop("_at", "_n", "ins_seq")
+
+
 def call_deletions(segments: DataFrame, o: CallOptions = CallOptions()) -> DataFrame:
     """Only deletions: the least plan from segments to genotypes."""
     from ravel.operators import signatures as S

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravel.functions.dna import reverse_complement, upper_bases
+from ravel.operators.extension import tiles
+from ravel.plans.tables import materialise
 from ravel.schema import CONTIGS
 
 
@@ -58,9 +60,21 @@ def contig_offsets(contigs: DataFrame) -> DataFrame:
     return contigs.withColumn("offset", F.coalesce(F.sum("length").over(Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def bases_at(calls: DataFrame, reference: DataFrame, pos: str, length: str, name: str) -> DataFrame:
-    """calls with `name`: the reference from 1-based pos over length bases. reference (chr, seq) is large, so Spark chooses how to join."""
-    return calls.join(reference.select("chr", F.col("seq").alias("_seq")), "chr", "left").withColumn(name, F.substring("_seq", F.greatest(F.col(pos), F.lit(1)).cast("int"), F.col(length).cast("int"))).drop("_seq")
+def bases_at(calls: DataFrame, reference: DataFrame, pos: str, length: str, name: str, core: int = 4096) -> DataFrame:
+    """calls with `name`: the reference (chr, seq, perhaps at) from 1-based pos over length bases. The reference comes as tiles: a call meets those that it touches and
+    is put together from their parts, so no join carries a contig and a stretch may lie across any number of borders."""
+    rows = calls.withColumn("_row", F.monotonically_increasing_id())
+    rows = materialise(rows, "stretches")
+    a, n = F.greatest(F.col(pos), F.lit(1)).cast("bigint"), F.greatest(F.col(length), F.lit(0)).cast("bigint")
+    tile = F.explode(F.when(n > 0, F.sequence(F.floor((a - 1) / core).cast("int"), F.floor((a + n - 2) / core).cast("int"))))
+    want = rows.select("_row", "chr", a.alias("_a"), n.alias("_n"), tile.alias("tile"))
+    t = tiles(reference.select(*(c for c in ("chr", "at", "seq") if c in reference.columns)), core, 0)
+    lo = F.greatest(F.col("_a") - 1, F.col("at")) - F.col("at")
+    hi = F.least(F.col("_a") - 1 + F.col("_n"), F.col("at") + F.length("seq")) - F.col("at")
+    parts = want.join(t, ["chr", "tile"]).select("_row", "tile", F.substring("seq", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")).alias("part"))
+    made = parts.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("tile", "part"))).alias("_parts"))
+    made = made.select("_row", F.array_join(F.transform("_parts", lambda x: x["part"]), "").alias(name))
+    return rows.join(made, "_row", "left").drop("_row")
 
 
 def read_sequences(wanted: DataFrame, reads: DataFrame) -> DataFrame:
@@ -69,8 +83,10 @@ def read_sequences(wanted: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def inserted_sequence(rows: DataFrame, reads: DataFrame) -> DataFrame:
-    """rows (q_read, q_start, q_len, q_strand) with ins_seq: that stretch of the read, from its other end and complemented on reverse reads."""
-    seqs = reads.select(F.col("read_id").alias("q_read"), F.col("seq").alias("_s"))
+    """rows (q_read, q_start, q_len, q_strand) with ins_seq: that stretch of the read, from its other end and complemented on reverse reads. Only reads that are asked for
+    meet the rows."""
+    wanted = rows.filter("q_read is not null").select(F.col("q_read").alias("read_id"))
+    seqs = read_sequences(wanted, reads).select(F.col("read_id").alias("q_read"), F.col("seq").alias("_s"))
     a, n = F.col("q_start").cast("int"), F.col("q_len").cast("int")
     total = F.length("_s")
     back = reverse_complement(F.substring("_s", F.greatest(total - a - n, F.lit(0)) + 1, n))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravel.functions import vcf_format as V
+from ravel.operators.ranks import ranks
 from ravel.schema import CallOptions
 
 # Order of the types among calls at one position, and the header lines of the format.
@@ -68,8 +69,14 @@ def output_order() -> list[str | Column]:
 
 
 def numbered(calls: DataFrame) -> DataFrame:
-    """calls with n, from 0 for each type in output order. A type's calls are many orders fewer than its reads."""
-    return calls.withColumn("n", (F.row_number().over(Window.partitionBy("sv_type").orderBy(*output_order())) - 1).cast("bigint"))
+    """calls with n, from 0 for each type in output order, counted by ranges."""
+    return ranks(calls, ["sv_type"], output_order(), "n")
+
+
+def ordered(body: DataFrame) -> DataFrame:
+    """records with line, from 1 in the order (CHROM, POS, ID): ranges of it are counted apart."""
+    out = ranks(body.withColumn("_all", F.lit(0)), ["_all"], ["CHROM", "POS", "ID"], "line").drop("_all")
+    return out.withColumn("line", (F.col("line") + 1).cast("bigint"))
 
 
 def records(calls: DataFrame, o: CallOptions = CallOptions(), ref: Column | None = None, alt: Column | None = None) -> DataFrame:
@@ -85,12 +92,12 @@ def records(calls: DataFrame, o: CallOptions = CallOptions(), ref: Column | None
 
 
 def write(calls: DataFrame, contigs: DataFrame, path: str, o: CallOptions = CallOptions(), ref: Column | None = None, alt: Column | None = None, **kw) -> None:
-    """One text file: header, then the records by (CHROM, POS, ID). Calls are few, so one sorted task writes them. ref and alt: sequences
-    of calls, as in records."""
+    """A folder of text files that are one VCF in the order of their names: the header in the first, then the records by (CHROM, POS, ID), sorted by ranges in
+    as many tasks as there is data for. ref and alt: sequences of calls, as in records."""
     body = records(calls, o, ref, alt)
     lines = header(contigs, o.sample, **kw).select(F.lit(0).alias("a"), F.col("line_no").alias("b"), F.lit("").alias("c"), F.lit(0).cast("bigint").alias("d"), "line")
     lines = lines.union(body.select(F.lit(1), F.lit(0).cast("bigint"), "CHROM", "POS", F.concat_ws("\t", *(F.col(x).cast("string") for x in COLUMNS))))
-    lines.orderBy("a", "b", "c", "d", "line").coalesce(1).select("line").write.text(path)
+    lines.orderBy("a", "b", "c", "d", "line").select("line").write.text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

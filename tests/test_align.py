@@ -1,10 +1,13 @@
 """The aligner's parts against plain versions, and reads placed where they came from."""
 
 import random
+from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from ravel.operators import align as A
+from ravel.operators.blocks import block_reach, extend_blocks
 from ravel.schema import AlignOptions
 
 
@@ -82,7 +85,67 @@ def test_suppression_order():
     assert A.suppressed([(0, 100), (5, 100)], []) == ([False, True], [])
 
 
-def test_block_steps():
-    g = genome(200, 8)
-    assert A.block_steps(g, g, 7, 30)[0] >= 170
-    assert A.block_steps(g, genome(200, 9), 14, 30) == (0, 0)
+def plain_blocks(read, ref, o, last_of_equals=True):
+    """Place by place along the reference, with a table of the read's k-mers."""
+    k, size = o.hash_k, o.block
+    ins, dele, _ = o.errors()
+    table = defaultdict(list)
+    for x in range(len(read) - k + 1):
+        table[read[x : x + k]].append(x)
+    if min(len(read), len(ref)) <= size:
+        return 0, 0
+    most = size // 2 if o.error_model == 1 else abs(2 * size * (dele - ins) * 6)
+    got, block, begin, place, i = (0, 0), 0, 0, 0.0, 0
+    while i <= len(ref) - k:
+        best = None
+        for x in table.get(ref[i : i + k], ()):
+            y = x - block * size
+            off = abs(y - (i - begin))
+            if "N" not in ref[i : i + k] and 0 <= y < size and off <= most and (best is None or off < best[0] or (off == best[0] and last_of_equals)):
+                best = (off, y)
+        if best is None:
+            if i - begin >= size:
+                break
+            i += 1
+            continue
+        off, y = best
+        got = (block * size + y + k - 1, i + k - 1)
+        place = i - y + size if off < 3 or o.error_model != 1 else place + size + 2 * size * (dele - ins)
+        begin = i = int(place)
+        block += 1
+    return got
+
+
+@pytest.mark.parametrize("o", [AlignOptions(), AlignOptions(error_model=2), AlignOptions(hash_k=6, block=17)])
+def test_block_reach_equals_plain_version(o):
+    r = random.Random(6)
+    pairs = []
+    for n in range(60):
+        ref = genome(r.randrange(1, 900), n)
+        rate = r.choice([0, 0.02, 0.1, 0.2])
+        read = "".join(r.choice(["", c + r.choice("ACGT"), r.choice("ACGTN")]) if r.random() < rate else c for c in ref)
+        if n % 5 == 0:
+            read = read[:200] + genome(40, 100 + n) + read[200:]
+        if n % 7 == 0:
+            ref = ref[:300] + "AC" * 60 + ref[300:]
+        pairs.append((read, ref))
+    pairs += [("", ""), ("ACGT" * 30, "ACGT" * 30), ("A" * 100, "A" * 90), ("N" * 80, "N" * 80), (genome(200, 1), genome(200, 2))]
+    for last in (True, False):
+        a, b = block_reach([x for x, _ in pairs], [y for _, y in pairs], o, last)
+        assert list(zip(a.tolist(), b.tolist())) == [plain_blocks(x, y, o, last) for x, y in pairs]
+    assert max(a) > 500
+
+
+def test_blocks_extend_both_ends(spark):
+    g = genome(9000, 12)
+    noisy = "".join(random.Random(i).choice("ACGT") if i % 37 == 0 else c for i, c in enumerate(g))
+    o = AlignOptions(extend_mx=1500)
+    reads = spark.createDataFrame([("r", "+", noisy[1000:7000])], "read_id string, strand string, seq string")
+    rows = spark.createDataFrame([("r", "+", 0, "c", 2001, 2030, 3001, 3030), ("r", "+", 1, "c", 41, 60, 1041, 1060)], "read_id string, strand string, chain long, chr string, rd_l long, rd_r long, rf_l long, rf_r long")
+    got = {x.chain: x for x in extend_blocks(rows, reads, spark.createDataFrame([("c", g)], "chr string, seq string"), o).collect()}
+    for chain, (a, z) in {0: (2001, 2030), 1: (41, 60)}.items():
+        left, right = noisy[1000:7000][max(0, a - 1501) : a - 1][::-1], noisy[1000:7000][z : z + 1500]
+        x, u = plain_blocks(left, g[max(0, 1000 + a - 1501) : 1000 + a - 1][::-1], o, False)
+        y, v = plain_blocks(right, g[1000 + z : 1000 + z + 1500], o)
+        r = got[chain]
+        assert (r.rd_l, r.rd_r, r.rf_l, r.rf_r) == (a - x, z + y, 1000 + a - u, 1000 + z + v)
