@@ -9,10 +9,11 @@ into `classes` classes of equal mass. With r the vectors of the two tokens befor
 and a rare word has P(rare | context) * (count + 1) / (rare tokens + rare words + 1), so the whole distribution sums to 1. As classes have equal mass a token costs
 classes + words / classes scores on average.
 
-Training: every task runs minibatch NCE over all training tokens of its partition, from one starting point: noise classes by their frequencies, noise words by
+Training: the training texts are dealt evenly over trainers, one for every `trainer_tokens` tokens, however the input is split into files; each runs minibatch NCE over
+all its tokens, from one starting point: noise classes by their frequencies, noise words by
 theirs within a class, shared by a batch, so that scores are matrix products. The parameters are averaged on the executors: a word's by the tokens that
-each task has learned it from, so that tasks which never met it do not count; the others' by all tokens. So the model depends on how the input is split
-into tasks (as any average of local passes does); with the same splits it is the same.
+each trainer has learned it from, so that those which never met it do not count; the others' by all tokens. The number of trainers follows the tokens
+alone; which texts one gets, and in which order, follows the input's order, so scores of differently ordered inputs differ a little.
 Scoring: tokens are sorted by class; matrix products give the scores of all classes and of the words of each token's class, and so exactly
 normalised log-probabilities. Counts of the `hot` most frequent words are broadcast (a bound, 16 bytes each); the other words of the documents
 meet the count table in a join, so nothing is left out.
@@ -24,6 +25,7 @@ are 0 and every token is in the rare class; an empty table gives no rows. Only t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +56,8 @@ class LmOptions:
     rate: float = 0.25
     #: The biases begin at the unigram's values, so they move by smaller steps.
     bias_rate: float = 0.02
+    #: Training tokens for which there is a trainer.
+    trainer_tokens: int = 1 << 23
     seed: int = 5
 
 
@@ -354,7 +358,8 @@ def summed(row: np.ndarray, n: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, n
 
 
 def train(docs: DataFrame, v: Vocabulary, o: LmOptions) -> list[np.ndarray]:
-    """The averaged parameters after one pass of every task over its own documents (text)."""
+    """The averaged parameters after one pass of every trainer over its documents (text)."""
+    trainers = max(1, math.ceil(v.n / o.trainer_tokens))
     shared = docs.sparkSession.sparkContext.broadcast(v)
     first = begin(v, o)
 
@@ -393,7 +398,7 @@ def train(docs: DataFrame, v: Vocabulary, o: LmOptions) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), i, np.int32)), pa.array(row), pa.array(n), pa.array([y.tobytes() for y in x], pa.binary())], names=["i", "row", "n", "x"])
 
     schema = "i int, row int, n double, x binary"
-    got = docs.select("text").mapInArrow(run, schema).repartition("i", "row").sortWithinPartitions("i", "row", "n", "x").mapInArrow(add, schema).toArrow()
+    got = docs.select("text").repartition(trainers).mapInArrow(run, schema).repartition("i", "row").sortWithinPartitions("i", "row", "n", "x").mapInArrow(add, schema).toArrow()
     out = [a.copy() for a in first]  # words that no task has met stay as they were
     which, row = np.asarray(got["i"]), np.asarray(got["row"])
     for i, a in enumerate(out):
