@@ -5,7 +5,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from ravel import catalog
 from ravel.operators import align as A
 from ravel.operators.blocks import block_reach, extend_blocks
 from ravel.schema import AlignOptions
@@ -149,3 +151,128 @@ def test_blocks_extend_both_ends(spark):
         y, v = plain_blocks(right, g[1000 + z : 1000 + z + 1500], o)
         r = got[chain]
         assert (r.rd_l, r.rd_r, r.rf_l, r.rf_r) == (a - x, z + y, 1000 + a - u, 1000 + z + v)
+
+
+def plain_chains(rows, o):
+    """rows of one read and strand: (chr, rd_l, rd_r, rf_l, rf_r) in read order. For each chain its score and places."""
+    free, found, first = set(range(len(rows))), [], None
+    for _ in range(o.top_n):
+        score, back = {}, {}
+        for i in sorted(free):
+            c, a, z, x, y = rows[i]
+            score[i], back[i], tried = z - a + 1, None, 0
+            best = None
+            for j in sorted((j for j in free if j < i), reverse=True):
+                d, b, e, u, w = rows[j]
+                if d == c and b < a and e < z and u < x and w < y and a - e < o.rd_mx_gap and x - w < o.rf_mx_gap:
+                    tried += 1
+                    if tried > o.max_predecessors:
+                        break
+                    read, ref = a - e, x - w
+                    new = min(z - a if read > 0 else z - e, y - x if ref > 0 else y - w) + 1
+                    total = score[j] + new - abs(read - ref)
+                    if best is None or total > best[0]:
+                        best = (total, j)
+            if best is not None and best[0] > score[i]:
+                score[i], back[i] = best
+        top = max(score, key=lambda i: (score[i], -i), default=None)
+        if top is None or score[top] < o.min_chain_score:
+            break
+        path, k = [], top
+        while k is not None:
+            path.append(k)
+            k = back[k]
+        path.reverse()
+        free -= set(path)
+        lo, hi = rows[path[0]][1], rows[path[-1]][2]
+        if first is None:
+            first = (score[top], lo, hi)
+        else:
+            common = min(hi, first[2]) - max(lo, first[1])
+            if common >= 0 and (common > o.overlap_ratio * (hi - lo) or common > o.overlap_ratio * (first[2] - first[1])) and score[top] < o.secondary_ratio * first[0]:
+                continue
+        found.append((score[top], path))
+    return found
+
+
+def anchor_rows(seed):
+    """Reads with colinear, shifted, repeated and crossing anchors on two contigs."""
+    r = random.Random(seed)
+    out = []
+    for read in range(12):
+        at = 0
+        for _ in range(r.randrange(1, 70)):
+            at += r.randrange(1, 60)
+            n = r.randrange(20, 45)
+            ref = at + r.choice([0, 0, 0, 3, 500, 5000]) + r.choice([0, 1, 2])
+            out.append((f"r{read}", r.choice("++-"), r.choice(["c1", "c1", "c1", "c2"]), at, at + n, ref, ref + n))
+    return out
+
+
+@pytest.mark.parametrize("o", [AlignOptions(min_chain_score=22), AlignOptions(min_chain_score=40, top_n=2, max_predecessors=3, rd_mx_gap=90), AlignOptions(min_chain_score=22, overlap_ratio=0.1, secondary_ratio=0.95)])
+def test_chains_equal_plain_chains(spark, sf_dir, o):
+    made = spark.createDataFrame(anchor_rows(o.top_n), "read_id string, strand string, chr string, rd_l long, rd_r long, rf_l long, rf_r long")
+    columns = made.columns
+    own = catalog._text_anchors(spark, sf_dir).withColumn("strand", F.lit("+")).select(*columns)
+    for rows in (made, own):
+        by = defaultdict(list)
+        for r in sorted(map(tuple, rows.collect()), key=lambda r: (r[3], r[4], r[2], r[5])):
+            by[r[:2]].append((r[2], *r[3:]))
+        want = sorted((*k, c, s, i, *v[x]) for k, v in by.items() for c, (s, path) in enumerate(plain_chains(v, o)) for i, x in enumerate(path))
+        got = sorted((r.read_id, r.strand, r.chain, r.score, r.ord, r.chr, r.rd_l, r.rd_r, r.rf_l, r.rf_r) for r in A.chain_top_n(rows, o).collect())
+        assert got == want and want
+
+
+def plain_merge(rows, o, most_span=60):
+    """rows of one chain: (chr, rd_l, rd_r, rf_l, rf_r). Those inside what came before go; the rest grows or breaks."""
+    ins, dele, _ = o.errors()
+    out, top = [], None
+    for c, a, z, x, y in sorted(rows, key=lambda r: (r[1], r[3])):
+        inside = top is not None and z <= top[0] and y <= top[1]
+        top = (z, y) if top is None else (max(top[0], z), max(top[1], y))
+        if inside:
+            continue
+        if out:
+            d, _, e, _, w = last
+            read, ref = a - e, x - w
+            span = max(min(read, ref), 0)
+            if d == c and abs(read - ref) <= o.sv_lim - 2 * span * max(ins, dele) and span <= most_span:
+                g = out[-1]
+                out[-1] = (g[0], min(g[1], a), max(g[2], z), min(g[3], x), max(g[4], y))
+                last = (c, a, z, x, y)
+                continue
+        out.append((c, a, z, x, y))
+        last = (c, a, z, x, y)
+    return out
+
+
+def test_merged_segments_equal_plain_merge(spark, sf_dir):
+    o = AlignOptions(min_chain_score=22)
+    made = A.chain_top_n(spark.createDataFrame(anchor_rows(9), "read_id string, strand string, chr string, rd_l long, rd_r long, rf_l long, rf_r long"), o)
+    for chains in (made, catalog.chain_top_n(spark, sf_dir)):
+        by = defaultdict(list)
+        for r in chains.collect():
+            by[r.read_id, r.strand, r.chain].append((r.chr, r.rd_l, r.rd_r, r.rf_l, r.rf_r))
+        want = sorted((*k, *s) for k, v in by.items() for s in plain_merge(v, o))
+        got = sorted((r.read_id, r.strand, r.chain, r.chr, r.rd_l, r.rd_r, r.rf_l, r.rf_r) for r in A.merge_segments(chains, o).collect())
+        assert got == want and 0 < len(want) <= chains.count()
+
+
+def test_suppressed_segments_equal_plain_rules(spark, sf_dir):
+    """The query's own rows: line items as segments of both strands."""
+    rows = catalog._lines(spark, sf_dir).withColumn("primary", F.col("strand") == "+").withColumn("rd_l", F.expr("rd_l div 3"))
+    columns = ["read_id", "strand", "primary", "chr", "rd_l", "rd_r", "rf_l", "rf_r"]
+    by = defaultdict(list)
+    for r in rows.select(*columns).collect():
+        by[r.read_id].append(tuple(r))
+    share = lambda x, y: max(0, min(x[5], y[5]) - max(x[4], y[4]) + 1) / max(1, x[5] - x[4] + 1)
+    want = []
+    for group in by.values():
+        group.sort(key=lambda r: (r[4], r[5], r[3], r[6], r[7], r[1]))
+        main, other = [r for r in group if r[2]], [r for r in group if not r[2]]
+        other = [x for x in other if not any(share(x, y) > 0.6 for y in main)]
+        main = [x for x in main if not any(share(x, y) > 0.8 for y in other)]
+        for side in (main, other):
+            want += [x for i, x in enumerate(side) if not any(share(x, y) > 0.8 for y in side[i + 1 :])]
+    got = sorted(tuple(r) for r in catalog.overlap_suppress(spark, sf_dir).select(*columns).collect())
+    assert got == sorted(want) and 0 < len(want) < sum(map(len, by.values()))
