@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -412,6 +412,25 @@ def truth_match_overlap(spark, d):
     return E.match_overlaps(c, _truth(spark, d)).join(c.select("call_no", (F.col("pos") - 1).alias("pos")), "call_no").select("pos", "sv_type", "chr", "truth_no")
 
 
+def truth_match_any(spark, d):
+    c = _parsed(spark, d)
+    t = _truth(spark, d).filter("sv_type <> 'INS'")
+    return E.match_insertions(c, t, any_type=True, ratio=0.5).join(c.select("call_no", (F.col("pos") - 1).alias("pos")), "call_no").select("pos", "chr", "truth_no")
+
+
+def abnormal_types(spark, d):
+    rows = materialise(vcf_records(spark, d), "records")
+    return reduce(DataFrame.unionByName, (E.other_types(rows, types).withColumn("mode", F.lit(m)) for m, types in E.MODES.items()))
+
+
+def callers_side_by_side(spark, d):
+    """Five call sets in all three modes: the calls, and those that pass, have two or one copies, or stand at even places."""
+    rows = materialise(vcf_records(spark, d), "records")
+    sets = {"all": rows, "pass": rows.filter("FILTER = 'PASS'"), "hom": rows.filter("SAMPLE LIKE '1/1%'"), "het": rows.filter("SAMPLE LIKE '0/1%'"), "even": rows.filter("POS % 2 = 0")}
+    out = reduce(DataFrame.unionByName, (E.compare(sets, _truth(spark, d), D.genotype_view(spark), m).withColumn("mode", F.lit(m)) for m in E.MODES))
+    return out.withColumn("rate_1", F.round("rate_1", 9)).withColumn("rate_2", F.round("rate_2", 9))
+
+
 def precision_recall(spark, d):
     c, t = _parsed(spark, d), _truth(spark, d)
     r = E.precision_recall(c, t, E.levels(E.matches(c, t), D.genotype_view(spark)))
@@ -433,7 +452,7 @@ def queries() -> dict[str, Query]:
         orient_pairs, ins_pair, del_pair, tra_pair, tra_ins_dup, merge_ins_in_read, merge_del_in_read,
         best_per_read, length_alleles, allele_summary, ins_representative, cluster_inv, cluster_dup_trimmed, cluster_tra_top2, bnd_alt,
         spanning_reads, capped_reference_reads, sampled_coverage, linear_coverage, reference_reads, both_ends_spanning, read_span_fold, read_span_unstranded, ref_cap, rescale_counts, genotype_likelihood, missing_genotype, filter_label,
-        vcf_records, vcf_sorted, vcf_sequences, vcf_header, info_parse, truth_explode, truth_genotypes, truth_match_ins, truth_match_bnd, truth_match_overlap, precision_recall, deletion_calls, sv_calls_end_to_end,
+        vcf_records, vcf_sorted, vcf_sequences, vcf_header, info_parse, truth_explode, truth_genotypes, truth_match_ins, truth_match_bnd, truth_match_overlap, truth_match_any, abnormal_types, callers_side_by_side, precision_recall, deletion_calls, sv_calls_end_to_end,
     ]
     named: dict[str, Query] = {f.__name__: f for f in own}
     return named | {

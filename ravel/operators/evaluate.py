@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravel.operators.rangejoin import band, overlapping
+from ravel.plans.tables import materialise
 
 
 def info_fields(info: Column) -> dict[str, Column]:
@@ -123,10 +124,13 @@ MODES = {"IID": ["INS", "INV", "DEL"], "DUP": ["INS", "DUP"], "BND": ["BND"]}
 
 
 def compare(callsets: dict[str, DataFrame], truth: DataFrame, genotypes: DataFrame, mode: str = "IID", ratio: float = 0.7, offset: int = 1000) -> DataFrame:
-    """precision_recall of several call sets (name -> columns of sources.vcf.read) side by side, with a column caller."""
+    """precision_recall of several call sets (name -> columns of sources.vcf.read) side by side, with a column caller; truth counts with the
+    types of the mode."""
+    truth = truth.filter(F.col("sv_type").isin(*MODES[mode]))
     out = None
     for name, vcf in callsets.items():
-        calls = parse_calls(vcf, MODES[mode]).withColumn("call_no", F.monotonically_increasing_id())
+        # written, so that both sides see the same numbers
+        calls = materialise(parse_calls(vcf, MODES[mode]).withColumn("call_no", F.monotonically_increasing_id()), "parsed")
         pairs = levels(matches(calls, truth, ratio, offset, mode == "DUP"), genotypes)
         r = precision_recall(calls, truth, pairs).withColumn("caller", F.lit(name))
         out = r if out is None else out.unionByName(r)

@@ -219,6 +219,20 @@ mb AS (SELECT c.call_id, t.truth_no, c.sv_type, c.chr, c.chr2, c.g FROM ev c JOI
 mo AS (SELECT c.call_id, t.truth_no, c.sv_type, c.chr, CAST(NULL AS VARCHAR) AS chr2, c.g FROM ev c JOIN truth t ON t.sv_type = c.sv_type AND c.sv_type IN ('DEL', 'INV', 'DUP') AND t.chr = c.chr AND greatest(c.pos + 1 - 1000, t.start) <= least(c.pos + 1 + abs(c.sv_len) + 1000, t."end") AND least(abs(c.sv_len), t.sv_len) / greatest(abs(c.sv_len), t.sv_len) >= 0.7),
 ml AS (SELECT m.*, CASE WHEN coalesce(m.g = x.genotype, false) OR coalesce(m.g = y.genotype, false) THEN 2 ELSE 1 END AS level FROM (SELECT * FROM mi UNION ALL SELECT * FROM mb UNION ALL SELECT * FROM mo) m LEFT JOIN gts x ON x.chr = m.chr LEFT JOIN gts y ON y.chr = m.chr2)"""
 
+#: Call sets and modes side by side.
+_SETS = """
+md AS (SELECT * FROM (VALUES ('IID', ['INS', 'INV', 'DEL']), ('DUP', ['INS', 'DUP']), ('BND', ['BND'])) m(mode, types)),
+st AS (SELECT 'all' AS caller, * FROM ev UNION ALL SELECT 'pass', * FROM ev WHERE qual >= 5 UNION ALL SELECT 'hom', * FROM ev WHERE gt = '1/1' UNION ALL SELECT 'het', * FROM ev WHERE gt = '0/1' UNION ALL SELECT 'even', * FROM ev WHERE (pos + 1) % 2 = 0),
+sc AS (SELECT * FROM (SELECT mode, types, caller, call_id, CASE WHEN mode = 'IID' AND sv_type = 'DUP' THEN 'INS' ELSE sv_type END AS t, chr, pos + 1 AS pos, abs(sv_len) AS n, chr2, pos2, g FROM st, md) WHERE list_contains(types, t)),
+tm AS (SELECT mode, truth.* FROM truth, md WHERE list_contains(types, sv_type)),
+pm AS (SELECT c.mode, caller, call_id, truth_no, c.chr, CASE WHEN c.t = 'BND' THEN c.chr2 END AS chr2, c.g FROM sc c JOIN tm t ON t.mode = c.mode AND t.chr = c.chr AND CASE
+  WHEN c.t = 'INS' THEN (t.sv_type = 'INS' OR (c.mode = 'DUP' AND t.sv_type IN ('DEL', 'INV', 'DUP'))) AND abs(c.pos - t.start) <= 1000 AND least(c.n, t.sv_len) / greatest(c.n, t.sv_len) >= 0.7
+  WHEN c.t = 'BND' THEN t.sv_type = 'BND' AND t.chr2 = c.chr2 AND abs(c.pos - t.start) <= 1000 AND abs(c.pos2 - t.pos2) <= 1000
+  ELSE t.sv_type = c.t AND greatest(c.pos - 1000, t.start) <= least(c.pos + c.n + 1000, t."end") AND least(c.n, t.sv_len) / greatest(c.n, t.sv_len) >= 0.7 END),
+pl AS (SELECT pm.*, CASE WHEN coalesce(pm.g = x.genotype, false) OR coalesce(pm.g = y.genotype, false) THEN 2 ELSE 1 END AS level FROM pm LEFT JOIN gts x ON x.chr = pm.chr LEFT JOIN gts y ON y.chr = pm.chr2),
+sd AS (SELECT c.mode, c.caller, c.t AS sv_type, 'precision' AS side, coalesce(max(level), 0) AS level FROM sc c LEFT JOIN pl ON pl.mode = c.mode AND pl.caller = c.caller AND pl.call_id = c.call_id GROUP BY c.mode, c.caller, c.t, c.call_id
+  UNION ALL SELECT t.mode, k.caller, t.sv_type, 'recall', coalesce(max(level), 0) FROM tm t CROSS JOIN (SELECT DISTINCT caller FROM (VALUES ('all'), ('pass'), ('hom'), ('het'), ('even')) v(caller)) k LEFT JOIN pl ON pl.mode = t.mode AND pl.caller = k.caller AND pl.truth_no = t.truth_no GROUP BY t.mode, k.caller, t.sv_type, t.truth_no)"""
+
 _POINTS = """
 pts AS (SELECT event_type AS chr, date_diff('second', TIMESTAMP '1970-01-01', ts) - 1704067200 AS pos, CAST(floor(value) AS BIGINT) AS len, CAST(user_id AS VARCHAR) AS read_id, event_id AS q_start, CAST(NULL AS VARCHAR) AS strand FROM events)"""
 _SPANS = """
@@ -372,6 +386,9 @@ UNION ALL SELECT CASE k WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' WHEN 2 THEN 'INV' EL
     "truth_match_ins": q("SELECT c.pos, m.chr, m.truth_no FROM mi m JOIN calls c USING (call_id)", _E, _MATCH, recursive=True),
     "truth_match_bnd": q("SELECT c.pos, m.chr, m.chr2, m.truth_no FROM mb m JOIN calls c USING (call_id)", _E, _MATCH, recursive=True),
     "truth_match_overlap": q("SELECT c.pos, m.sv_type, m.chr, m.truth_no FROM mo m JOIN calls c USING (call_id)", _E, _MATCH, recursive=True),
+    "truth_match_any": q("SELECT c.pos, c.chr, t.truth_no FROM calls c JOIN truth t ON c.sv_type = 'INS' AND t.sv_type IN ('DEL', 'INV', 'DUP') AND t.chr = c.chr AND abs(c.pos + 1 - t.start) <= 1000 AND least(c.sv_len, t.sv_len) / greatest(c.sv_len, t.sv_len) >= 0.5", _E, recursive=True),
+    "abnormal_types": q("SELECT mode, t AS sv_type, count(*) AS n FROM (SELECT mode, types, CASE WHEN mode = 'IID' AND sv_type = 'DUP' THEN 'INS' ELSE sv_type END AS t FROM ev, md) WHERE NOT list_contains(types, t) GROUP BY 1, 2", _E, _SETS, recursive=True),
+    "callers_side_by_side": q("SELECT mode, caller, sv_type, side, count(*) AS n, count(*) FILTER (level >= 1) AS hit_1, count(*) FILTER (level >= 2) AS hit_2, round(count(*) FILTER (level >= 1) / count(*), 9) AS rate_1, round(count(*) FILTER (level >= 2) / count(*), 9) AS rate_2 FROM sd GROUP BY 1, 2, 3, 4", _E, _SETS, recursive=True),
     "precision_recall": q("SELECT sv_type, side, count(*) AS n, CAST(sum(CASE WHEN level >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS hit_1, CAST(sum(CASE WHEN level >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS hit_2, round(sum(CASE WHEN level >= 1 THEN 1 ELSE 0 END) / count(*), 9) AS rate_1, round(sum(CASE WHEN level >= 2 THEN 1 ELSE 0 END) / count(*), 9) AS rate_2 FROM (SELECT c.sv_type, 'precision' AS side, coalesce((SELECT max(level) FROM ml WHERE ml.call_id = c.call_id), 0) AS level FROM calls c UNION ALL SELECT t.sv_type, 'recall', coalesce((SELECT max(level) FROM ml WHERE ml.truth_no = t.truth_no), 0) FROM truth t) GROUP BY 1, 2", _E, _MATCH, recursive=True),
     "contig_offsets": "SELECT n_name AS chr, CAST(n_nationkey * 1000 + 500 AS BIGINT) AS length, CAST(coalesce(sum(n_nationkey * 1000 + 500) OVER (ORDER BY n_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM nation",
     "allele_sequence": "SELECT 'b' || item_id AS chr, item_id % 7 + 3 AS pos, substring(text, CAST(item_id % 7 + 3 AS BIGINT), 8) AS ref FROM benchmark",
