@@ -260,11 +260,11 @@ def interleave(rows: DataFrame) -> DataFrame:
 
 
 def align(reads: DataFrame, reference: DataFrame, o: AlignOptions = AlignOptions(), index: DataFrame | None = None) -> DataFrame:
-    """Skeleton segments of reads (read_id, seq) on reference (chr, seq). index: a stored one (sources/index_store.py), else it is made for this run."""
+    """Skeleton segments of reads (read_id, seq) on reference (chr, seq; with at its pieces, as sources.sequences.read_reference gives them). index: a stored one (sources/index_store.py), else it is made for this run."""
     o = o.clamped()
     reads = eligible_reads(reads.select("read_id", F.left("seq", F.lit(o.max_read_len)).alias("seq")), o).select("read_id", F.upper("seq").alias("seq"), F.length("seq").cast("bigint").alias("read_len"))
     both = reads.withColumn("strand", F.lit("+")).unionByName(reads.withColumn("seq", reverse_complement(F.col("seq"))).withColumn("strand", F.lit("-")))
-    reference = reference.select("chr", F.upper("seq").alias("seq"))
+    reference = reference.select(*(F.upper("seq").alias(c) if c == "seq" else c for c in ("chr", "at", "seq") if c in reference.columns))
     genome = float(reference.agg(F.sum(F.length("seq"))).first()[0] or 1)
     if index is None:
         index = lookup_table(reference, max(22, o.k), o.k, o.max_unipath, o.max_copies).withColumn("kmer", kmer_code(F.col("kmer")))
@@ -272,6 +272,6 @@ def align(reads: DataFrame, reference: DataFrame, o: AlignOptions = AlignOptions
     chains = materialise(chain_top_n(anchors, o), "chains")
     best = strand_select(chains.groupBy("read_id", "strand").agg(F.max("score").alias("score")), o).select("read_id", "strand", "primary")
     segments = merge_segments(extend_blocks(merge_segments(chains, o), both, reference, o), o)
-    segments = clamp_to_contig(segments, reference.select("chr", F.length("seq").alias("length"))).join(best, ["read_id", "strand"]).join(reads.select("read_id", "read_len"), "read_id")
+    segments = clamp_to_contig(segments, reference.groupBy("chr").agg(F.sum(F.length("seq")).alias("length"))).join(best, ["read_id", "strand"]).join(reads.select("read_id", "read_len"), "read_id")
     kept = overlap_suppress(forward_coordinates(segments)).join(reads.select("read_id", "read_len"), "read_id")
     return interleave(kept)

@@ -6,7 +6,7 @@ A FASTA record is cut at "\\n>", so multi-line sequences need no window over the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravel.functions.dna import reverse_complement, upper_bases
@@ -33,6 +33,32 @@ def read_fasta(spark: SparkSession, path: str, most: int | None = None) -> DataF
     return out.withColumn("read_len", F.length("seq").cast("bigint"))
 
 
+def read_reference(spark: SparkSession, path: str) -> DataFrame:
+    """chr, at, seq of a FASTA file of any record length: its lines as pieces, `at` the bases of the record before them. A record may lie across any number of splits of the
+    file: each split counts its own lines, and what runs on into it follows from one row a split. tiles(), the index and align take such pieces, so no row is
+    ever a chromosome. Upper case, U as T; lines before the first name belong to no record."""
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"))
+    seq = upper_bases(F.regexp_replace("value", "\\s", ""))
+    head = F.col("value").startswith(">")
+    name = F.when(head, F.split(F.substring("value", 2, 1 << 30), "\\s")[0])
+    lines = materialise(lines.select("file", "block", "id", head.alias("head"), name.alias("name"), F.when(head, "").otherwise(seq).alias("seq")), "lines")
+    split = Window.partitionBy("file", "block").orderBy("id")
+    rows = lines.withColumn("part", F.sum(F.col("head").cast("int")).over(split)).withColumn("own", F.last("name", ignorenulls=True).over(split))
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("seq")).over(Window.partitionBy("file", "block", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a row a split: the record that it ends in, if it begins one, and the bases of it that it has
+    ends = rows.groupBy("file", "block", "part").agg(F.max("own").alias("own"), F.sum(F.length("seq")).alias("n")).groupBy("file", "block").agg(F.max(F.struct("part", "own", "n")).alias("e"))
+    file = Window.partitionBy("file").orderBy("block")
+    ends = ends.select("file", "block", F.col("e.own").alias("own"), F.col("e.n").alias("n")).withColumn("run", F.count("own").over(file))
+    ends = ends.withColumn("so_far", F.sum("n").over(Window.partitionBy("file", "run").orderBy("block")))
+    earlier = file.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "block", F.last("own", ignorenulls=True).over(earlier).alias("from"), F.coalesce(F.lag("so_far").over(file), F.lit(0)).alias("had"))
+    rows = rows.join(ends, ["file", "block"])
+    first = F.col("part") == 0
+    out = rows.select(F.coalesce("own", "from").alias("chr"), (F.col("before") + F.when(first, F.col("had")).otherwise(0)).cast("bigint").alias("at"), "seq")
+    return out.filter("chr is not null AND seq <> ''")
+
+
 def read_fastq(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """As read_fasta, from four-line records; qualities are dropped. A quality line that begins with @ is told from a name by the form of
     the record: name, bases, a line with +, and as many signs as bases."""
@@ -55,8 +81,6 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 
 def contig_offsets(contigs: DataFrame) -> DataFrame:
     """contigs with `offset`, the bases of the contigs before, by name. Contigs are few, so one window is enough."""
-    from pyspark.sql import Window
-
     return contigs.withColumn("offset", F.coalesce(F.sum("length").over(Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 

@@ -1,5 +1,6 @@
 """Readers and writers on small files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ravel import adapters as D
@@ -91,3 +92,45 @@ def test_sequences_of_sites_and_reads(spark):
     reads = spark.createDataFrame([("r", "AACCGGTTAC")], "read_id string, seq string")
     rows = spark.createDataFrame([("r", 2, 4, "+"), ("r", 2, 4, "-")], "q_read string, q_start long, q_len long, q_strand string")
     assert {r.ins_seq for r in sequences.inserted_sequence(rows, reads).collect()} == {"CCGG", "AACC"}
+
+
+@pytest.mark.parametrize("split", [64, 150, 1000, 1 << 20])
+def test_records_lie_across_splits(spark, tmp_path, split):
+    """Pieces of a FASTA file put together are its records, wherever the splits fall."""
+    import random
+
+    r = random.Random(split)
+    letters = lambda n: "".join(r.choice("ACGTacgtuN") for _ in range(n))
+    want, lines = {}, ["", "stray"]
+    for i, n in enumerate((1, 700, 0, 61, 60, 3000, 5)):
+        s = letters(n)
+        want[f"c{i}"] = s.upper().replace("U", "T")
+        lines += [f">c{i} some words"] + [s[j : j + 60] for j in range(0, n, 60)]
+    (tmp_path / "ref.fa").write_text("\n".join(lines) + "\n")
+    keys = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        rows = sequences.read_reference(spark, str(tmp_path / "ref.fa")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = {}
+    for x in sorted(rows, key=lambda x: (x.chr, x.at)):
+        assert x.at == len(got.get(x.chr, "")) and len(x.seq) <= 60
+        got[x.chr] = got.get(x.chr, "") + x.seq
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_reads_align_to_a_reference_in_pieces(spark, tmp_path):
+    import random
+
+    from ravel.operators.align import align
+
+    r = random.Random(3)
+    g = "".join(r.choice("ACGT") for _ in range(6000))
+    (tmp_path / "ref.fa").write_text(">chrA x\n" + "\n".join(g[i : i + 70] for i in range(0, len(g), 70)) + "\n")
+    reads = spark.createDataFrame([("r", g[1000:4000])], "read_id string, seq string")
+    (row,) = align(reads, sequences.read_reference(spark, str(tmp_path / "ref.fa"))).collect()
+    assert (row.chr, row.strand, row.rd_l, row.rd_r, row.rf_l, row.rf_r) == ("chrA", "+", 0, 2999, 1001, 4000)
