@@ -88,6 +88,12 @@ def bench_reference(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("chr"), F.col("text").alias("seq"))
 
 
+def as_bases(df: DataFrame) -> DataFrame:
+    """df with seq as bases: its letters a to z by their place in the alphabet, modulo four, all other signs left out."""
+    plain = F.regexp_replace(F.lower("seq"), "[^a-z]", "")
+    return df.withColumn("seq", F.translate(plain, "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26])).filter("seq <> ''")
+
+
 def _letters(number: Column) -> Column:
     """A letter for each number, by a fixed rule."""
     x = number * 1103515245 + 12345

@@ -12,6 +12,7 @@ from ravel import adapters as D
 from ravel.functions import dna
 from ravel.functions import vcf_format as V
 from ravel.operators import align as A
+from ravel.operators.blocks import extend_blocks
 from ravel.operators import extension as X
 from ravel.operators import seeding as SD
 from ravel.operators import unipaths as U
@@ -171,6 +172,26 @@ def bounded_extension(spark, d):
     return X.bounded_extension(anchors, reads, reference, ["read_id"], 2, 40, bases=False)
 
 
+def _bases(spark, d):
+    return D.as_bases(D.doc_reads(D.table(spark, d, "documents"))), D.as_bases(D.bench_reference(D.table(spark, d, "benchmark")))
+
+
+def align_reads(spark, d):
+    """Documents as reads on the benchmark as reference, both as bases."""
+    return A.align(*_bases(spark, d), AlignOptions(k=14))
+
+
+def block_extension(spark, d):
+    """The anchors of the walk, grown by blocks at both ends."""
+    reads, reference = _bases(spark, d)
+    reads = reads.withColumn("strand", F.lit("+"))
+    o = AlignOptions(k=14, extend_mx=600)
+    index = U.lookup_table(reference, 22, o.k, o.max_unipath, o.max_copies).withColumn("kmer", dna.kmer_code(F.col("kmer")))
+    genome = float(reference.agg(F.sum(F.length("seq"))).first()[0] or 1)
+    anchors = SD.seed_walk(reads, index, reference, genome, o).withColumn("chain", F.col("seed"))
+    return extend_blocks(anchors, reads, reference, o)
+
+
 def strand_select(spark, d):
     o = D.table(spark, d, "orders")
     rows = o.groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("read_id"), F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise("+").alias("strand")).agg(F.max(F.col("o_orderkey") % 400).alias("score"))
@@ -448,7 +469,7 @@ def sv_calls_end_to_end(spark, d):
 def queries() -> dict[str, Query]:
     own = [
         scan_svseg_roundtrip, write_svseg, usable_segments, signature_partitions, contig_offsets, allele_sequence, inserted_sequence,
-        read_eligibility, kmer_index, kmer_frequency_prune, unipath_index, kmer_limits, seed_sampling, seed_join, seed_walk, bounded_extension, mem_diagonal_merge, anchor_score, chain_top_n, merged_segments, strand_select, overlap_suppress, revcomp,
+        read_eligibility, kmer_index, kmer_frequency_prune, unipath_index, kmer_limits, seed_sampling, seed_join, seed_walk, bounded_extension, block_extension, align_reads, mem_diagonal_merge, anchor_score, chain_top_n, merged_segments, strand_select, overlap_suppress, revcomp,
         orient_pairs, ins_pair, del_pair, tra_pair, tra_ins_dup, merge_ins_in_read, merge_del_in_read,
         best_per_read, length_alleles, allele_summary, ins_representative, cluster_inv, cluster_dup_trimmed, cluster_tra_top2, bnd_alt,
         spanning_reads, capped_reference_reads, sampled_coverage, linear_coverage, reference_reads, both_ends_spanning, read_span_fold, read_span_unstranded, ref_cap, rescale_counts, genotype_likelihood, missing_genotype, filter_label,

@@ -1,12 +1,14 @@
 """The aligner's parts against plain versions, and reads placed where they came from."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from test_seeding import plain_walk
+
 from ravel import catalog
 from ravel.operators import align as A
 from ravel.operators.blocks import block_reach, extend_blocks
@@ -276,3 +278,46 @@ def test_suppressed_segments_equal_plain_rules(spark, sf_dir):
             want += [x for i, x in enumerate(side) if not any(share(x, y) > 0.8 for y in side[i + 1 :])]
     got = sorted(tuple(r) for r in catalog.overlap_suppress(spark, sf_dir).select(*columns).collect())
     assert got == sorted(want) and 0 < len(want) < sum(map(len, by.values()))
+
+
+def test_block_extension_query_equals_plain_version(spark, sf_dir):
+    reads, reference = ({r[0]: r[1] for r in x.select(c, "seq").collect()} for x, c in zip(catalog._bases(spark, sf_dir), ("read_id", "chr")))
+    o = AlignOptions(k=14, extend_mx=600)
+    size = float(sum(map(len, reference.values())))
+    where = defaultdict(list)
+    for c, s in reference.items():
+        for i in range(len(s) - 21):
+            where[s[i : i + 22]].append((c, i))
+    begins = Counter(x[:14] for x in where)
+    copies = {x: [] for x in begins}
+    for x, at in where.items():
+        if len(at) <= o.max_copies and begins[x[:14]] <= o.max_unipath:
+            copies[x[:14]] += at
+    want = []
+    for name, s in reads.items():
+        for j, c, a, z, x, y, _ in plain_walk(s, reference, o, size, copies):
+            g = reference[c]
+            l, u = plain_blocks(s[max(0, a - 600) : a][::-1], g[max(0, x - 600) : x][::-1], o, False)
+            r, v = plain_blocks(s[z + 1 : z + 601], g[y + 1 : y + 601], o)
+            want.append((name, j + 1, c, a + 1 - l, z + 1 + r, x + 1 - u, y + 1 + v))
+    got = sorted((r.read_id, r.chain, r.chr, r.rd_l, r.rd_r, r.rf_l, r.rf_r) for r in catalog.block_extension(spark, sf_dir).collect())
+    assert got == sorted(want) and want
+
+
+def test_align_query_finds_whole_passages(spark, sf_dir):
+    reads, reference = ({r[0]: r[1] for r in x.select(c, "seq").collect()} for x, c in zip(catalog._bases(spark, sf_dir), ("read_id", "chr")))
+    got = defaultdict(list)
+    for r in catalog.align_reads(spark, sf_dir).collect():
+        # every segment lies on its read and contig, and its ends agree with them nearly
+        assert 0 <= r.rd_l <= r.rd_r < r.read_len == len(reads[r.read_id]) and 1 <= r.rf_l <= r.rf_r <= len(reference[r.chr])
+        got[r.read_id].append(r)
+    planted = 0
+    for name, s in reads.items():
+        for c, g in reference.items():
+            # the longest common stretch that begins with a part of the reference, far from the ends of the read
+            for i in range(0, len(g) - 150, 75):
+                j = s.find(g[i : i + 150])
+                if j >= 100 and j + 250 < len(s):
+                    planted += 1
+                    assert any(r.rd_l <= j + 60 and r.rd_r >= j + 90 for r in got[name]), (name, c, i)
+    assert planted or not got
