@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravel.llm import textcore as X
-from ravel.llm.common import cut, small_batches
+from ravel.llm.common import cut, forget, small_batches
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ class CollocationOptions:
     share: int = 80
     top: int = 2000
     longest: int = 4
-    block: int = 1 << 17
+    block: int = 1 << 18
     window: int = 1 << 20
     #: Bytes of text, and words, for which there is a bucket.
     bucket_bytes: int = 8 << 20
@@ -61,7 +61,7 @@ SALTS = 64
 _PARTS = "block long, skip int, codes binary, bucket int, lang string, first int, words binary, data binary"
 #: Ids for codes of a block, or one named word or pair.
 _NAMED = "block long, first int, data binary, id long, f long, lang string, word string, left long, right long"
-_CODEC = pa.Codec("zstd", 1)
+_CODEC = pa.Codec("zstd", 3)
 
 
 def squeeze(raw: bytes) -> bytes:
@@ -194,7 +194,8 @@ def name_words(parts: DataFrame, least: int) -> DataFrame:
             f = total.setdefault(lang, {})
             for w, c in zip(words, n):
                 f[w] = f.get(w, 0) + c
-        entries = [(lang, w, n) for lang, f in sorted(total.items()) for w, n in sorted(f.items()) if n >= least]
+        # frequent words have small ranks, which pack best
+        entries = sorted(((lang, w, n) for lang, f in total.items() for w, n in f.items() if n >= least), key=lambda e: (-e[2], e[0], e[1]))
         base = t["bucket"][0].as_py() << RANK_BITS
         ids: dict[str, dict[bytes, int]] = {lang: {} for lang in total}
         for i, (lang, w, _) in enumerate(entries, 1):
@@ -303,8 +304,10 @@ def hierarchy(docs: DataFrame, o: CollocationOptions) -> tuple[DataFrame, dict[i
         parts = rows.filter("bucket is not null").drop("codes", "skip")
         names = name_words(parts, o.least) if k == 1 else name_pairs(parts.drop("lang", "words"), o.least, k == o.longest)
         levels[k] = names.filter("id is not null").select("id", "f", *(("lang", "word") if k == 1 else ("left", "right")))
+        done = rows
         if k < o.longest:
             rows = pairs(rows.filter("codes is not null").select("block", "codes", "skip"), names.filter("block is not null").select("block", "first", "data"), k + 1, buckets)
+        forget(done)
     return per_lang, levels
 
 
