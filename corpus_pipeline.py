@@ -2,6 +2,9 @@
 
 Documents that the quality rules reject go; repeated chunks of lines leave the texts; one document of each near-duplicate class stays; documents
 with benchmark passages go; the rest is packed. All stages but the last return the columns of documents.
+
+Defined cases: null and empty texts fail the quality rules' least number of words; a very long text is one row in every stage and is cut by the packing alone; of ties and repeated rows
+one stays (near duplicates: that of the least doc_id, null last); an empty table gives empty tables; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ STAGES = [
     ("benchmark_decontamination", decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
-#: SQL has neither the n-gram likelihood ratio nor the tokenizer; tests hold the pipeline against a brute-force version.
+#: SQL has neither the n-gram likelihood ratio nor the tokenizer; tests compare its stages with plain versions of what they keep.
 ORACLE_SQL = None
 
 
