@@ -1,6 +1,7 @@
 """Signatures of structural variants from pairs and triples of neighbouring segments of a read.
 
-Everything up to the merges is windows over one partitioning (read_id), so the segments are shuffled once; the merges inside a read reuse it.
+The neighbours are windows over one partitioning (read_id), so the segments are shuffled once. They are written, and every rule reads what it needs of them; the merges inside a read shuffle
+what their rules found.
 Coordinates between the rules are doubles where halves occur and are truncated at the end.
 """
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravel.operators.islands import islands
+from ravel.plans.tables import materialise
 from ravel.schema import CallOptions
 
 SEG = ("seg_idx", "chr", "strand", "rd_l", "rd_r", "rf_l", "rf_r")
@@ -173,9 +175,14 @@ def all_insertions(near: DataFrame, o: CallOptions = CallOptions()) -> DataFrame
     return pairs.unionByName(jumps.select("read_id", "chr", "strand", F.lit(1).alias("src"), "ord", F.col("pos").cast("double").alias("pos"), "len", "q_start"))
 
 
+def written_neighbours(segments: DataFrame, o: CallOptions = CallOptions()) -> DataFrame:
+    """The neighbours that any rule can use (all look at a next segment), written once: rules that read the windows themselves would each sort all segments again, side by side in one task."""
+    return materialise(neighbours(usable_segments(segments, o)).filter("s2 is not null"), "neighbours")
+
+
 def signatures(segments: DataFrame, o: CallOptions = CallOptions()) -> DataFrame:
     """All signatures in the wide layout, without exact repeats."""
-    near = neighbours(usable_segments(segments, o))
+    near = written_neighbours(segments, o)
     parts = [
         _wide(merge_deletions(deletion_pairs(colinear_pairs(near), o), o), "DEL"),
         _wide(merge_insertions(all_insertions(near, o), o), "INS"),

@@ -97,3 +97,9 @@ def test_merges_within_a_read(spark):
 
 def test_no_segments(spark):
     assert S.signatures(spark.createDataFrame([], SEGMENTS)).count() == 0
+
+
+def test_rules_read_written_neighbours(spark):
+    """No rule sorts the segments again: the plan of all signatures has no window that looks ahead."""
+    plan = S.signatures(spark.createDataFrame([], SEGMENTS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(" not in plan
