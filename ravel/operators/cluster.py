@@ -19,6 +19,15 @@ def names(column: str | Column = "read_id") -> Column:
     return F.array_join(F.array_sort(F.collect_set(column)), ",")
 
 
+def read_set() -> Column:
+    """The aggregate read_ids: distinct reads in order. Their number is its size; a distinct count beside it would merge a set for each single read."""
+    return F.sort_array(F.collect_set("read_id")).alias("read_ids")
+
+
+def support() -> Column:
+    return F.size("read_ids").cast("bigint")
+
+
 def position_clusters(sigs: DataFrame, bias: int, keys: tuple[str, ...] = ("chr",), order: list[str] | None = None, blocks: bool = True) -> DataFrame:
     """sigs (chr, pos, len, read_id, q_start) with `cluster`: a number that is unique within keys (and block)."""
     rows = gap_blocks(sigs, list(keys), "pos", bias) if blocks else sigs.withColumn("block", F.lit(0))
@@ -51,7 +60,7 @@ def allele_summary(rows: DataFrame, sv_type: str, o: CallOptions, keys: tuple[st
     mean_pos, mean_len = F.avg("pos"), F.avg("len")
     aggs = [
         mean_pos.alias("_mp"), mean_len.alias("_ml"), F.min("pos").alias("_low"), F.count(F.lit(1)).alias("support"),
-        _ci("pos").alias("cipos"), _ci("len").alias("cilen"), F.array_sort(F.collect_set("read_id")).alias("read_ids"),
+        _ci("pos").alias("cipos"), _ci("len").alias("cilen"), read_set(),
     ]
     inserted = sv_type == "INS" and "strand" in rows.columns
     if inserted:
@@ -108,8 +117,8 @@ def inversion_clusters(sigs: DataFrame, o: CallOptions = CallOptions(), blocks:
 def inversion_calls(sigs: DataFrame, o: CallOptions = CallOptions()) -> DataFrame:
     """chr, pos, sv_len, pos2, support, orient, read_ids. Break points are means, halves to even."""
     rows = inversion_clusters(sigs.filter("sv_type = 'INV'"), o)
-    out = rows.groupBy("chr", "orient", "block", "cluster", "inner").agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("read_id").alias("support"), F.bround(F.sum("pos") / F.count(F.lit(1))).cast("bigint").alias("pos"), F.bround(F.sum("pos2") / F.count(F.lit(1))).cast("bigint").alias("pos2"), F.array_sort(F.collect_set("read_id")).alias("read_ids"))
-    out = out.withColumn("sv_len", F.col("pos2") - F.col("pos")).filter((F.col("_n") >= o.min_support) & (F.col("support") >= o.min_support) & F.col("sv_len").between(o.min_size, o.max_size))
+    out = rows.groupBy("chr", "orient", "block", "cluster", "inner").agg(F.count(F.lit(1)).alias("_n"), F.bround(F.sum("pos") / F.count(F.lit(1))).cast("bigint").alias("pos"), F.bround(F.sum("pos2") / F.count(F.lit(1))).cast("bigint").alias("pos2"), read_set())
+    out = out.withColumn("support", support()).withColumn("sv_len", F.col("pos2") - F.col("pos")).filter((F.col("_n") >= o.min_support) & (F.col("support") >= o.min_support) & F.col("sv_len").between(o.min_size, o.max_size))
     return out.withColumn("sv_type", F.lit("INV")).withColumn("search_pos", F.col("pos")).drop("_n")
 
 
@@ -126,8 +135,8 @@ def trimmed_break_points(rows: DataFrame, o: CallOptions, keys: tuple[str, ...]
     rows = rows.withColumn("_k", F.row_number().over(w.orderBy("pos", "pos2", "read_id")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     lo, hi = F.floor(F.col("_n") * 4 / 10), F.floor(F.col("_n") * 6 / 10)
     mid = ((F.col("_k") >= lo) & (F.col("_k") < hi)) | ((lo == hi) & (F.col("_k") == lo))
-    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.countDistinct("read_id").alias("support"), F.avg(F.when(mid, F.col("pos"))).cast("bigint").alias("pos"), F.avg(F.when(mid, F.col("pos2"))).cast("bigint").alias("pos2"), F.array_sort(F.collect_set("read_id")).alias("read_ids"))
-    out = out.withColumn("sv_len", F.col("pos2") - F.col("pos")).filter((F.col("_rows") >= o.min_support) & (F.col("support") >= o.min_support) & F.col("sv_len").between(o.min_size, o.max_size))
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.avg(F.when(mid, F.col("pos"))).cast("bigint").alias("pos"), F.avg(F.when(mid, F.col("pos2"))).cast("bigint").alias("pos2"), read_set())
+    out = out.withColumn("support", support()).withColumn("sv_len", F.col("pos2") - F.col("pos")).filter((F.col("_rows") >= o.min_support) & (F.col("support") >= o.min_support) & F.col("sv_len").between(o.min_size, o.max_size))
     return out.withColumn("sv_type", F.lit("DUP")).withColumn("search_pos", F.col("pos")).drop("_rows")
 
 
@@ -142,7 +151,7 @@ def translocation_calls(sigs: DataFrame, o: CallOptions = CallOptions()) -> Data
     """chr, pos, chr2, pos2, orient, alt, support, read_ids: of each cluster its best group by distinct reads, or its best two."""
     keys = ["chr", "chr2", "orient", "block", "cluster"]
     rows = translocation_clusters(sigs.filter("sv_type = 'TRA'"), o)
-    g = distinct_reads(rows, keys).groupBy(*keys, "inner").agg(F.max("_reads").alias("_reads"), F.count(F.lit(1)).alias("_n"), F.countDistinct("read_id").alias("support"), F.avg("pos").cast("bigint").alias("pos"), F.avg("pos2").cast("bigint").alias("pos2"), F.array_sort(F.collect_set("read_id")).alias("read_ids"))
+    g = distinct_reads(rows, keys).groupBy(*keys, "inner").agg(F.max("_reads").alias("_reads"), F.count(F.lit(1)).alias("_n"), F.avg("pos").cast("bigint").alias("pos"), F.avg("pos2").cast("bigint").alias("pos2"), read_set()).withColumn("support", support())
     w = Window.partitionBy(*keys)
     by = w.orderBy(F.desc("support"), "inner")
     g = g.withColumn("_rank", F.row_number().over(by)).withColumn("_rows", F.sum("_n").over(w))

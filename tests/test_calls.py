@@ -109,3 +109,11 @@ def test_letters_are_derived_of_asked_reads_alone(spark, sf_dir):
     calls = spark.createDataFrame([("r1",), (None,)], "q_read string")
     plan = C._asked_reads(spark, sf_dir, calls)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.index("array_join") < plan.index("LeftSemi")
+
+
+def test_cluster_support_needs_no_distinct_count(spark):
+    """Support is the size of the set of reads, so that no set is made for each read and merged."""
+    rows = spark.createDataFrame([("DUP", "c", 100, 900, f"r{i % 11}") for i in range(20)], "sv_type string, chr string, pos long, pos2 long, read_id string")
+    out = K.duplication_calls(rows)
+    assert [(x.support, x.read_ids) for x in out.collect()] == [(11, sorted(f"r{i}" for i in range(11)))]
+    assert "distinct count" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "count(distinct" not in plan
