@@ -135,11 +135,17 @@ def both_sites(spanning: DataFrame, wins: DataFrame) -> DataFrame:
     return got.join(need, "call_id").filter("_got = _need").select("call_id", "read_id")
 
 
-def reference_reads(calls: DataFrame, spanning: DataFrame) -> DataFrame:
-    """call_id, dr: spanning reads that don't support the call."""
-    support = calls.select("call_id", F.explode("read_ids").alias("read_id"))
-    against = spanning.join(support, ["call_id", "read_id"], "left_anti")
-    return against.groupBy("call_id").agg(F.count(F.lit(1)).alias("dr"))
+def reference_reads(calls: DataFrame, found: DataFrame, wins: DataFrame) -> DataFrame:
+    """call_id, dr: how many reads span all sites of a call and don't support it. found: call_id, site (under 63), read_id, a read perhaps more than once.
+
+    Spanning and supporting reads are grouped together by call and read, in one shuffle: neither side is ever a hash table, which the driver would make of the second
+    (its size is guessed from the file of calls, where names take little room)."""
+    support = calls.select("call_id", F.lit(0).alias("site"), F.explode("read_ids").alias("read_id"))
+    both = found.select("call_id", F.col("site").cast("int").alias("site"), "read_id").unionByName(support)
+    got = both.groupBy("call_id", "read_id").agg(F.bit_or(F.expr("shiftleft(1L, site)")).alias("_sites"))
+    spans = got.filter("_sites % 2 = 0").groupBy("call_id", F.bit_count("_sites").alias("_got")).agg(F.count(F.lit(1)).alias("dr"))
+    need = wins.groupBy("call_id").agg(F.count(F.lit(1)).alias("_need"))
+    return spans.join(need, "call_id").filter("_got = _need").select("call_id", "dr")
 
 
 def ref_cap(n: Column) -> Column:
@@ -179,6 +185,6 @@ def genotyped(calls: DataFrame, spans: DataFrame, o: CallOptions = CallOptions()
         caps = calls.select("call_id", ref_cap(F.size("read_ids")).alias("cap"))
         found = sampled_reads(spans, wins.join(caps, "call_id"))
     else:
-        found = spanning_reads(spans, wins, width)
-    out = calls.join(reference_reads(calls, both_sites(found, wins)), "call_id", "left").withColumn("dr", F.coalesce("dr", F.lit(0)).cast("bigint"))
+        found = containing(spans, wins, "chr", width)
+    out = calls.join(reference_reads(calls, found, wins), "call_id", "left").withColumn("dr", F.coalesce("dr", F.lit(0)).cast("bigint"))
     return out.withColumn("_g", likelihoods(F.col("dr"), F.size("read_ids"))).select(*out.columns, "_g.*")

@@ -117,3 +117,13 @@ def test_cluster_support_needs_no_distinct_count(spark):
     out = K.duplication_calls(rows)
     assert [(x.support, x.read_ids) for x in out.collect()] == [(11, sorted(f"r{i}" for i in range(11)))]
     assert "distinct count" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "count(distinct" not in plan
+
+
+def test_support_is_grouped_with_spanning_reads(spark):
+    """A read that spans one of two sites, both, both twice, or both and supports: only those of all sites without support count, and names are never one side's hash table."""
+    calls = spark.createDataFrame([("a", ["r4"]), ("b", ["r1"])], "call_id string, read_ids array<string>")
+    wins = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "call_id string, site int")
+    found = spark.createDataFrame([("a", 1, "r1"), ("a", 1, "r2"), ("a", 2, "r2"), ("a", 2, "r3"), ("a", 2, "r3"), ("a", 1, "r3"), ("a", 1, "r4"), ("a", 2, "r4"), ("b", 1, "r1"), ("b", 1, "r2")], "call_id string, site int, read_id string")
+    out = G.reference_reads(calls, found, wins)
+    assert {(x.call_id, x.dr) for x in out.collect()} == {("a", 2), ("b", 1)}
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
