@@ -81,7 +81,8 @@ def ordered(body: DataFrame) -> DataFrame:
 
 def records(calls: DataFrame, o: CallOptions = CallOptions(), ref: Column | None = None, alt: Column | None = None) -> DataFrame:
     """The ten columns of each call. ref and alt: sequences instead of the symbols, which stand where one is null."""
-    rows = numbered(calls)
+    # names go along only where they are printed
+    rows = numbered(calls if o.report_readid else calls.drop("read_ids"))
     c = {k: F.col(k) for k in rows.columns}
     symbol = F.when(c["sv_type"] == "BND", c["alt"]).otherwise(F.concat(F.lit("<"), c["sv_type"], F.lit(">")))
     return rows.select(

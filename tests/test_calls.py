@@ -127,3 +127,12 @@ def test_support_is_grouped_with_spanning_reads(spark):
     out = G.reference_reads(calls, found, wins)
     assert {(x.call_id, x.dr) for x in out.collect()} == {("a", 2), ("b", 1)}
     assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_leave_names_behind(spark):
+    from ravel.sources import vcf
+
+    row = ("DEL", "c", 5, -50, None, None, None, None, 3, "-1,1", "-1,1", ["r1"], 0, "1/1", "1,2,3", 4, 9.0)
+    calls = spark.createDataFrame([row], "sv_type string, chr string, pos long, sv_len long, chr2 string, pos2 long, orient string, alt string, support long, cipos string, cilen string, read_ids array<string>, dr long, gt string, pl string, gq long, qual double")
+    assert "read_ids" not in vcf.records(calls)._jdf.queryExecution().analyzed().toString()
+    assert "RNAMES=r1" in vcf.records(calls, CallOptions(report_readid=True)).first().INFO
