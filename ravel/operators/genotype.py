@@ -96,12 +96,18 @@ def _probes(of: Column, upto: Column) -> Column:
     return F.aggregate(steps, state, step, lambda a: a["seen"])
 
 
+def _block(rank: str) -> Column:
+    """Blocks of 64 ranks: about as many as a sample has, so it touches one or two."""
+    return F.expr(f"({rank}) div 64")
+
+
 def sampled_reads(spans: DataFrame, wins: DataFrame) -> DataFrame:
     """call_id, site, read_id: reads that span a window, of a sample by position. wins: call_id, site, chr, win_start, win_end, cap.
 
     A search by halves over the contig's spans in order of start finds one that overlaps the window; of the cap / 2 spans before it and the cap / 2
     from it on (the contig's very last is left out), those that begin by the window's end are looked at. All that the search can look at follows from how many spans
-    begin by the window's end, so its ranks are joined at once; so are those of the sample. No contig is one task, whatever its depth."""
+    begin by the window's end, so its ranks are joined at once, but for those beyond that number, which begin too late; the sample is joined as the few blocks of ranks that it
+    touches. No contig is one task, whatever its depth."""
     table = materialise(ranked_spans(spans), "ranked")
     keys = ["call_id", "site"]
     # how many spans begin by each window's end: the rank of the window among the starts, without the windows before it
@@ -110,14 +116,21 @@ def sampled_reads(spans: DataFrame, wins: DataFrame) -> DataFrame:
     upto = ranks(both, ["chr"], ["pos", "kind", "call_id", "site"], "before", F.col("kind") == 0).filter("kind = 1").select("call_id", "site", "chr", "before")
     w = wins.select(F.col("call_id").cast("string").alias("call_id"), F.col("site").cast("int").alias("site"), "chr", "win_start", "win_end", "cap").join(upto, [*keys, "chr"])
     w = materialise(w.join(table.groupBy("chr").agg(F.first("of").alias("of")), "chr"), "windows")
-    looks = w.select(*keys, "chr", "win_start", "win_end", F.posexplode(_probes(F.col("of"), F.col("before"))).alias("k", "rank"))
+    # places of the search stay numbered as they are looked at
+    looks = w.select(*keys, "chr", "win_start", "win_end", "before", F.posexplode(_probes(F.col("of"), F.col("before"))).alias("k", "rank")).filter("rank < before").drop("before")
     hit = looks.join(table, ["chr", "rank"]).filter((F.col("start") <= F.col("win_end")) & (F.col("end") >= F.col("win_start")))
     mid = hit.groupBy(*keys).agg(F.min_by("rank", "k").alias("mid"))
     half = F.expr("cap div 2")
     lo = F.greatest(F.col("mid") - half, F.lit(0))
     hi = F.least(F.when(F.col("mid") + half >= F.col("of"), F.col("of") - 1).otherwise(F.col("mid") + half), F.col("before"))
-    at = w.join(mid, keys).withColumn("lo", lo).withColumn("hi", hi).filter("lo < hi").select(*keys, "chr", "win_start", "win_end", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("rank"))
-    got = at.join(table, ["chr", "rank"]).filter((F.col("start") < F.col("win_start")) & (F.col("end") > F.col("win_end")))
+    at = w.join(mid, keys).withColumn("lo", lo).withColumn("hi", hi).filter("lo < hi")
+    at = at.select(*keys, "chr", "win_start", "win_end", "lo", "hi", F.explode(F.sequence(_block("lo"), _block("hi - 1"))).alias("block"))
+    blocks = table.groupBy("chr", _block("rank").alias("block")).agg(F.collect_list(F.struct("rank", "start", "end", "read_id")).alias("rows"))
+
+    def fits(x: Column) -> Column:
+        return (x["rank"] >= F.col("lo")) & (x["rank"] < F.col("hi")) & (x["start"] < F.col("win_start")) & (x["end"] > F.col("win_end"))
+
+    got = at.join(blocks, ["chr", "block"]).select(*keys, F.explode(F.filter("rows", fits)).alias("x")).select(*keys, "x.read_id")
     return got.select(*keys, "read_id").distinct()
 
 

@@ -136,3 +136,12 @@ def test_records_leave_names_behind(spark):
     calls = spark.createDataFrame([row], "sv_type string, chr string, pos long, sv_len long, chr2 string, pos2 long, orient string, alt string, support long, cipos string, cilen string, read_ids array<string>, dr long, gt string, pl string, gq long, qual double")
     assert "read_ids" not in vcf.records(calls)._jdf.queryExecution().analyzed().toString()
     assert "RNAMES=r1" in vcf.records(calls, CallOptions(report_readid=True)).first().INFO
+
+
+def test_samples_are_joined_as_blocks(spark):
+    """A sample over the border of two blocks is whole, and the join has a row a block, not a row a rank."""
+    spans = spark.createDataFrame([("c", i, 10_000, f"r{i}") for i in range(200)], SPANS)
+    wins = spark.createDataFrame([("a", 1, "c", 500, 600, 60)], "call_id string, site int, chr string, win_start long, win_end long, cap long")
+    out = G.sampled_reads(spans, wins)
+    assert {x.read_id for x in out.collect()} == {f"r{i}" for i in range(99 - 30, 99 + 30)}
+    assert "AS block" in out._jdf.queryExecution().analyzed().toString()
