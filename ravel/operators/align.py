@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ravel.functions.dna import clean_runs, kmer_code, kmers_of, reverse_complement
 from ravel.operators.blocks import extend_blocks
+from ravel.operators.extension import asked
 from ravel.operators.islands import islands
 from ravel.operators.seeding import seed_walk
 from ravel.operators.streams import by_key
@@ -28,7 +29,9 @@ from ravel.schema import AlignOptions
 def eligible_reads(reads: DataFrame, o: AlignOptions = AlignOptions()) -> DataFrame:
     """Reads of at least min_read_len letters with a run without N longer than k; usable: the letters of such runs."""
     runs = clean_runs(F.col("seq"), o.k)
-    usable = F.aggregate(runs, F.lit(0), lambda a, x: a + F.length(x))
+    n = F.length("seq")
+    # nearly all reads are one run, which needs no copy
+    usable = F.when(F.col("seq").contains("N") | F.col("seq").contains("n"), F.aggregate(runs, F.lit(0), lambda a, x: a + F.length(x))).otherwise(F.when(n >= o.k, n).otherwise(0))
     return reads.withColumn("usable", usable.cast("bigint")).filter((F.length("seq") >= o.min_read_len) & (F.col("usable") > o.k))
 
 
@@ -263,15 +266,17 @@ def align(reads: DataFrame, reference: DataFrame, o: AlignOptions = AlignOptions
     """Skeleton segments of reads (read_id, seq) on reference (chr, seq; with at its pieces, as sources.sequences.read_reference gives them). index: a stored one (sources/index_store.py), else it is made for this run."""
     o = o.clamped()
     reads = eligible_reads(reads.select("read_id", F.left("seq", F.lit(o.max_read_len)).alias("seq")), o).select("read_id", F.upper("seq").alias("seq"), F.length("seq").cast("bigint").alias("read_len"))
+    # written: seeds, both extensions and the lengths read them
+    reads = materialise(reads, "reads")
     both = reads.withColumn("strand", F.lit("+")).unionByName(reads.withColumn("seq", reverse_complement(F.col("seq"))).withColumn("strand", F.lit("-")))
     reference = reference.select(*(F.upper("seq").alias(c) if c == "seq" else c for c in ("chr", "at", "seq") if c in reference.columns))
     genome = float(reference.agg(F.sum(F.length("seq"))).first()[0] or 1)
     if index is None:
-        index = lookup_table(reference, max(22, o.k), o.k, o.max_unipath, o.max_copies).withColumn("kmer", kmer_code(F.col("kmer")))
+        index = materialise(lookup_table(reference, max(22, o.k), o.k, o.max_unipath, o.max_copies).withColumn("kmer", kmer_code(F.col("kmer"))), "index")
     anchors = seed_walk(both, index, reference, genome, o)
     chains = materialise(chain_top_n(anchors, o), "chains")
     best = strand_select(chains.groupBy("read_id", "strand").agg(F.max("score").alias("score")), o).select("read_id", "strand", "primary")
-    segments = merge_segments(extend_blocks(merge_segments(chains, o), both, reference, o), o)
+    segments = merge_segments(extend_blocks(merge_segments(chains, o), asked(both, chains, ["read_id", "strand"]), reference, o), o)
     segments = clamp_to_contig(segments, reference.groupBy("chr").agg(F.sum(F.length("seq")).alias("length"))).join(best, ["read_id", "strand"]).join(reads.select("read_id", "read_len"), "read_id")
     kept = overlap_suppress(forward_coordinates(segments)).join(reads.select("read_id", "read_len"), "read_id")
     return interleave(kept)

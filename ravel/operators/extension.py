@@ -105,6 +105,11 @@ def tiles(reference: DataFrame, core: int, margin: int) -> DataFrame:
     return out.filter(F.col("at") + F.length("seq") > F.col("tile") * core)
 
 
+def asked(reads: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """reads without those that rows have not, so that the letters of the others are neither turned nor shuffled."""
+    return reads.join(rows.select(*keys).distinct(), keys, "left_semi")
+
+
 def windows_around(anchors: DataFrame, reads: DataFrame, pieces: DataFrame, keys: list[str], width: int, core: int) -> DataFrame:
     """anchors with the letters around them: p_l, p_r of the read, q_l, q_r of the reference, `width` at most, and whether a read has more (more_l, more_r). Sequences
     are cut in the join, so nothing longer goes on."""

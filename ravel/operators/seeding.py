@@ -5,26 +5,35 @@ has had as many seeds with anchors as its cap, or at its own end, and the next z
 inside what is already covered is passed over: it is not looked up and does not count. An anchor's left end may not go back over what is covered.
 
 On Spark: every place a walk could come to lies on a grid (20 and multiples of the strides' common divisor behind it), so the k-mers of the grid are joined with
-the index once. Hits of one diagonal that overlap are one match; its reach tables (extension.py) answer how far an anchor goes under the limits that the
+the index once; a bit filter of the index, of fixed size, leaves most of them behind in the task that cuts them. Hits of one diagonal that overlap are one match; its reach tables (extension.py) answer how far an anchor goes under the limits that the
 walk meets. The walk itself is then whole numbers over one read's rows, in an Arrow stream sorted by read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravel.functions.dna import kmer_code
-from ravel.operators.extension import furthest, reach_tables
+from ravel.operators.extension import asked, furthest, letters, reach_tables
 from ravel.operators.islands import islands
 from ravel.operators.streams import by_key
+from ravel.plans.tables import materialise
 from ravel.schema import AlignOptions
 
 #: Fixed values of the walk: the first offset, the letters of head and tail, their stride and cap, and how long a run with head and tail is at least.
 FIRST, ENDS, ENDS_STRIDE, ENDS_CAP, LONG = 20, 100, 10, 3, 300
+#: The filter has 2 ** BITS bits, whatever the size of the index; above this share of set ones it isn't used.
+BITS, FULL = 25, 0.5
+#: Two bits a base by code point (others: -1), and letters that are looked at together.
+_BASE = np.full(128, -1, np.int64)
+_BASE[[65, 67, 71, 84]] = range(4)
+_SLICE = 1 << 20
 
 
 def zones(n: int, o: AlignOptions) -> list[tuple[int, int, int]]:
@@ -46,11 +55,83 @@ def read_runs(reads: DataFrame, k: int, clean: bool) -> DataFrame:
     return rows.select(*keys, at.cast("bigint").alias("run_at"), F.length("run").cast("bigint").alias("run_len"), "run").filter((F.col("run_len") >= k) & ~F.col("run").startswith("N"))
 
 
-def grid_seeds(reads: DataFrame, o: AlignOptions, clean: bool = True) -> DataFrame:
-    """The k-mers at every place that a walk could come to: the keys of read_runs, pos (from 1 in the read), kmer (with clean two bits a base, as a long)."""
+def _slots(code: np.ndarray) -> np.ndarray:
+    return (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+
+
+def _has(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
+    at = _slots(code)
+    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def index_bits(index: DataFrame) -> np.ndarray | None:
+    """Which slots of the filter the k-mers (longs) of index have; None if they are too many for it to tell. What comes to the driver is bounded by the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << BITS, bool)
+        for b in batches:
+            bits[_slots(b.column(0).to_numpy(zero_copy_only=False))] = True
+        words = np.packbits(bits, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["word", "bits"])
+
+    got = index.select("kmer").filter("kmer is not null").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << BITS - 6, np.int64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy()
+    bits = words.view(np.uint8)
+    return bits if np.unpackbits(bits).mean() <= FULL else None
+
+
+def _cut_seeds(texts: list[str | None], k: int, every: int) -> tuple[np.ndarray, ...]:
+    """Of the places that a walk could come to in the runs of texts: the text's number, run_at, run_len, pos (from 1 in the text), and the k-mer's code."""
+    flat, at = letters(texts)
+    base = np.where(flat < 128, _BASE[np.minimum(flat, 127)], -1)
+    inside = flat != ord("N")
+    full = np.flatnonzero(np.diff(at))
+    opens, closes = np.ones(len(flat), bool), np.ones(len(flat), bool)
+    opens[1:], closes[:-1] = ~inside[:-1], ~inside[1:]
+    opens[at[full]], closes[at[full + 1] - 1] = True, True
+    start, end = np.flatnonzero(inside & opens), np.flatnonzero(inside & closes) + 1
+    # a seed must end before the last letter of its zone, so also of its run
+    count = np.maximum(-((FIRST + k - (end - start)) // every), 0)
+    run = np.repeat(np.arange(len(start)), count)
+    place = start[run] + FIRST + every * (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count))
+    code, good = np.zeros(len(run), np.int64), np.ones(len(run), bool)
+    for i in range(k):
+        b = base[place + i]
+        good &= b >= 0
+        code = code << 2 | b & 3
+    run, place, code = run[good], place[good], code[good]
+    text = np.searchsorted(at, place, "right") - 1
+    return text, start[run] - at[text], (end - start)[run], place - at[text] + 1, code
+
+
+def grid_seeds(reads: DataFrame, o: AlignOptions, clean: bool = True, bits: Broadcast | None = None) -> DataFrame:
+    """The k-mers at every place that a walk could come to: the keys of read_runs, pos (from 1 in the read), kmer (with clean two bits a base, as a long). bits: with clean, the
+    filter of the index, which k-mers that it has not are left out by."""
+    every = math.gcd(ENDS_STRIDE, max(5, o.seed_step))
+    if clean:
+        keys, k = [c for c in ("read_id", "strand") if c in reads.columns], o.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b.column("seq").to_pylist()
+                ends = np.cumsum([len(t or "") for t in texts])
+                lo = 0
+                while lo < len(texts):
+                    hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _SLICE, "right")))
+                    text, *cols = _cut_seeds(texts[lo:hi], k, every)
+                    if bits is not None:
+                        some = _has(bits.value, cols[-1])
+                        text, cols = text[some], [c[some] for c in cols]
+                    if len(text):
+                        of = pa.array(text + lo)
+                        yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in keys), *(pa.array(c.astype(np.int64)) for c in cols)], names=[*keys, "run_at", "run_len", "pos", "kmer"])
+                    lo = hi
+
+        return reads.select(*keys, F.upper("seq").alias("seq")).mapInArrow(run, "".join(f"{c} string, " for c in keys) + "run_at long, run_len long, pos long, kmer long")
     runs = read_runs(reads, o.k, clean)
     keys = [c for c in runs.columns if c != "run"]
-    every = math.gcd(ENDS_STRIDE, max(5, o.seed_step))
     # k-mers are cut from short pieces, as the cost of a substring grows with its place in a text
     width = 1000 // every * every
     n = F.col("run_len") - FIRST
@@ -59,8 +140,7 @@ def grid_seeds(reads: DataFrame, o: AlignOptions, clean: bool = True) -> DataFra
     # a seed must end before the last letter of its zone, so also of its run
     count = F.floor((F.least(F.length("piece") - o.k, F.lit(width)) - 1) / every)
     made = F.when(count >= 0, F.transform(F.sequence(F.lit(0), count.cast("int")), lambda i: F.struct((F.col("run_at") + F.col("j") * width + FIRST + i * every + 1).cast("bigint").alias("pos"), F.substring(F.col("piece"), i * every + 1, F.lit(o.k)).alias("kmer"))))
-    rows = rows.select(*keys, F.explode(made).alias("s")).select(*keys, "s.pos", "s.kmer")
-    return rows.withColumn("kmer", kmer_code(F.col("kmer"))).filter("kmer is not null") if clean else rows
+    return rows.select(*keys, F.explode(made).alias("s")).select(*keys, "s.pos", "s.kmer")
 
 
 def matches(seeds: DataFrame, index: DataFrame, k: int) -> DataFrame:
@@ -142,7 +222,13 @@ def seed_walk(reads: DataFrame, index: DataFrame, reference: DataFrame, genome:
     """The anchors of reads (read_id, strand, seq) that the walk finds: read_id, strand, chr, seed, rd_l, rd_r, rf_l, rf_r (from 1), edits, score. index: kmer, chr, pos
     of what may be looked up; genome: the letters of the reference."""
     keys = ["read_id", "strand"]
-    found = matches(grid_seeds(reads, o, clean), index, o.k)
+    bits = None
+    if clean:
+        some = index_bits(index)
+        bits = None if some is None else reads.sparkSession.sparkContext.broadcast(some)
+    # written: the reads that have matches are picked by them, then cut around them
+    found = materialise(matches(grid_seeds(reads, o, clean, bits), index, o.k), "matches")
+    reads = asked(reads, found, keys)
     rows = reach_tables(found, reads, reference, keys, o.edit_dis, o.extend_mx, bases=clean)
 
     def work(g: dict[str, np.ndarray]) -> dict[str, list]:

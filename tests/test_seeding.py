@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -204,3 +205,26 @@ def test_a_read_has_max_seeds_anchors_at_most(spark):
     df = spark.createDataFrame([(n, "+", s) for n, s in reads.items()], "read_id string, strand string, seq string")
     rows = S.seed_walk(df, index, reference, 1e4, o).groupBy("read_id").count().collect()
     assert max(r["count"] for r in rows) == 4
+
+
+@pytest.mark.parametrize("o", [AlignOptions(k=14), AlignOptions(k=11, seed_step=7)])
+def test_grid_seeds_are_cut_once_and_left_behind_by_the_index(spark, monkeypatch, o):
+    """The places and codes of grid seeds equal those of a plain loop, whatever the slices; a filter of the index leaves out most others and none of its own, and no k-mer is a row before it."""
+    monkeypatch.setattr(S, "_SLICE", 700)
+    texts = [genome(900, 5), "", None, "N" * 40, "N" + genome(300, 6) + "NN" + genome(60, 7) + "R" + genome(80, 8), genome(35, 9).lower(), "A" * 34 + "N"]
+    df = spark.createDataFrame([(f"r{i}", "+", t) for i, t in enumerate(texts)], "read_id string, strand string, seq string").coalesce(1)
+    every, want = math.gcd(10, o.seed_step), set()
+    for i, t in enumerate(texts):
+        for m in re.finditer("[^N]+", (t or "").upper()):
+            for j in range(20, len(m[0]) - o.k, every):
+                if not set(kmer := m[0][j : j + o.k]) - set("ACGT"):
+                    want.add((f"r{i}", m.start(), len(m[0]), m.start() + j + 1, sum("ACGT".index(c) << 2 * (o.k - 1 - x) for x, c in enumerate(kmer))))
+    cols = ["read_id", "run_at", "run_len", "pos", "kmer"]
+    got = [tuple(r) for r in S.grid_seeds(df, o).select(*cols).collect()]
+    assert len(got) == len(want) and set(got) == want
+    own = sorted({x[-1] for x in want})[::9]
+    bits = S.index_bits(spark.createDataFrame([(x, "c", 1) for x in own], "kmer long, chr string, pos long"))
+    left = {tuple(r) for r in S.grid_seeds(df, o, bits=spark.sparkContext.broadcast(bits)).select(*cols).collect()}
+    assert {x for x in want if x[-1] in own} <= left <= want and len(left) < len(want) / 4
+    monkeypatch.setattr(S, "FULL", 0)
+    assert S.index_bits(spark.createDataFrame([(5, "c", 1)], "kmer long, chr string, pos long")) is None
