@@ -293,10 +293,12 @@ def second_pairs(members: DataFrame, known: DataFrame, o: HyperOptions, turn: in
     """Pairs for star_links: in large buckets with several components the members outside the largest, and some members of that by a hash of the turn."""
     rows = _labelled(members, known)
     large = cut(_mixed(rows, F.lit(1)).filter(F.col("all") > o.block).select("key", "most", F.col("all").cast("long").alias("m")), "mixed")
-    rows = rows.join(large, "key")
-    pick = Window.partitionBy("key").orderBy(F.xxhash64("d1", "key", F.lit(turn)), "d1", "d2")
-    leaders = rows.filter("root = most").withColumn("k", F.row_number().over(pick)).filter(F.col("k") <= o.leaders).select("key", F.col("d1").alias("a1"), F.col("d2").alias("a2"))
-    pairs = rows.filter("root <> most").join(leaders, "key").groupBy("a1", "a2", "d1", "d2").agg(F.max("m").alias("m"))
+    # of the largest component only the members picked go on, so neither join makes a row of its others
+    rows = rows.filter(marked_by(bits_of(large.select("key"), "key"), F.col("key"), members.sparkSession))
+    pick = Window.partitionBy("key", "root").orderBy(F.xxhash64("d1", "key", F.lit(turn)), "d1", "d2")
+    leaders = rows.withColumn("k", F.row_number().over(pick)).filter(F.col("k") <= o.leaders).join(large.select("key", F.col("most").alias("root")), ["key", "root"]).select("key", F.col("d1").alias("a1"), F.col("d2").alias("a2"))
+    others = rows.alias("r").join(large.alias("l"), (F.col("r.key") == F.col("l.key")) & (F.col("r.root") != F.col("l.most"))).select("r.key", "r.d1", "r.d2", "l.m")
+    pairs = others.join(leaders, "key").groupBy("a1", "a2", "d1", "d2").agg(F.max("m").alias("m"))
     # a digest lies in as many buckets as bands at most
     mine = Window.partitionBy("d1", "d2").orderBy(F.xxhash64("a1", F.lit(turn)), "a1", "a2")
     return pairs.withColumn("k", F.row_number().over(mine)).filter(F.col("k") <= 2 * o.leaders).drop("k")

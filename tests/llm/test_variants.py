@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ravel.llm import collocations as C
 from ravel.llm import hyper_minhash as H
@@ -289,3 +290,15 @@ def test_two_sets_at_the_threshold_share_a_band():
         more = [np.concatenate([b, rng.integers(0, 1 << 63, only, dtype=np.uint64)]) for b in both]
         x, y = (H.band_keys(H.registers(list(s), o), o) for s in (both, more))
         assert (x == y).any(1).all()
+
+
+def test_second_pairs_leave_the_largest_component_behind(spark):
+    """In a bucket of 40 with a component of 36, the other 4 meet its 3 members of least hash; the join that finds the others makes 4 rows, not 40."""
+    o = H.HyperOptions(block=8)
+    members = spark.createDataFrame([(k, i, i + 1, f"{i:03}") for k in (5, 9) for i in range(40 if k == 5 else 6)], "key long, d1 long, d2 long, node string")
+    known = spark.createDataFrame([(f"{i:03}", "000") for i in range(36)], "node string, root string")
+    pairs = H.second_pairs(members, known, o, 1)
+    want = [r.d1 for r in members.filter("key = 5 and d1 < 36").orderBy(F.xxhash64("d1", "key", F.lit(1))).limit(3).collect()]
+    assert sorted((r.a1, r.a2, r.d1, r.d2, r.m) for r in pairs.collect()) == sorted((a, a + 1, d, d + 1, 40) for a in want for d in range(36, 40))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in x and "NOT (root" in x for x in plan.splitlines())
