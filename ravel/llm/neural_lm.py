@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,10 @@ END = np.uint64(0x6A09E667F3BCC909)
 _HELD = 2_000_000
 #: Tokens scored together; the scores of a block of them are made some rows at a time.
 _BLOCK = 1 << 16
+#: Tokens of a class in one product when training.
+_PIECE = 32
+#: Leading bits of a hash that a search begins with.
+_LEADING = 19
 
 
 def tokens(s: X.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +135,11 @@ class Vocabulary:
         """Without the rare one, which comes after them."""
         return len(self.begin) - 1
 
+    @cached_property
+    def first(self) -> np.ndarray:
+        """How many hot words are less than each multiple of 2 ** (64 - _LEADING): where a search for a hash begins."""
+        return np.searchsorted(self.h, np.arange(1 << _LEADING, dtype=np.uint64) << np.uint64(64 - _LEADING)).astype(np.int32)
+
     def class_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.classes), np.diff(self.begin)).astype(np.int32)
 
@@ -167,8 +177,15 @@ def look_up(v: Vocabulary, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position of each token among the hot words, and whether it is one."""
     if not len(v.h):
         return np.zeros(len(t), np.int64), np.zeros(len(t), bool)
-    at = np.minimum(np.searchsorted(v.h, t), len(v.h) - 1)
-    return at, v.h[at] == t
+    at = np.minimum(v.first.take((t >> np.uint64(64 - _LEADING)).astype(np.int32)), len(v.h) - 1)
+    found = v.h.take(at)
+    # hashes are even, so few share their leading bits: a step at a time for those that are not there yet
+    left = np.flatnonzero((found < t) & (at < len(v.h) - 1))
+    while len(left):
+        at[left] += 1
+        found[left] = v.h.take(at[left])
+        left = left[(found[left] < t[left]) & (at[left] < len(v.h) - 1)]
+    return at, found == t
 
 
 def numbers(v: Vocabulary, t: np.ndarray, before: np.ndarray, o: LmOptions) -> tuple[np.ndarray, ...]:
@@ -208,12 +225,12 @@ def class_mass(v: Vocabulary) -> np.ndarray:
     return total / total.sum()
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    out = np.clip(x, -30, 30)
-    np.negative(out, out=out)
-    np.exp(out, out=out)
-    out += 1
-    return np.reciprocal(out, out=out)
+def sigmoid(minus: np.ndarray, scale: float = 1.0) -> np.ndarray:
+    """scale / (1 + exp(minus)) in place: of scores of the other sign."""
+    with np.errstate(over="ignore"):  # then it is 0
+        np.exp(minus, out=minus)
+    minus += 1
+    return np.divide(np.float32(scale), minus, out=minus)
 
 
 def sorted_order(x: np.ndarray, size: int) -> np.ndarray:
@@ -221,24 +238,36 @@ def sorted_order(x: np.ndarray, size: int) -> np.ndarray:
     return np.argsort(x.astype(np.uint16) if size <= 1 << 16 else x, kind="stable")
 
 
-def sums_by_row(grad: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of grad over each distinct row, and the distinct rows in order. Long runs are summed each, the others by their first, second, ... members at once."""
-    order = sorted_order(rows, size)
-    rows = rows.take(order)
-    at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    length = np.diff(np.append(at, len(rows)))
-    out = grad.take(order.take(at), axis=0)
-    left = np.flatnonzero(length > 1)
-    long = left[length[left] > 8]
-    left = left[length[left] <= 8]
-    for j in range(1, 8):
-        out[left] += grad.take(order.take(at[left] + j), axis=0)
-        left = left[length[left] > j + 1]
-        if not len(left):
-            break
-    for i, x, y in zip(long.tolist(), at[long].tolist(), (at[long] + length[long]).tolist()):
-        out[i] = grad.take(order[x:y], axis=0).sum(0)
-    return out, rows.take(at)
+class Rows:
+    """Rows of a table in groups of equal ones, for sums over them. at: the distinct ones, those of long groups (over 8) first, then by falling length."""
+
+    def __init__(self, rows: np.ndarray, size: int):
+        self.order = sorted_order(rows, size)
+        rows = rows.take(self.order)
+        begin = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        length = np.diff(np.append(begin, len(rows)))
+        falling = sorted_order(9 - np.minimum(length, 9), 9)
+        self.begin, self.length = begin.take(falling), length.take(falling)
+        self.at = rows.take(self.begin)
+        #: how many groups have more than j members
+        self.more = np.cumsum(np.bincount(np.minimum(length, 9), minlength=10)[::-1])[::-1][1:].tolist()
+
+    def sums(self, grad: np.ndarray) -> np.ndarray:
+        """The sum of grad over each group. Long ones are summed each, the others by their first, second, ... members at once."""
+        order, begin, long = self.order, self.begin, self.more[8]
+        out = grad.take(order.take(begin), axis=0)
+        for j in range(1, 8):
+            n = self.more[j]
+            if n == long:
+                break
+            out[long:n] += grad.take(order.take(begin[long:n] + j), axis=0)
+        if long:
+            length = self.length[:long]
+            rows = grad.take(order.take(X.runs_gather(begin[:long], length)), axis=0)
+            ends = np.cumsum(length)
+            for i, (x, y) in enumerate(zip((ends - length).tolist(), ends.tolist())):
+                np.add.reduce(rows[x:y], 0, out=out[i : i + 1] if rows.ndim == 1 else out[i], keepdims=rows.ndim == 1)
+        return out
 
 
 #: Parameters with a row for each word: context vectors, target vectors, biases.
@@ -267,13 +296,13 @@ class Trainer:
         self.seen = 0
         self.met = [np.zeros(len(self.p[i]), np.int64) for i in _BY_WORD]
 
-    def _step(self, i: int, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
+    def _step(self, i: int, grad: np.ndarray, rows: Rows | None = None) -> None:
         rate = self.o.bias_rate if self.p[i].ndim == 1 else self.o.rate
         if rows is None:
             self.g2[i] += grad * grad
             self.p[i] -= rate * grad / np.sqrt(self.g2[i])
             return
-        grad, rows = sums_by_row(grad, rows, len(self.p[i]))
+        grad, rows = rows.sums(grad), rows.at
         g2 = self.g2[i].take(rows, axis=0)
         g2 += grad * grad
         self.g2[i][rows] = g2
@@ -295,14 +324,12 @@ class Trainer:
         h = x1 @ c1
         h += x2 @ c2
         # classes
-        scale = np.float32(o.noise_per_token / o.noise)
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(o.noise)), k)
         uc, un = u.take(cls, axis=0), u[noise]
-        dp = sigmoid(np.einsum("ij,ij->i", h, uc) + (a - self.log_kp)[cls]) - np.float32(1)
-        dn = h @ un.T
-        dn += a[noise] - self.log_kp[noise]
-        dn = sigmoid(dn)
-        dn *= scale
+        dp = sigmoid((self.log_kp - a)[cls] - np.einsum("ij,ij->i", h, uc)) - np.float32(1)
+        dn = h @ -un.T
+        dn += self.log_kp[noise] - a[noise]
+        dn = sigmoid(dn, o.noise_per_token / o.noise)
         dh = dn @ un
         uc *= dp[:, None]
         dh += uc
@@ -321,29 +348,35 @@ class Trainer:
             drawn = np.minimum(drawn, self.v.begin[have + 1, None] - 1)
             tokens = X.runs_gather(begins, ends - begins)
             q_drawn, known, hk = q.take(drawn, axis=0), w[tokens], h.take(tokens, axis=0)
-            stop = np.cumsum(ends - begins)
-            spans = [slice(x, y) for x, y in zip((stop - (ends - begins)).tolist(), stop.tolist())]
-            d = np.repeat(b[drawn] - self.word_kp[drawn], ends - begins, axis=0)
-            for i, span in enumerate(spans):
-                d[span] += hk[span] @ q_drawn[i].T
-            d = sigmoid(d)
-            d *= np.float32(o.noise_per_token / o.word_noise)
+            # a class's tokens are cut into pieces of _PIECE, filled up with zeros, so that one product takes all pieces
+            count = ends - begins
+            pieces = -(-count // _PIECE)
+            piece_of = np.repeat(np.cumsum(pieces) - pieces, count) * _PIECE + X.runs_gather(np.zeros_like(count), count)
+            which = np.repeat(np.arange(len(have)), pieces)
+            drawn, q_drawn = drawn[which], q_drawn[which]
+            filled = np.zeros((len(which) * _PIECE, o.dims), np.float32)
+            filled[piece_of] = hk
+            filled = filled.reshape(-1, _PIECE, o.dims)
+            d = np.matmul(filled, -q_drawn.transpose(0, 2, 1))
+            d += (self.word_kp[drawn] - b[drawn])[:, None, :]
+            d = sigmoid(d, o.noise_per_token / o.word_noise)
+            there = np.zeros(len(which) * _PIECE, np.float32)
+            there[piece_of] = 1
+            d *= there.reshape(-1, _PIECE, 1)
             qw = q.take(known, axis=0)
-            dw = sigmoid(np.einsum("ij,ij->i", hk, qw) + (b - self.word_kp)[known]) - np.float32(1)
+            dw = sigmoid((self.word_kp - b)[known] - np.einsum("ij,ij->i", hk, qw)) - np.float32(1)
             qw *= dw[:, None]
+            qw += np.matmul(d, q_drawn).reshape(-1, o.dims).take(piece_of, axis=0)
             grads = np.empty((len(known) + drawn.size, o.dims), np.float32)
-            noise_grads = grads[len(known) :].reshape(len(have), o.word_noise, o.dims)
-            for i, span in enumerate(spans):
-                qw[span] += d[span] @ q_drawn[i]
-                np.matmul(d[span].T, hk[span], out=noise_grads[i])
-            dh[tokens] = dh.take(tokens, axis=0) + qw
             np.multiply(hk, dw[:, None], out=grads[: len(known)])
-            rows = np.concatenate([known, drawn.ravel()])
+            np.matmul(d.transpose(0, 2, 1), filled, out=grads[len(known) :].reshape(len(which), o.word_noise, o.dims))
+            dh[tokens] = dh.take(tokens, axis=0) + qw
+            rows = Rows(np.concatenate([known, drawn.ravel()]), len(q))
             self._step(3, grads, rows)
-            self._step(4, np.concatenate([dw, np.add.reduceat(d, stop - (ends - begins), axis=0).ravel()]), rows)
+            self._step(4, np.concatenate([dw, d.sum(1).ravel()]), rows)
         self._step(5, gu)
         self._step(6, ga)
-        self._step(0, np.concatenate([dh @ c1.T, dh @ c2.T]), both)
+        self._step(0, np.concatenate([dh @ c1.T, dh @ c2.T]), Rows(both, len(r)))
         self._step(1, x1.T @ dh)
         self._step(2, x2.T @ dh)
         self.met[0] += np.bincount(both, minlength=len(r))
@@ -424,6 +457,10 @@ class Scorer:
     u: np.ndarray
     a: np.ndarray
 
+    def __post_init__(self) -> None:
+        # biases as one more column
+        self.u1, self.q1 = (np.concatenate([m, bias[:, None]], 1) for m, bias in ((self.u, self.a), (self.q, self.b)))
+
     def log_probability(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Natural logarithms of P(w | one, two); for rare tokens (w = -1) of P(rare | one, two)."""
         k, begin = self.v.classes, self.v.begin
@@ -433,36 +470,37 @@ class Scorer:
         out = np.empty(len(w))
         for lo in range(0, len(w), _BLOCK):  # so that the scores of a block stay small
             i = order[lo : lo + _BLOCK]
-            h, c = self.r1.take(one[i], axis=0), cls[lo : lo + _BLOCK]
-            h += self.r2.take(two[i], axis=0)
-            lp = _log_softmax(h, self.u, self.a, c)
+            h, c = np.ones((len(i), self.u1.shape[1]), np.float32), cls[lo : lo + _BLOCK]
+            np.add(self.r1.take(one[i], axis=0), self.r2.take(two[i], axis=0), out=h[:, :-1])
+            lp = _log_softmax(h, self.u1, c)
             at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])).tolist()
             for x, y in zip(at, [*at[1:], len(c)]):
                 g = int(c[x])
                 if g < k and begin[g + 1] - begin[g] > 1:
-                    words = slice(begin[g], begin[g + 1])
-                    lp[x:y] += _log_softmax(h[x:y], self.q[words], self.b[words], own[lo + x : lo + y] - begin[g])
+                    lp[x:y] += _log_softmax(h[x:y], self.q1[begin[g] : begin[g + 1]], own[lo + x : lo + y] - begin[g])
             out[i] = lp
         return out
 
 
-def _log_softmax(h: np.ndarray, m: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log of the normalised scores h . m + bias at one place in each row, some rows at a time."""
-    out = np.empty(len(h))
+def _log_softmax(h: np.ndarray, m: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the normalised scores h . m at one place in each row, some rows at a time. The last columns are one (h) and the bias (m)."""
+    own = np.einsum("ij,ij->i", h, m.take(at, axis=0)).astype(np.float64)
     # a bound on all scores: where it is small nothing need be taken off before exp
-    most = np.sqrt((h * h).sum(1).max() * (m * m).sum(1).max()) + np.abs(bias).max()
-    rows = max(64, (1 << 18) // len(m))
+    x, y = h[:, :-1], m[:, :-1]
+    most = np.sqrt(np.einsum("ij,ij->i", x, x).max() * np.einsum("ij,ij->i", y, y).max()) + np.abs(m[:, -1]).max()
+    total = np.empty(len(h), np.float32)
+    ones = np.ones(len(m), np.float32)
+    rows = max(64, (1 << 17) // len(m))
+    held = np.empty((min(rows, len(h)), len(m)), np.float32)
     for lo in range(0, len(h), rows):
-        s = h[lo : lo + rows] @ m.T
-        s += bias
-        own = s[np.arange(len(s)), at[lo : lo + rows]].astype(np.float64)
+        s = np.matmul(h[lo : lo + rows], m.T, out=held[: len(h) - lo])
         if most > 60:
             top = s.max(1)
             s -= top[:, None]
-            own -= top
+            own[lo : lo + rows] -= top
         np.exp(s, out=s)
-        out[lo : lo + rows] = own - np.log(s.sum(1).astype(np.float64))
-    return out
+        np.matmul(s, ones, out=total[lo : lo + rows])
+    return own - np.log(total.astype(np.float64))
 
 
 def scorer(v: Vocabulary, p: list[np.ndarray]) -> Scorer:

@@ -327,3 +327,31 @@ def test_passes_of_the_quality_network_do_not_depend_on_rows(monkeypatch):
         passes.append(0)
         quality_model.train(np.zeros((1, 1), np.float32), x, (x[:, 0] > 0).astype(np.float32), o)
     assert passes == [3, 3]
+
+
+def test_lm_step_is_the_same_in_pieces_of_any_size(monkeypatch):
+    rng = np.random.default_rng(3)
+    v = small_vocabulary(np.sort(rng.integers(1, 50, 40))[::-1].copy(), 6)
+    one, two, w = (rng.integers(-1 if k == 2 else 0, 40, 500) for k in range(3))
+    got = []
+    for size in (2, 512):
+        monkeypatch.setattr(neural_lm, "_PIECE", size)
+        t = neural_lm.Trainer(v, neural_lm.LmOptions(dims=4, tail=3), 1)
+        t.learn(one, two, w)
+        got.append(t.p)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(*got))
+
+
+def test_lm_row_sums_and_hash_look_up_equal_plain_ones():
+    rng = np.random.default_rng(4)
+    rows, grad = rng.zipf(1.5, 900) % 60, rng.standard_normal((900, 3))
+    groups = neural_lm.Rows(rows, 60)
+    want = np.zeros((60, 3))
+    np.add.at(want, rows, grad)
+    assert sorted(groups.at) == sorted(set(rows)) and np.allclose(groups.sums(grad), want[groups.at])
+    assert np.allclose(groups.sums(grad[:, 0]), want[groups.at, 0])
+    h = np.unique(rng.integers(0, 1 << 64, 3000, np.uint64, endpoint=False))
+    v = neural_lm.Vocabulary(0, 0, h, h, h, h, h, 1)
+    t = np.concatenate([h[::7], h[::5] + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+    at, hot = neural_lm.look_up(v, t)
+    assert (at == np.minimum(np.searchsorted(h, t), len(h) - 1)).all() and (hot == np.isin(t, h)).all()
