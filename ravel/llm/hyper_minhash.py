@@ -9,7 +9,7 @@ Plan
 3. Stars first: in each bucket of a band the member of least digest is the leader, and everyone is compared with the `leaders` least of its leaders only, each pair
    once whatever the number of common bands. A leader's members are dealt over shares of `block` rows. What is confirmed makes components; a large group of near
    copies, whatever its size, comes down to a few of them at a cost in proportion to its rows. In buckets of more than `block` members that still lie in several
-   components, whoever is not in the largest is compared with `leaders` members of it, chosen by hash, `rounds` times.
+   components, whoever is not in the largest is compared with `leaders` members of it, chosen by hash, in two of its buckets, `rounds` times.
 4. The rest exactly: buckets whose members lie in two components or more are looked at again. Their largest component and the others are cut into blocks; blocks of
    others meet each other and those of the largest, never those of one component with itself. In a task, pairs of one component are passed over, and each confirmed
    link joins two on the spot, so that few pairs of a dense group are confirmed one by one. Pairs are never rows: a task yields a tree of links.
@@ -298,10 +298,10 @@ def second_pairs(members: DataFrame, known: DataFrame, o: HyperOptions, turn: in
     pick = Window.partitionBy("key", "root").orderBy(F.xxhash64("d1", "key", F.lit(turn)), "d1", "d2")
     leaders = rows.withColumn("k", F.row_number().over(pick)).filter(F.col("k") <= o.leaders).join(large.select("key", F.col("most").alias("root")), ["key", "root"]).select("key", F.col("d1").alias("a1"), F.col("d2").alias("a2"))
     others = rows.alias("r").join(large.alias("l"), (F.col("r.key") == F.col("l.key")) & (F.col("r.root") != F.col("l.most"))).select("r.key", "r.d1", "r.d2", "l.m")
-    pairs = others.join(leaders, "key").groupBy("a1", "a2", "d1", "d2").agg(F.max("m").alias("m"))
-    # a digest lies in as many buckets as bands at most
-    mine = Window.partitionBy("d1", "d2").orderBy(F.xxhash64("a1", F.lit(turn)), "a1", "a2")
-    return pairs.withColumn("k", F.row_number().over(mine)).filter(F.col("k") <= 2 * o.leaders).drop("k")
+    # a digest lies in as many buckets as bands at most; those that it is compared in are picked before the join, so that it makes 2 * leaders rows at most
+    mine = Window.partitionBy("d1", "d2").orderBy(F.xxhash64("d1", "key", F.lit(turn)), "key")
+    others = others.withColumn("k", F.row_number().over(mine)).filter(F.col("k") <= 2).drop("k")
+    return others.join(leaders, "key").groupBy("a1", "a2", "d1", "d2").agg(F.max("m").alias("m"))
 
 
 def rest_links(members: DataFrame, sets: DataFrame, known: DataFrame, o: HyperOptions) -> DataFrame:

@@ -302,3 +302,26 @@ def test_second_pairs_leave_the_largest_component_behind(spark):
     assert sorted((r.a1, r.a2, r.d1, r.d2, r.m) for r in pairs.collect()) == sorted((a, a + 1, d, d + 1, 40) for a in want for d in range(36, 40))
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert any("Join Inner" in x and "NOT (root" in x for x in plan.splitlines())
+
+
+def rows_of_joins(plan):
+    """Rows that each join of an executed plan made, by the end of its description."""
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        return rows_of_joins(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return rows_of_joins(plan.plan())
+    below = [x for i in range(plan.children().size()) for x in rows_of_joins(plan.children().apply(i))]
+    return ([(plan.simpleString(1000), plan.metrics().apply("numOutputRows").value())] if "Join" in plan.nodeName() else []) + below
+
+
+def test_second_pairs_pick_buckets_before_they_are_joined(spark):
+    """4 digests outside the largest component of 20 buckets: the join with the leaders makes 2 * 3 rows for each, not 20 * 3."""
+    o = H.HyperOptions(block=8)
+    members = spark.createDataFrame([(k, i, i + 1, f"{i:03}") for k in range(20) for i in range(40)], "key long, d1 long, d2 long, node string")
+    known = spark.createDataFrame([(f"{i:03}", "000") for i in range(36)], "node string, root string")
+    pairs = H.second_pairs(members, known, o, 1)
+    got = pairs.collect()
+    each = {d: [r for r in got if r.d1 == d] for d in range(36, 40)}
+    assert sum(map(len, each.values())) == len(got) and all(3 <= len(x) <= 6 and all(r.a1 < 36 and r.a2 == r.a1 + 1 and r.m == 40 for r in x) for x in each.values())
+    made = rows_of_joins(pairs._jdf.queryExecution().executedPlan())
+    assert made and max(n for s, n in made if "root" not in s) <= 4 * 6
